@@ -192,6 +192,19 @@ def asof_join(
     )
 
 
+def _mirror(col: str) -> Column:
+    return F.timestamp_micros(-F.unix_micros(F.col(col)))
+
+
+def next_join(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, chunk: str = "month"
+) -> DataFrame:
+    """Left rows with the first right row at or after their time: ``asof_join`` on mirrored clocks."""
+    lft = left.withColumn("_lm", _mirror(left_time))
+    rgt = right.withColumn("_rm", _mirror(right_time))
+    return asof_join(lft, rgt, keys, "_lm", "_rm", chunk=chunk).drop("_lm", "_rm")
+
+
 def interval_lookup(
     probes: DataFrame,
     spans: DataFrame,

@@ -61,6 +61,7 @@ class Domain:
             (known + F.make_dt_interval(hours=F.col("l_linenumber"))).alias("ingestion_time"),
             F.lpad(F.col("l_orderkey").cast("string"), 12, "0").alias("data_version"),
             F.concat(F.lit("feed-"), F.col("l_returnflag")).alias("source"),
+            (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"),
         )
         return base
 

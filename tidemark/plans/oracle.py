@@ -22,7 +22,7 @@ SELECT {security} AS security_id, l_shipdate AS ts,
  l_shipdate + INTERVAL 20 HOUR + greatest(l_linenumber - 3, 0) * INTERVAL 1 DAY AS available_time,
  l_shipdate + INTERVAL 20 HOUR + greatest(l_linenumber - 3, 0) * INTERVAL 1 DAY + l_linenumber * INTERVAL 1 HOUR AS ingestion_time,
  lpad(CAST(l_orderkey AS VARCHAR), 12, '0') AS data_version,
- 'feed-' || l_returnflag AS source
+ 'feed-' || l_returnflag AS source, l_orderkey * 8 + l_linenumber AS seq
 FROM {source}"""
 
 
