@@ -299,7 +299,7 @@ class Domain:
 
         def one(rows, lag, number):
             g = rows.groupBy(F.col("o_orderpriority").alias("series_id"), "observation_date").agg(
-                F.round(F.avg("o_totalprice"), 2).alias("value")
+                F.round(F.sum("o_totalprice"), 2).alias("value")
             )
             start = month_end + F.make_dt_interval(F.lit(lag))
             return g.select(

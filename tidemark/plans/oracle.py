@@ -128,7 +128,7 @@ VIEWS: dict[str, str] = {
  {"CAST(last_day(observation_date) AS TIMESTAMP) + INTERVAL 34 DAY" if n == 1 else "NULL::TIMESTAMP"} AS realtime_end,
  CAST(last_day(observation_date) AS TIMESTAMP) + INTERVAL {lag + 1} DAY + INTERVAL 6 HOUR AS available_time FROM (
  SELECT o_orderpriority AS series_id, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS observation_date,
- round(avg(o_totalprice), 2) AS value FROM orders {"WHERE o_orderstatus = 'F'" if n == 1 else ""} GROUP BY 1, 2)"""
+ round(sum(o_totalprice), 2) AS value FROM orders {"WHERE o_orderstatus = 'F'" if n == 1 else ""} GROUP BY 1, 2)"""
         for n, lag in ((1, 5), (2, 35))
     ),
     "membership": """SELECT security_id, 'core' AS universe, min(ts) AS valid_from,

@@ -79,7 +79,7 @@ for _name in _KEYS:
 
 @query(
     "ffn_01_fy_records",
-    "security_id:s, concept:s, as_of:t, period_end:t, record_id:s, value:f4, age:i",
+    "security_id:s, concept:s, as_of:t, period_end:t, record_id:s, value:f6, age:i",
     "SELECT * FROM fact_records WHERE fiscal_period = 'FY'",
 )
 def _fy_records(d: Domain):
