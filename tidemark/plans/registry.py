@@ -1,7 +1,7 @@
 """Registry of named queries: a Spark plan, its output columns and, where SQL can say it, the same in SQL.
 
 The column text fixes names and presentation on both sides:
-``s`` text, ``i`` integer, ``f``/``fN`` double rounded to 6/N decimals, ``t`` timestamp, ``d`` date, ``b`` boolean.
+``s`` text, ``i`` integer, ``f``/``fN`` double rounded to 8/N decimals, ``t`` timestamp, ``d`` date, ``b`` boolean.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ def query(name: str, columns: str, sql: str | None = None):
 
 
 def _digits(kind: str) -> int:
-    return int(kind[1:]) if len(kind) > 1 else 6
+    return int(kind[1:]) if len(kind) > 1 else 8
 
 
 def _spark_column(name: str, kind: str):
