@@ -377,7 +377,7 @@ for _no, _nm, _fn, _e in (
         "p + CASE side WHEN 'BUY' THEN 1 ELSE -1 END * (p * ((5 + 100 * CASE WHEN v > 0 THEN q / v ELSE 0 END) / 10000))",
     ),
 ):
-    query(f"dec_{_no}_{_nm}", "trade_id:i, cost:f9", f"SELECT trade_id, {_e} AS cost FROM ({_T})")(lambda d, f=_fn: _trades(d).select("trade_id", f().alias("cost")))
+    query(f"dec_{_no}_{_nm}", "trade_id:i, cost:f8", f"SELECT trade_id, {_e} AS cost FROM ({_T})")(lambda d, f=_fn: _trades(d).select("trade_id", f().alias("cost")))
 query(
     "dec_13_rank_average_top",
     "security_id:s, as_of:t, combined:f, place:i",

@@ -45,6 +45,11 @@ def _digits(kind: str) -> int:
     return int(kind[1:]) if len(kind) > 1 else 8
 
 
+def _off_tie(kind: str) -> float:
+    """Small shift before rounding: engines break exact decimal ties differently."""
+    return 0.0123 * 10.0 ** -_digits(kind)
+
+
 def _spark_column(name: str, kind: str):
     col = F.col(name)
     if kind == "s":
@@ -52,7 +57,7 @@ def _spark_column(name: str, kind: str):
     elif kind == "i":
         out = col.cast("bigint")
     elif kind.startswith("f"):
-        out = F.round(col.cast("double"), _digits(kind)) + F.lit(0.0)
+        out = F.round(col.cast("double") + F.lit(_off_tie(kind)), _digits(kind)) + F.lit(0.0)
     elif kind == "t":
         out = F.date_format(col, "yyyy-MM-dd HH:mm:ss")
     elif kind == "d":
@@ -70,7 +75,7 @@ def _sql_column(name: str, kind: str) -> str:
     elif kind == "i":
         text = f"CAST({name} AS BIGINT)"
     elif kind.startswith("f"):
-        text = f"round(CAST({name} AS DOUBLE), {_digits(kind)}) + CAST(0 AS DOUBLE)"
+        text = f"round(CAST({name} AS DOUBLE) + CAST({_off_tie(kind):e} AS DOUBLE), {_digits(kind)}) + CAST(0 AS DOUBLE)"
     elif kind == "t":
         text = f"strftime(CAST({name} AS TIMESTAMP), '%Y-%m-%d %H:%M:%S')"
     else:
