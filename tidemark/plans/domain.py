@@ -387,7 +387,7 @@ class Domain:
             F.col("x.l_quantity").alias("quantity"),
             (F.col("x.l_extendedprice") / F.col("x.l_quantity")).alias("fill_price"),
             F.round(F.col("x.l_discount") - F.col("x.l_tax"), 4).alias("realized_return"),
-            F.round(F.col("x.l_extendedprice") * (F.col("x.l_discount") - F.col("x.l_tax")), 2).alias("realized_pnl"),
+            F.round(F.col("x.l_extendedprice") * (F.col("x.l_discount") - F.col("x.l_tax")), 4).alias("realized_pnl"),
         )
 
     @cached_property

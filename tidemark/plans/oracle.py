@@ -148,7 +148,7 @@ VIEWS: dict[str, str] = {
  round(o_totalprice / 600000.0::DOUBLE, 4) AS confidence, o_totalprice AS notional FROM orders""",
     "trades": """SELECT l_orderkey AS trade_id, l_orderkey AS decision_id, 'Brand#' || CAST(l_partkey % 25 + 1 AS VARCHAR) AS security_id,
  l_shipdate AS fill_time, l_quantity AS quantity, l_extendedprice / l_quantity AS fill_price,
- round(l_discount - l_tax, 4) AS realized_return, round(l_extendedprice * (l_discount - l_tax), 2) AS realized_pnl FROM (
+ round(l_discount - l_tax, 4) AS realized_return, round(l_extendedprice * (l_discount - l_tax), 4) AS realized_pnl FROM (
  SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount, l_tax, l_extendedprice, l_shipdate) AS k
  FROM lineitem) WHERE k = 1""",
     "news": """SELECT doc_id AS news_id, text AS headline, 'Brand#' || CAST(doc_id % 25 + 1 AS VARCHAR) AS security_id,
@@ -202,5 +202,16 @@ def with_views(sql: str) -> str:
             todo.extend(_needs(VIEWS[v]))
     if not wanted:
         return sql
-    heads = ",\n".join(f"{v} AS MATERIALIZED ({VIEWS[v].strip()})" for v in VIEWS if v in wanted)
+    placed: list[str] = []
+
+    def place(v: str) -> None:
+        if v not in placed:
+            for below in _needs(VIEWS[v]):
+                if below != v:
+                    place(below)
+            placed.append(v)
+
+    for v in sorted(wanted):
+        place(v)
+    heads = ",\n".join(f"{v} AS MATERIALIZED ({VIEWS[v].strip()})" for v in placed)
     return f"WITH {heads}\n{sql}"
