@@ -164,7 +164,9 @@ def contribution(realized: DataFrame, open_positions: DataFrame, prices: DataFra
     u = unrealized(open_positions, prices, "security_id")
     both = r.join(u, "security_id", "full_outer").na.fill(0.0, ["realized", "unrealized"]).withColumn("pnl", F.col("realized") + F.col("unrealized"))
     out = attach(both, both.agg(F.sum("pnl").alias("_t")))
-    return out.withColumn("share", ratio("pnl", "_t")).withColumn("place", F.row_number().over(Window.orderBy(F.desc("pnl"), "security_id"))).drop("_t")
+    out = out.withColumn("share", ratio("pnl", "_t")).withColumn("_down", -F.col("pnl")).drop("_t")
+    order = ["_down", "security_id"]
+    return numbered(split_ordered(out, [], order), [], order, "place").drop("_down", "_piece")
 
 
 def contribution_summary(rows: DataFrame) -> DataFrame:

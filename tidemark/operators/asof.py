@@ -192,6 +192,26 @@ def asof_join(
     )
 
 
+def calendar_join(left: DataFrame, right: DataFrame, left_time: str, right_time: str, strict: bool = False) -> DataFrame:
+    """As-of join without a key against a table with at most one row per moment of a calendar.
+
+    The right rows become intervals, cut into the days they cover: that side has about one row per calendar
+    day whatever the left side holds, so it is broadcast and the left side is not moved at all.
+    """
+    payload = right.columns
+    rt = F.col(right_time)
+    spans = right.select(rt.alias("_from"), F.lead(rt).over(Window.orderBy(rt)).alias("_to"), F.struct(*payload).alias("_r"))
+    days = spans.filter(F.col("_to").isNotNull()).withColumn("_day", F.explode(F.sequence(F.to_date("_from"), F.to_date("_to"))))
+    last = spans.filter(F.col("_to").isNull()).select(F.lit(1).alias("_k"), F.col("_from").alias("_last"), F.col("_r").alias("_last_r"))
+    lt = F.col(left_time)
+    inside = (lt > F.col("_from")) & (lt <= F.col("_to")) if strict else (lt >= F.col("_from")) & (lt < F.col("_to"))
+    hit = left.withColumn("_k", F.lit(1)).join(F.broadcast(days), (F.to_date(lt) == F.col("_day")) & inside, "left")
+    hit = hit.join(F.broadcast(last), "_k", "left")
+    after = lt > F.col("_last") if strict else lt >= F.col("_last")
+    found = hit.withColumn("_hit", F.when(after, F.col("_last_r")).otherwise(F.col("_r")))
+    return found.select(*left.columns, *[F.col("_hit")[x].alias(x) for x in payload if x not in left.columns])
+
+
 def _mirror(col: str) -> Column:
     return F.timestamp_micros(-F.unix_micros(F.col(col)))
 

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import average_rank, change, corr_of, ratio, rounded_index
-from tidemark.operators.asof import next_join
 from tidemark.operators.signals import attach
 
 # fixed windows of the study
@@ -54,9 +53,11 @@ def excess_returns(events: DataFrame, prices: DataFrame, horizon: int = FORWARD_
         r = start.join(end, ["security_id", "pos"]).filter(F.col("a") > 0).select("security_id", "pos", change("b", "a").alias(name))
         return r, r.groupBy("pos").agg(F.avg(name).alias(f"{name}_market"))
 
-    at = next_join(
-        events.withColumn("_k", F.lit(1)).withColumn("_day", F.col("day").cast("timestamp")), days.withColumn("_k", F.lit(1)).withColumnRenamed("ts", "session"), ["_k"], "_day", "session"
-    ).drop("_k", "_day")
+    # each session also stands for the closed days before it
+    gap = F.date_add(F.to_date(F.lag("ts").over(Window.orderBy("ts"))), 1)
+    opened = days.withColumn("_first", F.coalesce(gap, F.to_date("ts")))
+    session_of = opened.select(F.explode(F.sequence(F.col("_first"), F.to_date("ts"))).alias("day"), "pos")
+    at = events.join(F.broadcast(session_of), "day", "left")
     out = attach(at, days.agg(F.max("pos").alias("_last")))
     inside = (F.col("pos") >= 1) & (F.col("pos") + 1 + horizon <= F.col("_last"))
     for name, (back, ahead) in {"reaction": (-1, 1), "forward": (1, 1 + horizon)}.items():

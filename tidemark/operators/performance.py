@@ -115,16 +115,63 @@ def worst_episode(episodes: DataFrame) -> DataFrame:
     return top.select("grp", "r.*")
 
 
-def streaks(trades: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Longest runs of wins (pnl > 0) and of the rest. A group of any size is scanned in pieces."""
+def runs(trades: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Runs of wins (pnl > 0) and of the rest as (group, run, won, n), ``run`` rising in order.
+
+    A group of any size is scanned in pieces.
+    """
     won = trades.select(*group, *order, (F.col("realized_pnl") > 0).alias("won"))
     pieces = split_ordered(won, group, order)
     turned = previous(pieces, group, order, F.col("won"), "was")
     turned = turned.withColumn("turn", F.when(F.col("was") == F.col("won"), 0).otherwise(1))
-    runs = running_sum(turned, group, order, F.col("turn"), "run").groupBy(*group, "run", "won").agg(F.count(F.lit(1)).alias("n"))
-    return runs.groupBy(*group).agg(
-        F.coalesce(F.max(F.when(F.col("won"), F.col("n"))), F.lit(0)).alias("max_wins"),
-        F.coalesce(F.max(F.when(~F.col("won"), F.col("n"))), F.lit(0)).alias("max_losses"),
+    return running_sum(turned, group, order, F.col("turn"), "run").groupBy(*group, "run", "won").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _longest(won: bool) -> Column:
+    return F.coalesce(F.max(F.when(F.col("won") == won, F.col("n"))), F.lit(0).cast("bigint"))
+
+
+def streaks(trades: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Longest runs of wins and of the rest per group."""
+    return runs(trades, group, order).groupBy(*group).agg(_longest(True).alias("max_wins"), _longest(False).alias("max_losses"))
+
+
+def streak_summary(trades: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """What a later stretch of trades needs to go on: first and last run, number of runs, longest runs."""
+    ends = F.struct("run", "won", "n")
+    return runs(trades, group, order).groupBy(*group).agg(
+        F.min(ends).alias("head"), F.max(ends).alias("tail"), F.count(F.lit(1)).alias("runs"), _longest(True).alias("max_wins"), _longest(False).alias("max_losses")
+    ).select(
+        *group, F.col("head.won").alias("head_won"), F.col("head.n").alias("head_n"), F.col("tail.won").alias("tail_won"), F.col("tail.n").alias("tail_n"), "runs", "max_wins", "max_losses"
+    )
+
+
+def join_streaks(earlier: DataFrame, later: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Summary of two stretches in a row: the run across the seam is joined when both sides agree."""
+    fields = ["head_won", "head_n", "tail_won", "tail_n", "runs", "max_wins", "max_losses"]
+    a = earlier.select(*group, F.struct(*fields).alias("a"))
+    b = later.select(*group, F.struct(*fields).alias("b"))
+    j = a.join(b, list(group), "full_outer")
+    both = F.col("a").isNotNull() & F.col("b").isNotNull()
+    seam = both & (F.col("a.tail_won") == F.col("b.head_won"))
+    across = F.col("a.tail_n") + F.col("b.head_n")
+
+    def pick(name):
+        return F.coalesce(F.col(f"a.{name}"), F.col(f"b.{name}"))
+
+    def longest(name, won):
+        joined = F.when(seam & (F.col("a.tail_won") == won), across)
+        return F.greatest(F.coalesce(F.col(f"a.{name}"), F.lit(0)), F.coalesce(F.col(f"b.{name}"), F.lit(0)), F.coalesce(joined, F.lit(0)))
+
+    return j.select(
+        *group,
+        pick("head_won").alias("head_won"),
+        F.when(seam & (F.col("a.runs") == 1), across).otherwise(pick("head_n")).alias("head_n"),
+        F.coalesce("b.tail_won", "a.tail_won").alias("tail_won"),
+        F.when(seam & (F.col("b.runs") == 1), across).otherwise(F.coalesce("b.tail_n", "a.tail_n")).alias("tail_n"),
+        (F.coalesce("a.runs", F.lit(0)) + F.coalesce("b.runs", F.lit(0)) - F.when(seam, 1).otherwise(0)).alias("runs"),
+        longest("max_wins", True).alias("max_wins"),
+        longest("max_losses", False).alias("max_losses"),
     )
 
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.asof import asof_join, next_join
+from tidemark.operators.asof import asof_join, calendar_join, next_join
 from tidemark.operators.holdings import SPLIT_TYPES, parse_ratio
 from tidemark.operators.scans import earlier_max, split_ordered
 
@@ -247,9 +247,7 @@ def outside_universe(intents: DataFrame, membership: DataFrame, held: DataFrame)
 def wrong_checkpoint(fills: DataFrame, checkpoints: DataFrame) -> DataFrame:
     """Fills not executed at the first checkpoint after their decision. ``checkpoints`` has one row per session."""
     nxt = checkpoints.select("checkpoint", F.lead("checkpoint").over(Window.orderBy("checkpoint")).alias("expected"))
-    known = asof_join(
-        fills.withColumn("_all", F.lit(1)), nxt.withColumn("_all", F.lit(1)), ["_all"], "decision_time", "checkpoint"
-    ).drop("_all")
+    known = calendar_join(fills, nxt, "decision_time", "checkpoint")
     return known.filter(F.col("expected").isNull() | (F.col("fill_time") != F.col("expected")))
 
 

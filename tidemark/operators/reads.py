@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import ratio
-from tidemark.operators.asof import asof_join, facts_on_grid, grid_array, history_on_grid
+from tidemark.operators.asof import asof_join, calendar_join, facts_on_grid, grid_array, history_on_grid
 
 
 def critical_times(flags: DataFrame) -> DataFrame:
@@ -87,8 +87,8 @@ def with_fallback_lag(vintages: DataFrame, lag_days: int) -> DataFrame:
 
 def rate_before(probes: DataFrame, rates: DataFrame, at: str, max_stale_days: int = 10) -> DataFrame:
     """Last rate strictly before the day, at most ``max_stale_days`` old, as a fraction."""
-    r = rates.select(F.col("ts").alias("rate_day"), F.col("rate").alias("_rate")).withColumn("_k", F.lit(1))
-    hit = asof_join(probes.withColumn("_k", F.lit(1)), r, ["_k"], at, "rate_day", strict=True).drop("_k")
+    r = rates.select(F.col("ts").alias("rate_day"), F.col("rate").alias("_rate"))
+    hit = calendar_join(probes, r, at, "rate_day", strict=True)
     fresh = F.datediff(F.col(at), F.col("rate_day")) <= max_stale_days
     return hit.withColumn("annual_rate", F.when(fresh, F.col("_rate") / 100.0)).drop("_rate")
 
@@ -98,8 +98,7 @@ def rate_before(probes: DataFrame, rates: DataFrame, at: str, max_stale_days: in
 
 def snapshot_before(probes: DataFrame, snapshots: DataFrame, at: str) -> DataFrame:
     """Last snapshot day at or before each probe with its age in days; members are joined by that day."""
-    days = snapshots.select("snapshot").distinct().withColumn("_k", F.lit(1))
-    hit = asof_join(probes.withColumn("_k", F.lit(1)), days, ["_k"], at, "snapshot").drop("_k")
+    hit = calendar_join(probes, snapshots.select("snapshot").distinct(), at, "snapshot")
     return hit.withColumn("stale_days", F.datediff(F.col(at), F.col("snapshot")))
 
 

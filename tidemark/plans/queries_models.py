@@ -69,7 +69,7 @@ def _leg(back: int, ahead: int) -> str:
 
 
 VIEWS["excess"] = f"""SELECT e.security_id, e.day, news_id, CASE WHEN inside AND abs(x.r) <= 0.5 THEN x.r - x.m END AS reaction, CASE WHEN inside AND abs(y.r) <= 0.5 THEN y.r - y.m END AS forward FROM (
- SELECT n.*, pos, pos >= 1 AND pos + 6 <= (SELECT max(pos) FROM cal) AS inside FROM (SELECT *, CAST(day AS TIMESTAMP) AS d0 FROM news_day) n ASOF LEFT JOIN cal c ON n.d0 <= c.ts) e
+ SELECT n.*, pos, coalesce(pos >= 1 AND pos + 6 <= (SELECT max(pos) FROM cal), FALSE) AS inside FROM (SELECT *, CAST(day AS TIMESTAMP) AS d0 FROM news_day) n ASOF LEFT JOIN cal c ON n.d0 <= c.ts) e
  LEFT JOIN {_leg(-1, 1)} x ON x.security_id = e.security_id AND x.pos = e.pos LEFT JOIN {_leg(1, 6)} y ON y.security_id = e.security_id AND y.pos = e.pos"""
 VIEWS["answers"] = """SELECT doc_id AS news_id, CASE WHEN doc_id % 13 = 0 THEN NULL ELSE round((n_chars % 97) / 97, 6) END - round((n_chars % 89) / 89, 6) AS masked, CASE WHEN doc_id % 11 <> 0 THEN round((n_chars % 83) / 83, 6) - 0.5 END AS probe FROM documents"""
 
@@ -180,15 +180,16 @@ query(
 
 
 def _streaks(d: Domain):
-    out = _folder(d, "stream-streaks")
-    s = event_stream(d).select(F.col("event_type").alias("grp"), "ts", (F.col("value") - 20).alias("pnl"))
-
-    def save(batch, number):
-        batch.withColumn("v", F.lit(number)).write.mode("overwrite").parquet(f"{out}/b={number}")
-
-    jobs.streaks(s).writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", _folder(d, "stream-streaks-ck")).trigger(availableNow=True).start().awaitTermination()
-    seen = d.spark.read.parquet(out)
-    return seen.groupBy("grp").agg(F.max_by("max_wins", "v").alias("max_wins"), F.max_by("max_losses", "v").alias("max_losses"))
+    state = _folder(d, "stream-streaks")
+    s = event_stream(d).select(F.col("event_type").alias("grp"), "ts", "event_id", (F.col("value") - 20).alias("realized_pnl"))
+    q = jobs.start_streaks(s, state, _folder(d, "stream-streaks-ck"), ["ts", "event_id"])
+    q.awaitTermination()
+    return d.spark.read.parquet(f"{state}/v={max(int(p['batchId']) for p in q.recentProgress)}")
 
 
-query("str_04_streaks", "grp:s, max_wins:i, max_losses:i")(_streaks)
+query(
+    "str_04_streaks",
+    "grp:s, max_wins:i, max_losses:i",
+    """SELECT grp, coalesce(max(CASE WHEN won THEN n END), 0) AS max_wins, coalesce(max(CASE WHEN NOT won THEN n END), 0) AS max_losses FROM (SELECT grp, won, k, count(*) AS n FROM (
+ SELECT *, row_number() OVER (PARTITION BY grp ORDER BY ts, event_id) - row_number() OVER (PARTITION BY grp, won ORDER BY ts, event_id) AS k FROM (SELECT event_type AS grp, ts, event_id, value > 20 AS won FROM events)) GROUP BY 1, 2, 3) GROUP BY 1""",
+)(_streaks)

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidemark.operators.performance import join_streaks, streak_summary
 from tidemark.operators.reads import latest_by
 from tidemark.sources.lake import BAR_KEY, new_rows
 
@@ -61,31 +58,16 @@ def quality_windows(rows: DataFrame, time: str, by: str, bad, width: str = "1 da
     return g.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), by, "n", (F.col("bad") / F.col("n")).alias("bad_rate"))
 
 
-STREAK_STATE = "last_time timestamp, won boolean, run bigint, wins bigint, losses bigint"
-
-
-def _advance(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    won, run, wins, losses, last = None, 0, 0, 0, None
-    if state.exists:
-        last, won, run, wins, losses = state.get
-    for frame in frames:
-        for t, pnl in zip(frame["ts"], frame["pnl"]):
-            now = bool(pnl > 0)
-            run = run + 1 if won is not None and now == won else 1
-            won, last = now, t
-            if now:
-                wins = max(wins, run)
-            else:
-                losses = max(losses, run)
-    state.update((last, won, run, wins, losses))
-    yield pd.DataFrame({"grp": [key[0]], "max_wins": [wins], "max_losses": [losses]})
-
+def start_streaks(trades: DataFrame, state_path: str, checkpoint: str, order: list[str]) -> StreamingQuery:
+    """Longest win and loss runs per ``grp`` over trades that arrive in time order from batch to batch.
 
-def streaks(trades: DataFrame) -> DataFrame:
-    """Longest win and loss runs per group as state: five numbers per group, updated batch by batch.
-
-    ``trades``: (grp, ts, pnl), arriving in time order within a group.
+    A batch is summed up in pieces, so one large group spreads over tasks, and its summary is joined to the
+    stored one. Versions are named by batch number: a replay rewrites the same version.
     """
-    return trades.groupBy("grp").applyInPandasWithState(
-        _advance, "grp string, max_wins bigint, max_losses bigint", STREAK_STATE, "update", GroupStateTimeout.NoTimeout
-    )
+    def advance(batch: DataFrame, number: int) -> None:
+        fresh = streak_summary(batch, ["grp"], order)
+        if number > 0:
+            fresh = join_streaks(batch.sparkSession.read.parquet(f"{state_path}/v={number - 1}"), fresh, ["grp"])
+        fresh.write.mode("overwrite").parquet(f"{state_path}/v={number}")
+
+    return trades.writeStream.foreachBatch(advance).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
