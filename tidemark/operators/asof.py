@@ -42,8 +42,35 @@ def grid_array(grid: Sequence[datetime]) -> Column:
     return F.array(*[F.lit(g.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp") for g in sorted(grid)])
 
 
-def days_before(moment: Column, days: int) -> Column:
-    return moment - F.make_dt_interval(F.lit(days))
+def moments_below(grid: Sequence[datetime], x, inclusive: bool = True) -> Column:
+    """How many grid moments are at or before ``x`` (before it without ``inclusive``).
+
+    A balanced tree of comparisons, so it stays in generated code and costs a handful of them per row,
+    where a lambda over the grid would be interpreted once per moment.
+    """
+    x = F.col(x) if isinstance(x, str) else x
+    ordered = [F.lit(g.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp") for g in sorted(grid)]
+
+    def count(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        below = ordered[mid] <= x if inclusive else ordered[mid] < x
+        return F.when(below, count(mid + 1, hi)).otherwise(count(lo, mid))
+
+    return count(0, len(ordered))
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns behind a generator. The optimizer would otherwise copy their expressions into every later use,
+    and a comparison tree over a copied expression grows past what the JVM compiles."""
+    packed = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select("*", F.inline(F.array(packed)))
+
+
+def moments_between(grid: Sequence[datetime], first: Column, last: Column) -> Column:
+    """Grid moments with 1-based places first..last; empty when last < first."""
+    return F.slice(grid_array(grid), first, F.greatest(last - first + 1, F.lit(0)))
 
 
 def newest_revision(bars: DataFrame, *keys: str, order: Sequence[str] = REVISION_ORDER) -> DataFrame:
@@ -69,28 +96,20 @@ def bars_on_grid(
     if flags is not None:
         critical = flags.filter(F.col("severity") == "CRITICAL").select("security_id", "ts").distinct()
         revisions = revisions.join(critical, ["security_id", "ts"], "left_anti")
-    moments = grid_array(grid)
     span = F.make_dt_interval(F.lit(days))
-    if forward:
-        def covers(g):
-            return (g <= F.col("ts")) & (F.col("ts") <= g + span) & (F.col("available_time") <= g + span)
-    else:
-        def covers(g):
-            return (g >= F.col("ts")) & (g - span <= F.col("ts")) & (F.col("available_time") <= g)
+    known = F.greatest("ts", "available_time")
+    # moments from _lo to _hi can see the bar; both ends are computed once per row
+    low, high = (known - span, F.col("ts")) if forward else (known, F.col("ts") + span)
+    ranged = once(revisions, _lo=low, _hi=high)
+    placed = once(ranged, _first=moments_below(grid, "_lo", inclusive=False) + 1, _last=moments_below(grid, "_hi"))
 
     # snap: revisions first seen at the same moment compete at every later one too
-    snapped = revisions.withColumn("_first", F.try_element_at(F.filter(moments, covers), F.lit(1))).filter(
-        F.col("_first").isNotNull()
-    )
-    merged = newest_revision(snapped, "security_id", "ts", "_first")
-    if forward:
-        again = F.filter(moments, lambda g: (g >= F.col("_first")) & (g <= F.col("ts")))
-    else:
-        again = F.filter(moments, lambda g: (g >= F.col("_first")) & (g - span <= F.col("ts")))
-    probed = merged.withColumn("as_of", F.explode(again)).drop("_first")
+    snapped = placed.filter(F.col("_first") <= F.col("_last")).drop("_lo", "_hi")
+    merged = newest_revision(snapped, "security_id", "ts", "_first", "_last")
+    probed = merged.withColumn("as_of", F.explode(moments_between(grid, F.col("_first"), F.col("_last")))).drop("_first", "_last")
     # at most (bars in the span x moments) rows per (security, moment) are left here: safe to co-locate
-    placed = probed.repartition("security_id", "as_of")
-    return newest_revision(placed, "security_id", "as_of", "ts")
+    together = probed.repartition("security_id", "as_of")
+    return newest_revision(together, "security_id", "as_of", "ts")
 
 
 def facts_on_grid(
@@ -105,36 +124,30 @@ def facts_on_grid(
     Facts merge per first visible moment, a running maximum carries them forward (one row per key and
     moment at most), and each winner is spread over the moments until the next one.
     """
-    moments = grid_array(grid)
     rest = [x for x in facts.columns if x not in keys and x not in order]
     packed = F.struct(*order, *rest)
-    first = F.element_at(F.filter(moments, lambda g: g >= F.col(known)), 1)
     snapped = (
-        facts.filter(F.col(known) <= F.array_max(moments))
-        .groupBy(*keys, first.alias("_first"))
+        once(once(facts, _known=F.col(known)), _first=moments_below(grid, "_known", inclusive=False) + 1)
+        .filter(F.col("_first") <= len(grid))
+        .groupBy(*keys, "_first")
         .agg(F.max(packed).alias("_r"))
     )
     by_key = Window.partitionBy(*keys).orderBy("_first")
     carried = snapped.select(
         *keys,
         "_first",
-        F.lead("_first").over(by_key).alias("_next"),
+        F.coalesce(F.lead("_first").over(by_key), F.lit(len(grid) + 1)).alias("_next"),
         F.max("_r").over(by_key.rowsBetween(Window.unboundedPreceding, 0)).alias("_r"),
     )
-    spread = carried.select(
-        *keys,
-        F.explode(
-            F.filter(moments, lambda g: (g >= F.col("_first")) & (F.col("_next").isNull() | (g < F.col("_next"))))
-        ).alias("as_of"),
-        "_r",
-    )
+    spread = carried.select(*keys, F.explode(moments_between(grid, F.col("_first"), F.col("_next") - 1)).alias("as_of"), "_r")
     return spread.select(*keys, "as_of", *[F.col("_r")[x].alias(x) for x in facts.columns if x not in keys])
 
 
 def history_on_grid(facts: DataFrame, grid: Sequence[datetime], known: str = "available_time") -> DataFrame:
     """Every fact repeated at each grid moment that can see it."""
-    seen = F.filter(grid_array(grid), lambda g: g >= F.col(known))
-    return facts.select("*", F.explode(seen).alias("as_of"))
+    ranged = once(facts, _known=F.col(known))
+    placed = once(ranged, _first=moments_below(grid, "_known", inclusive=False) + 1).drop("_known")
+    return placed.withColumn("as_of", F.explode(moments_between(grid, F.col("_first"), F.lit(len(grid))))).drop("_first")
 
 
 def asof_join(

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import ratio
-from tidemark.operators.asof import asof_join, calendar_join, facts_on_grid, grid_array, history_on_grid
+from tidemark.operators.asof import asof_join, calendar_join, facts_on_grid, history_on_grid, moments_below, moments_between, once
 
 
 def critical_times(flags: DataFrame) -> DataFrame:
@@ -18,11 +18,10 @@ def critical_times(flags: DataFrame) -> DataFrame:
 
 def spans_on_grid(spans: DataFrame, grid: Sequence[datetime], start="valid_from", end="valid_to", closed=False) -> DataFrame:
     """Validity rows repeated at each grid moment they contain: a projection, no join."""
-    def holds(g):
-        before = g <= F.col(end) if closed else g < F.col(end)
-        return (g >= F.col(start)) & (F.col(end).isNull() | before)
-
-    return spans.select("*", F.explode(F.filter(grid_array(grid), holds)).alias("as_of"))
+    last = F.when(F.col("_e").isNull(), F.lit(len(grid))).otherwise(moments_below(grid, "_e", inclusive=closed))
+    placed = once(once(spans, _s=F.col(start), _e=F.col(end)), _first=moments_below(grid, "_s", inclusive=False) + 1, _last=last)
+    out = placed.withColumn("as_of", F.explode(moments_between(grid, F.col("_first"), F.col("_last"))))
+    return out.drop("_s", "_e", "_first", "_last")
 
 
 def security_on_grid(master: DataFrame, grid) -> DataFrame:
