@@ -5,14 +5,14 @@ output links relax the best score of the place from that of each piece's start.
 scores is the encoding, an unknown character is spelt in byte pieces, and decoding joins the pieces' bytes again.
 
 No piece has a word mark behind another character, so a best path is cut before each run of word marks, and around
-line feeds where no longer piece holds one; both are verified on the model. Such parts repeat, and a bounded store of
-parts already encoded is kept in each worker. Texts come back from their ids byte for byte; a word mark that stands in
+line feeds where no longer piece holds one; both are verified on the model. The distinct parts of a block of rows are
+encoded once, all of them a step at a time. Texts come back from their ids byte for byte; a word mark that stands in
 the text itself is spelt in bytes, so it is not mistaken for a space. Null texts count as empty and have no ids.
 """
 
 from __future__ import annotations
 
-import re
+from collections import Counter
 from hashlib import sha256
 
 import numpy as np
@@ -21,13 +21,15 @@ import sentencepiece
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.llm import textbytes as tb
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"  #: default of the path parameter
 MARK = "▁"
 OWN_MARK = "\udc00"  # stands for a word mark of the text: a code point that no text has
 UNKNOWN_PENALTY = 10.0
 UNKNOWN = (1, -1, 0.0)
-STORE = 300_000  #: parts kept in a worker
-PARTS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+COMMON = 160  #: characters in the dense table
+LONGEST = 64  #: characters of a part that is encoded together with others
 
 
 class Pieces:
@@ -53,6 +55,7 @@ class Automaton:
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
         self.goto: list[dict[str, int]] = [{}]
+        self.depth = [0]
         own: list[tuple[int, int, float] | None] = [None]
         for i, (name, ok) in enumerate(zip(pieces.names, pieces.usable, strict=True)):
             if not ok or not name:
@@ -62,6 +65,7 @@ class Automaton:
                 if c not in self.goto[s]:
                     self.goto[s][c] = len(self.goto)
                     self.goto.append({})
+                    self.depth.append(self.depth[s] + 1)
                     own.append(None)
                 s = self.goto[s][c]
             own[s] = (len(name), i, pieces.scores[i])
@@ -82,8 +86,74 @@ class Automaton:
         self.known = {c for x, ok in zip(pieces.names, pieces.usable, strict=True) if ok for c in x}
         self.delta = [dict(edges) for edges in self.goto]
         self.lone_feed = not any("\n" in x and len(x) > 1 for x, ok in zip(pieces.names, pieces.usable, strict=True) if ok)
-        self.marked = Store(self, MARK)
-        self.bare = Store(self, "")
+        self._tabulate()
+
+    def _tabulate(self) -> None:
+        """The automaton as arrays over the characters with most edges, for many parts at a time."""
+        edges = Counter(c for e in self.goto for c in e if c in self.single)
+        common = {c: k for k, (c, _) in enumerate(edges.most_common(COMMON))}
+        self.class_of = np.full(max(map(ord, common), default=0) + 2, -1, np.int16)
+        for c, k in common.items():
+            self.class_of[32 if c == MARK else ord(c)] = k
+        self.table = np.zeros((len(self.goto), max(len(common), 1)), np.int32)
+        self.link = np.zeros(len(self.goto), np.int32)  # the nearest suffix that is a piece
+        self.size = np.zeros(len(self.goto), np.int32)  # of the state's own piece, and its id
+        self.id = np.zeros(len(self.goto), np.int32)
+        self.score = np.zeros(len(self.goto))
+        queue = [0]
+        for s in queue:
+            f = self.fail[s]
+            if s:
+                self.table[s] = self.table[f]
+                self.link[s] = f if self.size[f] else self.link[f]
+            if s and self.outputs[s] and self.depth[s] == self.outputs[s][0][0]:
+                self.size[s], self.id[s], self.score[s] = self.outputs[s][0]
+            for c, to in self.goto[s].items():
+                queue.append(to)
+                if c in common:
+                    self.table[s, common[c]] = to
+
+    def best_paths(self, classes: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the best paths over parts of common characters, one part after another, and their numbers: all parts step together."""
+        n = len(sizes)
+        if not n:
+            return np.empty(0, "<i4"), np.empty(0, np.int64)
+        order = np.argsort(-sizes, kind="stable")
+        begin, sizes = begin[order], sizes[order]
+        longest = int(sizes[0])
+        best = np.full((longest + 1, n), -np.inf)
+        best[0] = 0
+        back = np.zeros((longest + 1, n), np.int32)  # the state whose piece ends here on the best path
+        state = np.zeros(n, np.int32)
+        active = np.searchsorted(-sizes, -np.arange(longest), "left")
+        for t in range(longest):
+            k = int(active[t])
+            now = self.table[state[:k], classes[begin[:k] + t]]
+            state[:k] = now
+            who = np.arange(k)
+            node = np.where(self.size[now] > 0, now, self.link[now])
+            while len(who):
+                live = node > 0
+                if not live.all():
+                    who, node = who[live], node[live]
+                value = best[t + 1 - self.size[node], who] + self.score[node]
+                better = value > best[t + 1, who]
+                best[t + 1, who[better]] = value[better]
+                back[t + 1, who[better]] = node[better]
+                node = self.link[node]
+        at, column, out = sizes.copy(), np.arange(n), []
+        while len(column):
+            node = back[at[column], column]
+            out.append((column, self.id[node]))
+            at[column] -= self.size[node]
+            column = column[at[column] > 0]
+        counts = np.empty(n, np.int64)
+        counts[order] = np.bincount(np.concatenate([c for c, _ in out]), minlength=n)
+        ends = np.cumsum(counts)
+        ids = np.empty(ends[-1], "<i4")
+        for k, (column, piece) in enumerate(out):
+            ids[ends[order[column]] - 1 - k] = piece
+        return ids, counts
 
     def step(self, state: int, c: str) -> int:
         """Next state over failure links, kept for the next time."""
@@ -125,41 +195,45 @@ class Automaton:
             i -= size
         return out[::-1]
 
-    def encode(self, text: str) -> bytes:
-        """Ids of a text as 32-bit little-endian numbers."""
-        if not text:
-            return b""
-        if MARK in text:
-            text = text.replace(MARK, OWN_MARK)
-        lines = text.split("\n") if self.lone_feed else [text]
-        out = []
-        feed = self.bare["\n"] if len(lines) > 1 else b""
-        for k, line in enumerate(lines):
-            if k:
-                out.append(feed)
-            if "  " in line or (not k and line[:1] == " "):  # runs of marks have pieces of their own
-                joined = ("" if k else MARK) + line.replace(" ", MARK)
-                out += [self.bare[part] for part in PARTS.findall(joined)]
-                continue
-            words = line.split(" ")
-            out.append((self.bare if k else self.marked)[words[0]])
-            out += map(self.marked.__getitem__, words[1:])
-        return b"".join(out)
-
-
-class Store(dict):
-    """Encodings of parts, emptied when full."""
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts, one after another, and the number of each text."""
+        joined = "".join([" " + x if x else "" for x in texts])  # each text begins with a word mark
+        if MARK in joined:
+            joined = joined.replace(MARK, OWN_MARK)
+        if not joined:
+            return np.empty(0, "<i4"), np.zeros(len(texts), np.int64)
+        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        rows = np.cumsum([0, *(len(x) + 1 if x else 0 for x in texts)])
+        space, feed = codes == 32, codes == 10
+        cut = space.copy()
+        cut[1:] &= ~space[:-1]
+        if self.lone_feed:
+            cut |= feed
+            cut[1:] |= feed[:-1]
+        cut[rows[:-1][rows[:-1] < len(codes)]] = True
+        begin = np.flatnonzero(cut)
+        sizes = np.diff(begin, append=len(codes))
+        _, first, which = np.unique(tb.hashes(codes, begin, begin + sizes), return_index=True, return_inverse=True)
+        begin_of, size_of = begin[first], sizes[first]
 
-    def __init__(self, automaton: Automaton, prefix: str):
-        self.automaton, self.prefix = automaton, prefix
+        classes = self.class_of[np.minimum(codes, len(self.class_of) - 1)]
+        rare = np.concatenate([[0], np.cumsum(classes < 0)])
+        plain = (size_of <= LONGEST) & (rare[begin_of + size_of] == rare[begin_of])
+        ids, found = self.best_paths(classes, begin_of[plain], size_of[plain])
+        counts = np.zeros(len(first), np.int64)
+        counts[plain] = found
+        others = [np.array(self.best_path(joined[a : a + n].replace(" ", MARK)), "<i4") for a, n in zip(begin_of[~plain].tolist(), size_of[~plain].tolist(), strict=True)]
+        counts[~plain] = [len(x) for x in others]
+        at = np.empty(len(first), np.int64)
+        at[plain] = np.cumsum(found) - found
+        at[~plain] = len(ids) + np.cumsum(counts[~plain]) - counts[~plain]
+        ids = np.concatenate([ids, *others])
 
-    def __missing__(self, part: str) -> bytes:
-        if len(self) >= STORE:
-            self.clear()
-        ids = np.array(self.automaton.best_path(self.prefix + part), "<i4").tobytes()
-        if len(part) <= 64:
-            self[part] = ids
-        return ids
+        each = counts[which]
+        ends = np.cumsum(each)
+        place = np.arange(ends[-1]) + np.repeat(at[which] - (ends - each), each)
+        upto = np.concatenate([[0], ends])[np.searchsorted(begin, rows)]
+        return ids[place], np.diff(upto)
 
 
 _LOADED: dict[str, Automaton] = {}
@@ -180,9 +254,12 @@ def encode(spark, text: str | Column, path: str = MODEL) -> Column:
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
         automaton = _loaded(sent.value)
-        packed = [automaton.encode(x or "") for x in texts.to_pylist()]
-        offsets = np.cumsum([0, *(len(x) // 4 for x in packed)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+        values, counts = [np.empty(0, "<i4")], [np.zeros(1, np.int64)]
+        for lo, hi, _, _ in tb.blocks(texts):
+            found, sizes = automaton.encode([x or "" for x in texts.slice(lo, hi - lo).to_pylist()])
+            values.append(found)
+            counts.append(sizes)
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(counts)).astype(np.int32)), pa.array(np.concatenate(values)))
 
     return ids(text)
 
