@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language, mixing, pieces, quality, simhash
+from tidemark.llm import fingerprint, language, mixing, pieces, quality, rules, simhash
 from tidemark.llm.shared import crc_of_id, table
 
 
@@ -45,5 +45,19 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "held_out", language.predict(spark, model, F.col("text")).alias("a")).select("doc_id", "held_out", "a.*")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_mixing_sources, op5_sentencepiece, op7_simhash, op8_language_id)}
-ORACLE: dict[str, str] = {}
+def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_and_next(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return rules.judge(docs, labels).withColumnRenamed("key", "doc_id")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_classifier, op2_mixing_sources, op5_sentencepiece, op7_simhash, op8_language_id, op9_document_fingerprints, op10_quality_rules,
+    )
+}
+ORACLE: dict[str, str] = {"op9_document_fingerprints": fingerprint.sql()}
