@@ -52,8 +52,8 @@ def statistics(text: str | Column) -> Column:
 
 RATIOS = {
     "symbols": ("n_symbols", "n_words"), "capitals": ("n_upper", "n_letters"), "repeats": ("n_repeat_words", "n_words"), "dup_lines": ("n_dup_lines", "n_lines"),
-    "shouts": ("n_shouts", "n_words"), "stops": ("n_stops", "n_words"), "pipes": ("n_pipes", "n_words"), "long_words": ("n_long_words", "n_words"),
-    "digits": ("n_digits", "word_chars"), "letters": ("n_letters", "word_chars"), "word_length": ("word_chars", "n_words"),
+    "shouts": ("n_shouts", "n_words"), "stops": ("n_stops", "n_words"), "pipes": ("n_pipes", "n_words"),
+    "word_length": ("word_chars", "n_words"),
 }
 FEATURES = (*RATIOS, "variety")
 PRIOR = {"n_words": 40.0, "n_letters": 200.0, "n_lines": 5.0, "word_chars": 200.0}  #: short texts are drawn to the corpus's ratio by as much
