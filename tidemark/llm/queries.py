@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import fingerprint, language, mixing, pieces, quality, rules, simhash
+from tidemark.llm import fingerprint, language, licences, mixing, pieces, quality, rules, simhash
 from tidemark.llm.shared import crc_of_id, table
 
 
@@ -23,6 +23,10 @@ def op2_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "source", "mix.*")
 
 
+def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of each whole text, their number, and whether they give the text back."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -57,7 +61,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_quality_classifier, op2_mixing_sources, op5_sentencepiece, op7_simhash, op8_language_id, op9_document_fingerprints, op10_quality_rules,
+        op1_quality_classifier, op2_mixing_sources, op3_license_scans, op5_sentencepiece, op7_simhash, op8_language_id, op9_document_fingerprints, op10_quality_rules,
     )
 }
 ORACLE: dict[str, str] = {"op9_document_fingerprints": fingerprint.sql()}
