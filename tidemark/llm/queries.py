@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import fingerprint, language, licences, mixing, pieces, quality, rules, simhash
+from tidemark.llm import fingerprint, html_text, language, licences, mixing, pieces, quality, rules, simhash
 from tidemark.llm.shared import crc_of_id, table
 
 
@@ -34,6 +34,11 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("back") == F.col("text")).alias("round_trip"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract(table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("key").alias("doc_id"), simhash.as_hex("fp").alias("fingerprint"), "component_id")
@@ -61,7 +66,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_quality_classifier, op2_mixing_sources, op3_license_scans, op5_sentencepiece, op7_simhash, op8_language_id, op9_document_fingerprints, op10_quality_rules,
+        op1_quality_classifier, op2_mixing_sources, op3_license_scans, op5_sentencepiece, op6_html_extraction, op7_simhash, op8_language_id, op9_document_fingerprints, op10_quality_rules,
     )
 }
 ORACLE: dict[str, str] = {"op9_document_fingerprints": fingerprint.sql()}
