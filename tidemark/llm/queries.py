@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import fingerprint, html_text, language, licences, mixing, pieces, quality, rules, simhash
+from tidemark.llm import fingerprint, html_text, language, licences, mixing, ngrams, pieces, quality, rules, simhash
 from tidemark.llm.shared import crc_of_id, table
 
 
+def in_fold(n: int, which: int) -> Column:
+    return F.pmod(crc_of_id("doc_id"), F.lit(n)) == which
+
+
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, the posterior of the labellers' votes, the trained scorer's score, and whether the document is kept."""
     docs = table(spark, sf_dir, "documents")
@@ -27,6 +31,11 @@ def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return ngrams.score(docs, in_fold(7, 2)).withColumnRenamed("key", "doc_id")
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of each whole text, their number, and whether they give the text back."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -44,10 +53,6 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("doc_id"), simhash.as_hex("fp").alias("fingerprint"), "component_id")
 
 
-def in_fold(n: int, which: int) -> Column:
-    return F.pmod(crc_of_id("doc_id"), F.lit(n)) == which
-
-
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", in_fold(5, 0))
     model = language.fit(docs.where(~F.col("held_out")))
@@ -66,7 +71,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_quality_classifier, op2_mixing_sources, op3_license_scans, op5_sentencepiece, op6_html_extraction, op7_simhash, op8_language_id, op9_document_fingerprints, op10_quality_rules,
+        op1_quality_classifier, op2_mixing_sources, op3_license_scans, op4_lm_scoring, op5_sentencepiece, op6_html_extraction, op7_simhash, op8_language_id, op9_document_fingerprints, op10_quality_rules,
     )
 }
 ORACLE: dict[str, str] = {"op9_document_fingerprints": fingerprint.sql()}
