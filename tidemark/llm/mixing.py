@@ -20,7 +20,9 @@ from collections.abc import Mapping
 from fractions import Fraction
 from math import ceil
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import zstandard
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import free_name
@@ -154,6 +156,32 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     return place(docs, **options).select("row.*", F.col("mix").alias(free_name(docs, "mix")))
 
 
-def ordered(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` in the order of the mixture, which the files written of it keep."""
-    return place(docs, **options).orderBy("mix.position").select("row.*")
+def ordered(docs: DataFrame, text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` in the order of the mixture, which the files written of it keep.
+
+    The texts are shuffled twice, for the ranks and for the order; meanwhile they are packed, which takes about a third less.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(*[packed(F.col(text)).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    rows = place(rows, **options).select("row", F.col("mix.position").alias("position")).orderBy("position").select("row.*")
+    return rows.select(*[unpacked(F.col(text)).alias(c) if c == text else x for c, x in zip(docs.columns, columns, strict=True)])
+
+
+def packed(text: Column) -> Column:
+    """Texts as compressed bytes; null stays null."""
+
+    @F.arrow_udf("binary")
+    def pack(texts: pa.Array) -> pa.Array:
+        press = zstandard.ZstdCompressor(level=3).compress
+        return pa.array([None if x is None else press(x) for x in texts.cast(pa.binary()).to_pylist()], pa.binary())
+
+    return pack(text)
+
+
+def unpacked(data: Column) -> Column:
+    @F.arrow_udf("string")
+    def unpack(packs: pa.Array) -> pa.Array:
+        press = zstandard.ZstdDecompressor().decompress
+        return pa.array([None if x is None else press(x) for x in packs.to_pylist()], pa.binary()).cast(pa.string())
+
+    return unpack(data)
