@@ -24,7 +24,7 @@ WIDE = 120  #: lanes of signs: 60 bits from each half of an MD5
 PACK = 3  #: lanes summed in one number, 20 bits each
 ROOM = 20
 CELLS = 64  #: least number of id ranges in which neighbours are sought
-CELL_ROWS = 65_536  #: and one more for so many documents
+CELL_ROWS = 16_384  #: and one more for so many documents
 
 
 def sentences(text: str | Column) -> Column:
@@ -96,7 +96,8 @@ def in_cells(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(id, fingerprint, signs) of each row, by one explode and one aggregation. For use on its own."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("id"), F.explode_outer(sentences(F.coalesce(text, F.lit("")))).alias("x"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
+    rows = rows.select("row", "id", F.explode_outer(sentences("text")).alias("x"))
     found = rows.groupBy("row", "id").agg(*sums_of(F.col("x.sentence"), F.col("x.paragraph"))).withColumn("fp", fingerprint_of_sums())
     return found.select("id", F.col("fp.text").alias("fingerprint"), F.col("fp.signs").alias("signs"))
 

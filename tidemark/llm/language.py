@@ -92,15 +92,19 @@ def suffix_automaton(text: list[int]) -> list[dict[int, int]]:
 
 
 def parse_table(text: list[int], width: int) -> np.ndarray:
-    """Total table over (state, symbol): twice the next state's offset, plus 1 where a phrase ends."""
+    """Total table over (state, symbol): four times the next state's offset, plus the phrases that end there.
+
+    A symbol that cannot extend the match ends it; one that the language does not have is a phrase of its own besides.
+    """
     goto = suffix_automaton(text)
-    root = np.ones(width, np.int32)
+    broken = np.full(width, 2, np.int32)
     for c, to in goto[0].items():
-        root[c] = to * width * 2 + 1
-    out = np.tile(root, (len(goto), 1))
+        broken[c] = to * width * 4 + 1
+    out = np.tile(broken, (len(goto), 1))
+    out[0] = 1
     for s, edges in enumerate(goto):
         if edges:
-            out[s, list(edges)] = np.fromiter(edges.values(), np.int64) * width * 2
+            out[s, list(edges)] = np.fromiter(edges.values(), np.int64) * width * 4
     return out.ravel()
 
 
@@ -148,7 +152,7 @@ class Model:
         active = np.searchsorted(-length, -np.arange(PIECE), "left")  # pieces longer than t
         counts = np.zeros((len(self.tables), len(begin)), np.int32)
         opened = np.where(nth[order] == 0, 1, 0)  # a text begins after a gap
-        states = np.array([(table[0] >> 1) * opened for table in self.tables], np.int32)
+        states = np.array([(table[0] >> 2) * opened for table in self.tables], np.int32)
         for t in range(PIECE):
             k = int(active[t])
             if not k:
@@ -156,8 +160,8 @@ class Model:
             c = codes[begin[:k] + t].astype(np.int32)
             for table, state, count in zip(self.tables, states, counts, strict=True):
                 step = table[state[:k] + c]
-                count[:k] += step & 1
-                state[:k] = step >> 1
+                count[:k] += step & 3
+                state[:k] = step >> 2
         counts += states > 0
         phrases = np.array([np.bincount(owner, x, len(sizes)) for x in counts]).reshape(len(self.tables), len(sizes))
         return phrases * self.bits[:, None] / np.maximum(sizes, 1), n_letters

@@ -188,7 +188,7 @@ class Mixture:
         p = np.stack([np.where(ratio > 0, np.exp2(-(ratio - 1) / GRID), 0.0), ungrid(word) / max(total - 1, 1), np.full(len(cells), 1 / (known + 1))])
         self.weights = np.tile(np.array([0.4, 0.5, 0.1]), (66, 1))
         self.weights[0] = 0, 0.9, 0.1
-        for _ in range(EM_ROUNDS):
+        for _ in range(EM_ROUNDS if len(cells) else 0):
             share = self.weights[b].T * p
             share *= counts / np.maximum(share.sum(0), 1e-300)
             new = np.stack([np.bincount(b, s, 66) for s in share], axis=1)
