@@ -53,6 +53,14 @@ def finite(x) -> Column:
     return F.when(~F.isnan(v) & (F.abs(v) != F.lit(float("inf"))), v)
 
 
+def running_product(x, over) -> Column:
+    """Product of a column over a window, from logarithms; zeros and signs are counted beside them. NULLs are passed over."""
+    v = c(x).cast("double")
+    size = F.exp(F.coalesce(F.sum(F.when(v != 0, F.ln(F.abs(v)))).over(over), F.lit(0.0)))
+    negative, zeros = F.count_if(v < 0).over(over), F.count_if(v == 0).over(over)
+    return F.when(zeros > 0, F.lit(0.0)).when(negative % 2 == 1, -size).otherwise(size)
+
+
 def volatility(ret) -> Column:
     """Annualised sample volatility aggregate of a return column (NULL below two)."""
     return F.stddev_samp(c(ret)) * F.sqrt(F.lit(float(TRADING_DAYS)))

@@ -55,10 +55,10 @@ def add_months_keep_time(ts, months) -> Column:
     return F.timestamp_micros(F.unix_micros(F.add_months(c(ts), months).cast("timestamp")) + rest)
 
 
-def chained_months(start, end, step: int, limit: int = 1200) -> Column:
+def chained_months(start, end, step: int) -> Column:
     """start, then step by step while before end; every step clamps the day of the one before."""
     chain = F.aggregate(
-        F.sequence(F.lit(1), F.least(F.lit(limit), F.ceil(F.months_between(c(end), c(start)) / step).cast("int") + 1)),
+        F.sequence(F.lit(1), F.greatest(F.ceil(F.months_between(c(end), c(start)) / step).cast("int") + 1, F.lit(1))),
         F.array(c(start)),
         lambda acc, _i: F.concat(acc, F.array(F.add_months(F.element_at(acc, -1), step).cast("timestamp"))),
     )

@@ -150,20 +150,23 @@ def promotion(evaluations: DataFrame, min_samples: int, baseline_ratio: float |
     return out.withColumn("passed", F.size("_failed") == 0).withColumn("reason", reason).drop("_failed")
 
 
-def lineage_depth(parents: DataFrame, rounds: int = 16) -> DataFrame:
-    """Generation of every model: 0 without a parent, else the parent's + 1.
+def lineage_depth(parents: DataFrame) -> DataFrame:
+    """Generation of every model: 0 without a parent, else the parent's + 1. A cycle raises ValueError.
 
-    Pointer doubling: each round joins the table with itself once and doubles the distance covered, so
-    ``rounds`` = 16 reaches depth 65,536.
+    Pointer doubling: each round joins the models that still have an ancestor ahead with the table and doubles the
+    distance covered. Finished models are not joined again.
     """
-    state = parents.select("model", F.col("parent").alias("up"), F.col("parent").isNotNull().cast("int").alias("depth"))
     ensure_checkpoint_dir(parents.sparkSession)
-    for _ in range(rounds):
+    state = parents.select("model", F.col("parent").alias("up"), F.col("parent").isNotNull().cast("int").alias("depth")).checkpoint()
+    left = state.filter(F.col("up").isNotNull()).count()
+    while left:
         above = state.select(F.col("model").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"))
-        state = state.join(above, "up", "left").select("model", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"))
-        state = state.checkpoint()
-        if state.filter(F.col("up").isNotNull()).isEmpty():
-            break
+        ahead = state.filter(F.col("up").isNotNull()).join(above, "up", "left")
+        ahead = ahead.select("model", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"))
+        state = state.filter(F.col("up").isNull()).unionByName(ahead).checkpoint()
+        before, left = left, state.filter(F.col("up").isNotNull()).count()
+        if left >= before:  # the nearest unfinished model to a root ends in every round, unless there is none
+            raise ValueError("the lineage has a cycle")
     return state.select("model", F.col("depth").alias("generation"))
 
 

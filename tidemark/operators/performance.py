@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.numeric import DAYS_PER_YEAR, TRADING_DAYS, c, change, ratio
+from tidemark.functions.numeric import DAYS_PER_YEAR, TRADING_DAYS, c, change, ratio, running_product
 from tidemark.operators.scans import previous, running_sum, split_ordered
 
 
@@ -267,11 +267,11 @@ def total_return_levels(bars: DataFrame, actions: DataFrame, base: float = 100.0
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     b = bars.join(per_day, ["security_id", "ts"], "left").withColumn("prev", F.lag("close").over(w))
     step = (F.col("close") * F.coalesce("split", F.lit(1.0)) + F.coalesce("dividend", F.lit(0.0))) / F.col("prev")
-    b = b.withColumn("log_step", F.when(F.col("prev") > 0, F.ln(step)).otherwise(0.0))
+    b = b.withColumn("step", F.when(F.col("prev") > 0, step).otherwise(1.0))
     return b.select(
         "security_id",
         "ts",
-        (F.lit(base) * F.exp(F.sum("log_step").over(run))).alias("level"),
+        (F.lit(base) * running_product("step", run)).alias("level"),
         F.max(F.greatest("available_time", F.coalesce("action_known", "available_time"))).over(run).alias("available_time"),
     )
 
@@ -302,10 +302,11 @@ def vol_target_exposure(bars: DataFrame, target: float = 0.10, days: int = 21) -
     )
 
 
-def walk_forward(ranges: DataFrame, train: int, test: int, step: int, limit: int = 400) -> DataFrame:
+def walk_forward(ranges: DataFrame, train: int, test: int, step: int) -> DataFrame:
     """Rolling train/test windows by months; each start clamps the day of the one before it."""
+    steps = F.greatest(F.ceil(F.months_between("end", "start") / step).cast("int") + 1, F.lit(1))
     chain = F.aggregate(
-        F.sequence(F.lit(1), F.lit(limit)),
+        F.sequence(F.lit(1), steps),
         F.array(F.col("start")),
         lambda acc, _i: F.concat(acc, F.array((F.add_months(F.element_at(acc, -1), step)).cast("timestamp"))),
     )

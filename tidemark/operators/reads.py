@@ -110,11 +110,15 @@ def renamed(intervals: DataFrame, renames: DataFrame) -> DataFrame:
     return intervals.join(r, "ticker", "left").withColumn("ticker", F.coalesce("new_ticker", "ticker")).drop("new_ticker")
 
 
-def members_with_prices(intervals: DataFrame, bars: DataFrame) -> DataFrame:
-    """Per 1 January the members, how many have bars at all, and the ratio."""
+def members_with_prices(intervals: DataFrame, bars: DataFrame, calendar: DataFrame | None = None) -> DataFrame:
+    """Per 1 January the members, how many have bars at all, and the ratio.
+
+    Open intervals last until the newest ``ts`` of the calendar, by default of the bars.
+    """
     priced = bars.select(F.col("security_id").alias("ticker")).distinct().withColumn("priced", F.lit(1))
-    years = F.sequence(F.year("start_date"), F.year(F.coalesce("end_date", F.lit("2001-12-31").cast("timestamp"))))
-    y = intervals.select("ticker", "start_date", "end_date", F.explode(years).alias("year"))
+    last = (bars if calendar is None else calendar).agg(F.max("ts").alias("last"))
+    years = F.sequence(F.year("start_date"), F.greatest(F.year("start_date"), F.year(F.coalesce("end_date", "last"))))
+    y = intervals.crossJoin(F.broadcast(last)).select("ticker", "start_date", "end_date", F.explode(years).alias("year"))
     jan = F.make_timestamp(F.col("year"), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
     on = y.filter((F.col("start_date") <= jan) & (F.col("end_date").isNull() | (jan <= F.col("end_date"))))
     members = on.select("year", "ticker").distinct().join(priced, "ticker", "left")

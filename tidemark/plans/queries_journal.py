@@ -43,12 +43,12 @@ def cleaned(d: Domain):
 
 
 _PLACED = """SELECT trade_id, sample_time, label, place, CASE WHEN place <= floor(n * 0.6::DOUBLE) THEN 'TRAIN' WHEN place <= floor(n * 0.6::DOUBLE) + floor(n * 0.2::DOUBLE) THEN 'VALIDATION' ELSE 'TEST' END AS split FROM (
- SELECT *, position - (total - n) AS place FROM (SELECT trade_id, sample_time, realized_return AS label, row_number() OVER (ORDER BY sample_time, trade_id) AS position, count(*) OVER () AS total, least(count(*) OVER (), 5000) AS n FROM cleaned WHERE status = 'VALID')) WHERE place > 0"""
+ SELECT *, position - (total - n) AS place FROM (SELECT trade_id, sample_time, realized_return AS label, row_number() OVER (ORDER BY sample_time, trade_id) AS position, count(*) OVER () AS total, count(*) OVER () AS n FROM cleaned WHERE status = 'VALID')) WHERE place > 0"""
 VIEWS["samples"] = _PLACED
 
 
 def samples(d: Domain):
-    return jr.training_dataset(cleaned(d), 5000)
+    return jr.training_dataset(cleaned(d))
 
 
 CL = "record_no:i, trade_id:i, status:s, reason:s, sample_time:t"

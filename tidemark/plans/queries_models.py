@@ -146,7 +146,7 @@ def event_stream(d: Domain):
 def _ingest(d: Domain):
     lake, key = _folder(d, "stream-lake"), ("user_id", "event_type", "day")
     s = event_stream(d).select("user_id", "event_type", F.to_date("ts").alias("day"), F.col("ts").alias("available_time"))
-    jobs.start_ingest(s, lake, _folder(d, "stream-ingest"), key=key).awaitTermination()
+    jobs.start_ingest(s, lake, _folder(d, "stream-ingest"), key=key, year=F.year("day")).awaitTermination()
     return d.spark.read.parquet(lake).select("user_id", "event_type", "day")
 
 
@@ -158,25 +158,23 @@ def _newest(d: Domain):
     s = event_stream(d).select("user_id", "event_type", "event_id", "value")
     q = jobs.start_newest(s, table, _folder(d, "stream-newest-ck"), ["user_id", "event_type"], ["event_id"])
     q.awaitTermination()
-    last = max(int(p["batchId"]) for p in q.recentProgress)
-    return d.spark.read.parquet(f"{table}/v={last}")
+    return jobs.read_newest(d.spark, table)
 
 
 query("str_02_newest", "user_id:i, event_type:s, event_id:i, value:f", "SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2")(_newest)
 
 
-def _to_table(d: Domain, df, mode: str):
-    """Complete the stream into files (append) and read them."""
-    out = _folder(d, "stream-out")
-    df.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", _folder(d, "stream-ck")).trigger(availableNow=True).start().awaitTermination()
-    return d.spark.read.schema(df.schema).parquet(out)
+def _windows(d: Domain):
+    counts = _folder(d, "stream-windows")
+    jobs.start_quality_windows(event_stream(d), counts, _folder(d, "stream-windows-ck"), "ts", "event_type", F.col("value") > 40).awaitTermination()
+    return jobs.quality_windows(d.spark.read.parquet(counts), "event_type").withColumnRenamed("start", "start_time")
 
 
 query(
     "str_03_quality_windows",
     "start_time:t, event_type:s, n:i, bad_rate:f",
-    "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start_time, event_type, count(*) AS n, count(*) FILTER (WHERE value > 40) / count(*) AS bad_rate FROM events GROUP BY 1, 2 HAVING CAST(date_trunc('day', ts) AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY",
-)(lambda d: _to_table(d, jobs.quality_windows(event_stream(d), "ts", "event_type", F.col("value") > 40).withColumnRenamed("start", "start_time"), "append"))
+    "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start_time, event_type, count(*) AS n, count(*) FILTER (WHERE value > 40) / count(*) AS bad_rate FROM events GROUP BY 1, 2",
+)(_windows)
 
 
 def _streaks(d: Domain):

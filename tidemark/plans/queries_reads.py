@@ -265,10 +265,10 @@ q(
     "28_members_with_prices",
     "year:i, members:i, with_prices:i, coverage:f",
     f"""SELECT year, count(*) AS members, count(security_id) AS with_prices, count(security_id) / count(*) AS coverage FROM (
- SELECT DISTINCT y AS year, ticker FROM intervals, LATERAL (SELECT unnest(generate_series(year(start_date), year(coalesce(end_date, TIMESTAMP '2001-12-31')))) AS y)
+ SELECT DISTINCT y AS year, ticker FROM intervals, LATERAL (SELECT unnest(generate_series(year(start_date), year(coalesce(end_date, (SELECT max(ts) FROM bars))))) AS y)
  WHERE start_date <= make_timestamp(y, 1, 1, 0, 0, 0.0) AND (end_date IS NULL OR make_timestamp(y, 1, 1, 0, 0, 0.0) <= end_date))
  LEFT JOIN {_PRICED} ON security_id = ticker GROUP BY 1""",
-)(lambda d: rd.members_with_prices(intervals(d), _half_priced(d)))
+)(lambda d: rd.members_with_prices(intervals(d), _half_priced(d), d.bars))
 q(
     "29_removed_coverage",
     "removed:i, covered:i, percentage:f",

@@ -30,19 +30,29 @@ def new_rows(batch: DataFrame, stored: DataFrame, key: Sequence[str] = BAR_KEY)
 def write_bars(rows: DataFrame, path: str) -> None:
     """Append as Parquet by year, sorted by security inside files; the commit protocol makes it atomic.
 
-    Rows are spread by (year, hash of security and day), so one large security does not end up in one writer.
+    Adaptive execution sizes the writers: a large year is split among several, small ones share one.
     """
-    spread = rows.withColumn("year", F.year("ts")).repartition("year", F.pmod(F.xxhash64("security_id", "ts"), F.lit(64)))
+    spread = rows.withColumn("year", F.year("ts")).hint("rebalance", "year")
     spread.sortWithinPartitions("year", "security_id", "ts").write.mode("append").partitionBy("year").parquet(path)
 
 
-def append_bars(spark: SparkSession, batch: DataFrame, path: str) -> DataFrame:
-    """Idempotent append; returns what was written."""
+def exists(spark: SparkSession, path: str) -> bool:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    exists = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-    rows = new_rows(batch, read_bars(spark, path)) if exists else batch.dropDuplicates(list(BAR_KEY))
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def stored_years(spark: SparkSession, batch: DataFrame, path: str, years: Column) -> DataFrame:
+    """The part of the lake that can hold rows of the batch: the years of the batch, whose number the calendar bounds."""
+    present = sorted(r[0] for r in batch.select(years.alias("year")).where("year IS NOT NULL").distinct().collect())
+    return spark.read.schema(batch.schema).parquet(path).where(F.col("year").isin(present) if present else F.lit(False))
+
+
+def append_bars(spark: SparkSession, batch: DataFrame, path: str) -> None:
+    """Idempotent append: rows whose key is stored already, or stands in the batch before, are not written again."""
+    rows = batch.dropDuplicates(list(BAR_KEY))
+    if exists(spark, path):
+        rows = new_rows(batch, stored_years(spark, batch, path, F.year("ts")))
     write_bars(rows, path)
-    return rows
 
 
 def raw_payloads(records: DataFrame, source: str, batch_id: Column, ingestion_time: Column) -> DataFrame:
@@ -100,9 +110,12 @@ def write_snapshots(tables: dict[str, DataFrame], folder: str) -> None:
 
 
 def write_price_files(prices: DataFrame, wanted: DataFrame, folder: str) -> None:
-    """One sorted folder per requested ticker from a large price table; zero-volume rows are dropped."""
+    """One sorted folder per requested ticker from a large price table; zero-volume rows are dropped.
+
+    A ticker with many rows is written by several tasks.
+    """
     rows = real_rows(prices).join(wanted.select("ticker"), "ticker", "left_semi")
-    rows.repartition("ticker").sortWithinPartitions("ticker", "date").write.mode("overwrite").partitionBy("ticker").option("header", True).csv(folder)
+    rows.hint("rebalance", "ticker").sortWithinPartitions("ticker", "date").write.mode("overwrite").partitionBy("ticker").option("header", True).csv(folder)
 
 
 def real_rows(prices: DataFrame) -> DataFrame:

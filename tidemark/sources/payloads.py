@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import schema
+from tidemark.functions.numeric import running_product
 from tidemark.functions.scalars import bar_available, clamp_ingestion, holding_available, record_key, short_interest_available, vintage_available
 from tidemark.sources.lake import content_version
 
@@ -325,6 +326,6 @@ def factor_levels(returns: DataFrame, factor: str, base: float = 100.0) -> DataF
     from pyspark.sql import Window
 
     w = Window.partitionBy("series_id").orderBy("ts")
-    step = F.when(F.row_number().over(w) == 1, 0.0).otherwise(F.ln(1.0 + F.col(factor)))
+    step = F.when(F.row_number().over(w) == 1, 1.0).otherwise(1.0 + F.col(factor))
     stepped = returns.withColumn("_s", step)
-    return stepped.select("series_id", "ts", (F.lit(base) * F.exp(F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, 0)))).alias("level"))
+    return stepped.select("series_id", "ts", (F.lit(base) * running_product("_s", w.rowsBetween(Window.unboundedPreceding, 0))).alias("level"))

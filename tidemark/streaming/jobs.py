@@ -2,60 +2,107 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators.performance import join_streaks, streak_summary
 from tidemark.operators.reads import latest_by
-from tidemark.sources.lake import BAR_KEY, new_rows
+from tidemark.sources.lake import BAR_KEY, exists, new_rows, stored_years
 
 
-def deduplicated(bars: DataFrame, lateness: str = "2 days", key=BAR_KEY) -> DataFrame:
-    """Rows repeated within the lateness are dropped by key; state is bounded by the watermark."""
-    return bars.withWatermark("available_time", lateness).dropDuplicatesWithinWatermark(list(key))
+def start_ingest(bars: DataFrame, lake_path: str, checkpoint: str, key=BAR_KEY, year: Column | None = None) -> StreamingQuery:
+    """Append a stream of bars to the lake, however late they come; a key is stored once.
 
-
-def start_ingest(bars: DataFrame, lake_path: str, checkpoint: str, lateness: str = "2 days", key=BAR_KEY) -> StreamingQuery:
-    """Append a stream of bars to the lake. Keys older than the state are caught by an anti join per batch.
-
-    A batch replayed after a failure finds its own rows in the lake and appends nothing twice.
+    ``year`` is the partition of a row, a function of its key. Each batch is made unique and held against the stored
+    rows of its own years alone. A batch replayed after a failure finds its own rows and appends nothing twice.
     """
+    year = F.year("ts") if year is None else year
+
     def save(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        try:
-            stored = spark.read.schema(batch.schema).parquet(lake_path)
-            rows = new_rows(batch, stored, key)
-        except Exception as e:  # the first batch finds no lake
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            rows = batch
-        rows.write.mode("append").parquet(lake_path)
+        rows = batch.dropDuplicates(list(key))
+        if exists(spark, lake_path):
+            rows = new_rows(batch, stored_years(spark, batch, lake_path, year), key)
+        rows.withColumn("year", year).hint("rebalance", "year").write.mode("append").partitionBy("year").parquet(lake_path)
 
-    stream = deduplicated(bars, lateness, key)
-    return stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return bars.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def start_newest(rows: DataFrame, table_path: str, checkpoint: str, keys: list[str], order: list[str]) -> StreamingQuery:
-    """Keep the newest revision per key: each batch writes a new version of the merged table next to the last one.
+def start_newest(rows: DataFrame, table_path: str, checkpoint: str, keys: list[str], order: list[str], buckets: int = 64) -> StreamingQuery:
+    """Keep the newest revision per key, in ``buckets`` parts by the hash of the key.
 
-    The version number is the batch number, so a replay rewrites the same version.
+    A batch reads and writes only the buckets that it touches; a bucket's new version is named by the batch and its
+    former one removed afterwards, so a replay finds the same ground and writes the same version.
     """
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        merged = batch
-        if number > 0:
-            merged = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{table_path}/v={number - 1}"))
-        latest_by(merged, keys, *order).write.mode("overwrite").parquet(f"{table_path}/v={number}")
+        marked = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        touched = sorted(r[0] for r in marked.select("bucket").distinct().collect())
+        now = versions(spark, table_path, below=number)
+        merged = marked
+        for path in [f"{table_path}/bucket={b}/v={now[b]}" for b in touched if b in now]:
+            merged = merged.unionByName(spark.read.schema(batch.schema).parquet(path).withColumn("bucket", F.lit(int(path.split("bucket=")[1].split("/")[0]))))
+        newest = latest_by(merged, [*keys, "bucket"], *order).withColumn("v", F.lit(number))
+        newest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "v").parquet(table_path)
+        for b in touched:
+            for old in [v for v in all_versions(spark, table_path).get(b, []) if v < now.get(b, number)]:
+                remove(spark, f"{table_path}/bucket={b}/v={old}")
 
     return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def quality_windows(rows: DataFrame, time: str, by: str, bad, width: str = "1 day", slide: str | None = None, lateness: str = "2 days") -> DataFrame:
-    """Rows and share of bad rows per tumbling (or sliding) window of event time."""
+def _files(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, hadoop = _files(spark, path)
+    fs.delete(hadoop, True)
+
+
+def all_versions(spark: SparkSession, table_path: str) -> dict[int, list[int]]:
+    """Stored versions of each bucket; their number is at most two for each bucket."""
+    fs, hadoop = _files(spark, f"{table_path}/bucket=*/v=*")
+    out: dict[int, list[int]] = {}
+    for status in fs.globStatus(hadoop) or []:
+        bucket, version = (int(part.split("=")[1]) for part in status.getPath().toString().split("/")[-2:])
+        out.setdefault(bucket, []).append(version)
+    return out
+
+
+def versions(spark: SparkSession, table_path: str, below: int | None = None) -> dict[int, int]:
+    """The newest version of each bucket, of those written by batches before ``below``."""
+    found = {b: [v for v in vs if below is None or v < below] for b, vs in all_versions(spark, table_path).items()}
+    return {b: max(vs) for b, vs in found.items() if vs}
+
+
+def read_newest(spark: SparkSession, table_path: str) -> DataFrame:
+    """The table as it stands."""
+    paths = [f"{table_path}/bucket={b}/v={v}" for b, v in sorted(versions(spark, table_path).items())]
+    return spark.read.parquet(*paths)
+
+
+def quality_counts(rows: DataFrame, time: str, by: str, bad, width: str = "1 day", slide: str | None = None) -> DataFrame:
+    """Rows and bad rows per tumbling (or sliding) window of event time; counts of parts add up."""
     window = F.window(time, width, slide) if slide else F.window(time, width)
-    g = rows.withWatermark(time, lateness).groupBy(window.alias("w"), by).agg(F.count(F.lit(1)).alias("n"), F.count_if(bad).alias("bad"))
-    return g.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), by, "n", (F.col("bad") / F.col("n")).alias("bad_rate"))
+    g = rows.groupBy(window.alias("w"), by).agg(F.count(F.lit(1)).alias("n"), F.count_if(bad).alias("bad"))
+    return g.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), by, "n", "bad")
+
+
+def start_quality_windows(rows: DataFrame, path: str, checkpoint: str, time: str, by: str, bad, width: str = "1 day", slide: str | None = None) -> StreamingQuery:
+    """Count each batch by window, under the batch's number: late rows are counted, and a replay overwrites its own part."""
+    def save(batch: DataFrame, number: int) -> None:
+        quality_counts(batch, time, by, bad, width, slide).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return rows.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def quality_windows(counts: DataFrame, by: str) -> DataFrame:
+    """Rows and share of bad rows per window from the counts of all batches."""
+    g = counts.groupBy("start", "end", by).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    return g.select("start", "end", by, "n", (F.col("bad") / F.col("n")).alias("bad_rate"))
 
 
 def start_streaks(trades: DataFrame, state_path: str, checkpoint: str, order: list[str]) -> StreamingQuery:
@@ -69,5 +116,7 @@ def start_streaks(trades: DataFrame, state_path: str, checkpoint: str, order: li
         if number > 0:
             fresh = join_streaks(batch.sparkSession.read.parquet(f"{state_path}/v={number - 1}"), fresh, ["grp"])
         fresh.write.mode("overwrite").parquet(f"{state_path}/v={number}")
+        if number > 1:  # the version before is what a replay starts from; older ones are not read again
+            remove(batch.sparkSession, f"{state_path}/v={number - 2}")
 
     return trades.writeStream.foreachBatch(advance).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
