@@ -71,7 +71,7 @@ def test_stream_newest_equals_batch(spark, tmp_path):
     for _ in _write_batches(spark, str(tmp_path / "in"), rows, schema, [(0, 9), (9, 20)]):
         s = spark.readStream.schema(schema).parquet(str(tmp_path / "in" / "*"))
         jobs.start_newest(s, table, ck, ["k"], ["o"]).awaitTermination()
-    got = {r.k: r.v for r in spark.read.parquet(f"{table}/v=1").collect()}
+    got = {r.k: r.v for r in jobs.read_newest(spark, table).collect()}
     assert got == {k: max((o, v) for kk, o, v in rows if kk == k)[1] for k in ("k0", "k1", "k2")}
 
 
@@ -106,3 +106,47 @@ def test_scan_reads_only_needed_columns(spark, sf_dir):
     lineitem = [p for p in plan.split("ReadSchema: ") if p.startswith("struct<l_orderkey")]
     assert lineitem and all("l_extendedprice" not in p.split(">")[0] for p in lineitem)
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_late_rows_reach_the_lake_once(spark, tmp_path):
+    rows = [bar("A", datetime(2024, 3, 1) + timedelta(days=i), float(i)) for i in range(10)]
+    late = [bar("A", datetime(2023, 6, 1) + timedelta(days=i), float(i)) for i in range(5)]
+    feeds = [rows, late + rows[:3], late]
+    lake_path, ck, src = str(tmp_path / "lake"), str(tmp_path / "ck"), tmp_path / "in"
+    for n, feed in enumerate(feeds):
+        spark.createDataFrame(feed, BAR).coalesce(1).write.parquet(str(src / f"b{n}"))
+        s = spark.readStream.schema(BAR).parquet(str(src / "*"))
+        jobs.start_ingest(s, lake_path, ck).awaitTermination()
+    assert spark.read.parquet(lake_path).count() == 15
+
+
+def test_append_reads_only_the_batch_years(spark, tmp_path):
+    path = str(tmp_path / "lake")
+    lake.append_bars(spark, spark.createDataFrame([bar("A", datetime(y, 1, 2), 1.0) for y in (2020, 2021, 2022)], BAR), path)
+    again = spark.createDataFrame([bar("A", datetime(2021, 1, 2), 1.0), bar("A", datetime(2021, 1, 3), 1.0)], BAR)
+    plan = lake.stored_years(spark, again, path, F.year("ts"))._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(year" in plan or "year" in plan.split("PartitionFilters")[1][:60]
+    lake.append_bars(spark, again, path)
+    assert lake.read_bars(spark, path).count() == 4
+
+
+def test_late_windows_are_counted(spark, tmp_path):
+    schema = "ts timestamp, kind string, v double"
+    feeds = [[(datetime(2024, 1, 5, h), "a", float(h)) for h in range(6)], [(datetime(2023, 1, 1, h), "a", 9.0) for h in range(3)]]
+    for n, feed in enumerate(feeds):
+        spark.createDataFrame(feed, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"b{n}"))
+        s = spark.readStream.schema(schema).parquet(str(tmp_path / "in" / "*"))
+        jobs.start_quality_windows(s, str(tmp_path / "out"), str(tmp_path / "ck"), "ts", "kind", F.col("v") > 4).awaitTermination()
+    got = jobs.quality_windows(spark.read.parquet(str(tmp_path / "out")), "kind").collect()
+    assert sorted((r["start"], r["n"], r["bad_rate"]) for r in got) == [(datetime(2023, 1, 1), 3, 1.0), (datetime(2024, 1, 5), 6, 1 / 6)]
+
+
+def test_newest_rewrites_only_touched_buckets(spark, tmp_path):
+    table, ck, schema = str(tmp_path / "t"), str(tmp_path / "ck"), "k string, o int"
+    for n, feed in enumerate([[(f"k{i}", 1) for i in range(50)], [("k7", 2)], [("k7", 3)], [("k7", 0)]]):
+        spark.createDataFrame(feed, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"b{n}"))
+        s = spark.readStream.schema(schema).parquet(str(tmp_path / "in" / "*"))
+        jobs.start_newest(s, table, ck, ["k"], ["o"], buckets=8).awaitTermination()
+    stored = jobs.all_versions(spark, table)
+    assert max(len(v) for v in stored.values()) <= 2 and sum(v != [0] for v in stored.values()) == 1
+    assert {r["k"]: r["o"] for r in jobs.read_newest(spark, table).collect()} == {f"k{i}": 3 if i == 7 else 1 for i in range(50)}

@@ -298,3 +298,38 @@ def test_no_factor_looks_ahead(spark):
     late = [bar("A", as_of, 500.0), bar("A", as_of + timedelta(days=1), 900.0)]
     late += [bar("A", r[1], 700.0, known=as_of + timedelta(days=2), version="9") for r in rows[::7] if r[1] < as_of]
     assert score_factors(bars(spark, rows + late), [as_of], names).first() == before
+
+
+def test_no_cut_in_windows_and_months(spark):
+    df = spark.createDataFrame([("g", D(1900, 1, 31), D(2020, 1, 1))], "grp string, start timestamp, end timestamp")
+    assert pf.walk_forward(df, 24, 6, 1).count() == 120 * 12 - 30
+    assert len(df.select(sc.chained_months("start", "end", 1).alias("x")).first().x) == 1440
+
+
+def test_deep_lineage_and_cycle(spark):
+    from tidemark.operators.journal import lineage_depth
+
+    chain = [(i, i - 1 if i else None) for i in range(300)]
+    got = {r.model: r.generation for r in lineage_depth(spark.createDataFrame(chain, "model int, parent int")).collect()}
+    assert got == {i: i for i in range(300)}
+    with pytest.raises(ValueError):
+        lineage_depth(spark.createDataFrame([*chain[:5], (900, 901), (901, 900)], "model int, parent int"))
+
+
+def test_open_membership_lasts_to_the_newest_bar(spark):
+    from tidemark.operators.reads import members_with_prices
+
+    intervals = spark.createDataFrame([("A", D(2000, 1, 1), None)], "ticker string, start_date timestamp, end_date timestamp")
+    bars = spark.createDataFrame([("A", D(2010, 5, 1))], "security_id string, ts timestamp")
+    assert sorted(r.year for r in members_with_prices(intervals, bars).collect()) == list(range(2000, 2011))
+
+
+def test_levels_after_a_zero_step(spark):
+    bars = spark.createDataFrame([bar("A", D(2024, 1, i + 1), c) for i, c in enumerate([10.0, 0.0, 10.0, 20.0])], BAR)
+    none = spark.createDataFrame([], "security_id string, action_type string, event_time timestamp, effective_time timestamp, available_time timestamp, ratio_text string, amount double")
+    levels = pf.total_return_levels(bars, none).orderBy("ts").collect()
+    assert [round(r.level, 6) for r in levels] == [100.0, 0.0, 0.0, 0.0]
+    from tidemark.sources.payloads import factor_levels
+
+    f = spark.createDataFrame([("s", i, r) for i, r in enumerate([0.0, 0.1, -3.0, -0.5, -1.0, 0.2])], "series_id string, ts int, mkt double")
+    assert [round(r.level, 6) for r in factor_levels(f, "mkt").orderBy("ts").collect()] == [100.0, 110.0, -220.0, -110.0, 0.0, 0.0]
