@@ -176,8 +176,9 @@ def test_mixture_is_a_distribution():
     assert np.allclose(mixture.weights.sum(1), 1) and (mixture.weights[:, 2] > 0).all()
     for x in (0, 5, 15, 16, 17, 1000, 10**9):
         assert abs(ngrams.ungrid(ngrams.grid(np.array([x])))[0] - x) <= 0.05 * x
-    big = np.array([0, 3, 1 << 40])
-    assert (ngrams.unpack(ngrams.pack(big)) == big).all() and (ngrams.unpack(ngrams.pack(big[:2])) == big[:2]).all()
+    big = np.array([0, 3, 1 << 40], np.uint64)
+    assert (ngrams.unpack(ngrams.pack(big)) == big).all() and (ngrams.unpack_sorted(ngrams.pack_sorted(big)) == big).all()
+    assert len(ngrams.unpack(ngrams.pack(big[:0]))) == 0
 
 
 def test_ids_are_the_best_path_and_come_back(spark, odd, odd_rows, empty):

@@ -18,22 +18,23 @@ is scored 1 / (V + 1) by both scores; rows that repeat an id are each answered.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import textbytes as tb
-from tidemark.llm.shared import materialise
+from tidemark.llm.shared import forget, materialise
 
 BLOCK_BYTES = 8 << 20
 RANGE_ROWS = 16_384  #: rows of the corpus for each hash range
 LEAST_RANGES = 64
 END, START = np.uint64(0x0E0D0E0D0E0D0E0D), np.uint64(0x57A27000057A2700)
+SPARE_BITS = 26  #: a bigram's hash has so many bits more than the number of rows, so that one in 2 ** 15 or fewer shares it
 EM_ROUNDS = 60
 GRID = 8  #: cells for each doubling of a ratio or count
 A_SCHEMA = "kind string, block bigint, range int, hashes binary, counts binary, keys array<bigint>, train array<boolean>, sizes array<int>, tokens binary"
@@ -41,12 +42,12 @@ B_SCHEMA = "kind string, block bigint, range int, counts binary, known bigint, t
 C_SCHEMA = "key bigint, held_out boolean, n_tokens bigint, n_known bigint, words binary, pairs binary, contexts binary, cells array<struct<cell: int, n: bigint>>"
 
 
-def bigrams(words: np.ndarray, first: np.ndarray) -> np.ndarray:
+def bigrams(words: np.ndarray, first: np.ndarray, bits: int) -> np.ndarray:
     """Hash of each token with the one before it; ``first`` are the places of texts' first tokens."""
     before = np.empty_like(words)
     before[1:] = words[:-1]
     before[first] = START
-    return tb.mix(before * np.uint64(0xD6E8FEB86659FD93) + words)
+    return tb.mix(before * np.uint64(0xD6E8FEB86659FD93) + words) >> np.uint64(64 - bits)
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -63,13 +64,26 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def pack(numbers: np.ndarray) -> bytes:
-    """Counts as bytes; the first says whether they take 4 or 8 each."""
-    wide = len(numbers) and numbers.max() > 0x7FFFFFFF
-    return (b"8" if wide else b"4") + zlib.compress(numbers.astype("<i8" if wide else "<i4").tobytes(), 1)
+    """Whole numbers from 0 up as compressed bytes: all lowest bytes, then all next ones, up to the widest."""
+    width = max(1, (int(numbers.max(initial=0)).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(numbers, "<u8").view(np.uint8).reshape(-1, 8)[:, :width].T
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def unpack(packed: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(packed[1:]), "<i8" if packed[:1] == b"8" else "<i4").astype(np.int64)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed[1:]), np.uint8).reshape(packed[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : packed[0]] = planes.T
+    return out.view("<u8").reshape(-1)
+
+
+def pack_sorted(numbers: np.ndarray) -> bytes:
+    """Rising numbers by their steps."""
+    return pack(np.diff(numbers, prepend=np.uint64(0)))
+
+
+def unpack_sorted(packed: bytes) -> np.ndarray:
+    return np.cumsum(unpack(packed), dtype=np.uint64)
 
 
 def batch(schema: pa.Schema, rows: list[dict]) -> pa.RecordBatch:
@@ -82,14 +96,13 @@ CELL = pa.list_(pa.struct([("cell", pa.int32()), ("n", pa.int64())]))
 C_ARROW = pa.schema([("key", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("words", pa.binary()), ("pairs", pa.binary()), ("contexts", pa.binary()), ("cells", CELL)])
 
 
-def ranges_of(hashes: np.ndarray, n_ranges: int) -> np.ndarray:
-    """Bounds of the ranges in sorted hashes: range r is hashes[out[r]:out[r + 1]]."""
-    step = (1 << 64) // n_ranges
-    inner = np.searchsorted(hashes, np.array([r * step for r in range(1, n_ranges)], np.uint64))
-    return np.concatenate([[0], inner, [len(hashes)]])
+def ranges_of(hashes: np.ndarray, n_ranges: int, bits: int) -> tuple[list[int], list[int]]:
+    """Bounds of the ranges in sorted hashes of so many bits, and the least hash of each range."""
+    lows = [r << bits - n_ranges.bit_length() + 1 for r in range(n_ranges)]
+    return [*np.searchsorted(hashes, np.array(lows, np.uint64)).tolist(), len(hashes)], lows
 
 
-def cut(batches: Iterator[pa.RecordBatch], n_ranges: int) -> Iterator[pa.RecordBatch]:
+def cut(batches: Iterator[pa.RecordBatch], n_ranges: int, bits: int) -> Iterator[pa.RecordBatch]:
     """Blocks of rows (key, train, text) as range parts of their distinct words and bigrams, and their token sequences."""
     block = TaskContext.get().partitionId() << 32
     for rows in batches:
@@ -99,15 +112,18 @@ def cut(batches: Iterator[pa.RecordBatch], n_ranges: int) -> Iterator[pa.RecordB
             first = np.cumsum(sizes) - sizes
             learn = np.repeat(train[lo:hi], sizes)
             out = []
-            for kind, hashes in (("word", words), ("pair", bigrams(words, first))):
+            for kind, hashes, size in (("word", words, 64), ("pair", bigrams(words, first, bits), bits)):
                 distinct, which = np.unique(hashes, return_inverse=True)
                 counts = np.bincount(which[learn], minlength=len(distinct))
-                bounds = ranges_of(distinct, n_ranges).tolist()
+                bounds, lows = ranges_of(distinct, n_ranges, size)
                 for r, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
                     if b > a:
-                        out.append({"kind": kind, "block": block, "range": r, "hashes": distinct[a:b].tobytes(), "counts": pack(counts[a:b])})
-                if kind == "word":
-                    whole = {"kind": "text", "block": block, "keys": keys.slice(lo, hi - lo).to_pylist(), "train": train[lo:hi].tolist(), "sizes": sizes.tolist(), "tokens": which.astype("<u4").tobytes(), "hashes": distinct.tobytes()}
+                        out.append({"kind": kind, "block": block, "range": r, "hashes": pack_sorted(distinct[a:b] - np.uint64(lows[r])), "counts": pack(counts[a:b])})
+                if kind == "word":  # frequent words get small numbers
+                    order = np.argsort(-np.bincount(which, minlength=len(distinct)), kind="stable")
+                    rank = np.empty(len(order), np.int64)
+                    rank[order] = np.arange(len(order))
+                    whole = {"kind": "text", "block": block, "range": None, "keys": keys.slice(lo, hi - lo).to_pylist(), "train": train[lo:hi].tolist(), "sizes": sizes.tolist(), "tokens": pack(rank[which]), "counts": pack(order), "hashes": pack_sorted(distinct)}
             for a in range(0, len(out), 256):
                 yield batch(A_ARROW, out[a : a + 256])
             yield batch(A_ARROW, [whole])
@@ -117,7 +133,7 @@ def cut(batches: Iterator[pa.RecordBatch], n_ranges: int) -> Iterator[pa.RecordB
 def add_up(part: pa.Table) -> pa.Table:
     """Totals over all blocks of one kind's hashes in one range, for each block in the order it sent them."""
     kind, number = part["kind"][0].as_py(), part["range"][0].as_py()
-    hashes = [np.frombuffer(x, "<u8") for x in part["hashes"].to_pylist()]
+    hashes = [unpack_sorted(x) for x in part["hashes"].to_pylist()]
     counts = np.concatenate([unpack(x) for x in part["counts"].to_pylist()])
     distinct, which = np.unique(np.concatenate(hashes), return_inverse=True)
     totals = np.bincount(which, counts, len(distinct)).astype(np.int64)  # exact below 2 ** 53
@@ -149,19 +165,19 @@ def cells_of(words: np.ndarray, pairs: np.ndarray, contexts: np.ndarray) -> np.n
     return (bucket(contexts - 1) * 512 + ratio.astype(np.int64)) * 512 + grid(words - 1)
 
 
-def count_up(part: pa.Table) -> pa.Table:
+def count_up(part: pa.Table, bits: int) -> pa.Table:
     """A block's texts with the totals of each token, its pair and its context; and its held-out events by cell."""
     kinds = np.array(part["kind"].to_pylist())
     order = np.argsort(np.array(part["range"].to_pylist(), object).astype(float), kind="stable")
     column = part["counts"].to_pylist()
-    totals = {k: np.concatenate([unpack(column[i]) for i in order if kinds[i] == k] or [np.empty(0, np.int64)]) for k in ("word", "pair")}
+    totals = {k: np.concatenate([unpack(column[i]) for i in order if kinds[i] == k] or [np.empty(0, np.uint64)]).astype(np.int64) for k in ("word", "pair")}
     (text,) = part.take(np.flatnonzero(kinds == "text")).to_pylist()
     sizes = np.array(text["sizes"], np.int64)
-    which = np.frombuffer(text["tokens"], "<u4")
-    words = np.frombuffer(text["hashes"], "<u8")[which]
+    which = unpack(text["counts"]).astype(np.int64)[unpack(text["tokens"]).astype(np.int64)]
+    words = unpack_sorted(text["hashes"])[which]
     ends = np.cumsum(sizes)
     first = ends - sizes
-    _, pair = np.unique(bigrams(words, first), return_inverse=True)
+    _, pair = np.unique(bigrams(words, first, bits), return_inverse=True)
     c_word, c_pair = totals["word"][which], totals["pair"][pair]
     c_context = np.empty_like(c_word)
     c_context[1:] = c_word[:-1]
@@ -209,23 +225,29 @@ class Mixture:
 def score(docs: DataFrame, held_out: Column, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row; it learns from rows not held out."""
     spark = docs.sparkSession
-    n_ranges = max(LEAST_RANGES, -(-docs.count() // RANGE_ROWS))
+    n_docs = docs.count()
+    n_ranges = max(LEAST_RANGES, 1 << (n_docs // RANGE_ROWS).bit_length())
+    bits = min(64, SPARE_BITS + n_docs.bit_length())
     rows = docs.select(F.col(key).cast("bigint").alias("key"), (~held_out).alias("train"), F.coalesce(text, F.lit("")).alias("text"))
-    parts = materialise(rows.mapInArrow(lambda batches: cut(batches, n_ranges), A_SCHEMA), "ngram-parts")
-    sums = materialise(parts.where("kind <> 'text'").select("kind", "block", "range", "hashes", "counts").groupBy("kind", "range").applyInArrow(add_up, B_SCHEMA), "ngram-sums")
+    parts = materialise(rows.mapInArrow(lambda batches: cut(batches, n_ranges, bits), A_SCHEMA), "ngram-parts", by="kind")
+    sent = parts.where("kind <> 'text'").select("kind", "block", "range", "hashes", "counts")
+    sums = materialise(sent.groupBy("kind", "range").applyInArrow(add_up, B_SCHEMA), "ngram-sums")
+    forget(parts, "kind=word", "kind=pair")
     whole = {r["kind"]: r for r in sums.where("block is null").groupBy("kind").agg(F.sum("known").alias("known"), F.sum("total").alias("total")).collect()}
     n, v = (whole["sum-word"]["total"], whole["sum-word"]["known"]) if whole else (0, 0)
 
     texts = parts.where("kind = 'text'").select("kind", "block", "range", "counts", "hashes", "keys", "train", "sizes", "tokens")
     answers = sums.where("block is not null").select("kind", "block", "range", "counts", *[F.lit(None).cast(t).alias(c) for c, t in (("hashes", "binary"), ("keys", "array<bigint>"), ("train", "array<boolean>"), ("sizes", "array<int>"), ("tokens", "binary"))])
-    counted = materialise(texts.unionByName(answers).groupBy("block").applyInArrow(count_up, C_SCHEMA), "ngram-counts")
+    counted = materialise(texts.unionByName(answers).groupBy("block").applyInArrow(lambda part: count_up(part, bits), C_SCHEMA), "ngram-counts")
+    forget(parts)
+    forget(sums)
     cells = counted.where("cells is not null").select(F.explode("cells").alias("c")).groupBy("c.cell").agg(F.sum("c.n").alias("n")).collect()
     cells.sort()
     mixture = spark.sparkContext.broadcast(Mixture(np.array([r[0] for r in cells], np.int64), np.array([r[1] for r in cells], float), n, v))
 
     @F.arrow_udf("struct<base_score: double, score: double>")
     def scored(words: pa.Array, pairs: pa.Array, contexts: pa.Array) -> pa.Array:
-        found = [mixture.value.scores(unpack(w), unpack(p), int(unpack(c)[0])) for w, p, c in zip(words.to_pylist(), pairs.to_pylist(), contexts.to_pylist(), strict=True)]
+        found = [mixture.value.scores(unpack(w).astype(np.int64), unpack(p).astype(np.int64), int(unpack(c)[0])) for w, p, c in zip(words.to_pylist(), pairs.to_pylist(), contexts.to_pylist(), strict=True)]
         return pa.StructArray.from_arrays([pa.array([x[i] for x in found], pa.float64()) for i in range(2)], ["base_score", "score"])
 
     out = counted.where("cells is null").withColumn("s", scored("words", "pairs", "contexts"))

@@ -12,20 +12,24 @@ from tidemark.session import ensure_checkpoint_dir
 HASH_UNITS = 1 << 30
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends in files that outlive any executor."""
+def materialise(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder, in one folder for each value of ``by``, and read it back.
+
+    The lineage of what follows ends in files that outlive any executor.
+    """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.shared_path = path
     return out
 
 
-def forget(df: DataFrame) -> None:
-    """Remove a table of :func:`materialise` that no later plan reads."""
-    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.shared_path)
-    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+def forget(df: DataFrame, *parts: str) -> None:
+    """Remove a table of :func:`materialise`, or parts of it, that no later plan reads."""
+    for name in parts or ("",):
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{df.shared_path}/{name}".rstrip("/"))
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
