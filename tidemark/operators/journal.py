@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.numeric import finite, ratio
 from tidemark.operators.asof import asof_join
 from tidemark.operators.reads import latest_by
-from tidemark.operators.scans import numbered, split_ordered
+from tidemark.operators.scans import numbered, running_sum, split_ordered
 from tidemark.session import ensure_checkpoint_dir
 from tidemark.operators.signals import attach
 
@@ -222,3 +222,36 @@ def trailing_mean(samples: DataFrame, window: int) -> DataFrame:
     train = samples.filter(F.col("split") == "TRAIN")
     last = attach(train, train.agg(F.max("place").alias("top")))
     return last.filter(F.col("place") > F.col("top") - window).agg(F.avg("label").alias("prediction"), F.count(F.lit(1)).alias("n"))
+
+
+def replayed_trades(fills: DataFrame, decisions: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """Journal trades of long positions from fills, with realised profit on the running average cost and the holding period.
+
+    ``fills`` has fill_id, order_id, security_id, side, quantity, price, commission, execution_time; ``decisions`` names
+    the decision of each order. Fills whose id is ``stored`` already are not recorded again, but they count for the cost.
+    Between two flat positions the cost is affine in what was bought: a sale keeps the share of the cost that it keeps of
+    the position. So it is a running sum of purchases, each divided by the share kept up to it, and a security with many
+    fills is summed up in pieces.
+    """
+    group, order = ["security_id"], ["execution_time", "fill_id"]
+    buys = F.col("side") == "BUY"
+    signed = F.when(buys, F.col("quantity")).otherwise(-F.col("quantity"))
+    rows = running_sum(split_ordered(fills, group, order), group, order, signed, "position_after")
+    rows = rows.withColumn("position_before", F.col("position_after") - signed)
+    opens = (F.abs("position_before") < 1e-9).cast("int")
+    rows = running_sum(rows, group, order, opens, "episode")
+    episode = ["security_id", "episode"]
+    kept = F.when(~buys & (F.col("position_after") > 1e-9), F.col("position_after") / F.col("position_before")).otherwise(F.lit(1.0))
+    rows = running_sum(rows.withColumn("log_kept", F.ln(kept)), episode, order, F.col("log_kept"), "log_share")
+    rows = running_sum(rows, episode, order, F.when(buys, F.col("quantity") * F.col("price") / F.exp("log_share")), "bought")
+    opened = rows.groupBy(*episode).agg(F.min("execution_time").alias("opened_at"))
+    cost = F.exp(F.col("log_share") - F.col("log_kept")) * F.col("bought") / F.col("position_before")  # average before the sale
+    basis = F.col("average_cost") * F.col("quantity")
+    out = rows.join(opened, episode).withColumn("average_cost", F.when(~buys, cost))
+    out = out.withColumn("realized_pnl", (F.col("price") - F.col("average_cost")) * F.col("quantity") - F.col("commission"))
+    out = out.withColumn("realized_return", F.when(basis != 0, F.col("realized_pnl") / basis))
+    out = out.withColumn("holding_seconds", F.when(~buys, F.unix_timestamp("execution_time") - F.unix_timestamp("opened_at")))
+    out = out.join(decisions.select("order_id", "decision_id"), "order_id")
+    if stored is not None:
+        out = out.join(stored.select("fill_id"), "fill_id", "left_anti")
+    return out.select("fill_id", "order_id", "decision_id", "security_id", "side", "position_after", "average_cost", "realized_pnl", "realized_return", "holding_seconds")

@@ -6,6 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import journal as jr
+from tidemark.operators.scans import numbered, split_ordered
 from tidemark.operators import aggregates as ag
 from tidemark.operators import performance as pf
 from tidemark.plans.domain import Domain
@@ -438,3 +440,43 @@ def _answers(d: Domain):
     miss = F.struct(F.array().cast("array<struct<ticker:string>>").alias("data"))
     g = d.table("part").groupBy("p_brand", (F.col("p_partkey") % 16).alias("g")).agg(F.collect_list(F.struct(F.lpad(F.col("p_partkey").cast("string"), 9, "0").alias("c"), F.coalesce(hit, miss).alias("r"))).alias("x"))
     return g.select(F.transform("x", lambda e: e["c"]).alias("cusips"), F.to_json(F.transform("x", lambda e: e["r"])).alias("response"))
+
+
+# a cycle of eight fills that ends flat: quantity bought, or sold where negative
+CYCLE = (10, 20, -12, 7, -5, 11, -1, -30)
+VIEWS["replay_fills"] = f"""SELECT fill_id, order_id, security_id, CASE WHEN step > 0 THEN 'BUY' ELSE 'SELL' END AS side, CAST(abs(step) AS DOUBLE) AS quantity, price, commission, execution_time, place FROM (
+ SELECT *, list_extract({list(CYCLE)}, CAST((place - 1) % {len(CYCLE)} + 1 AS INT)) AS step FROM (
+ SELECT l_orderkey * 8 + l_linenumber AS fill_id, l_orderkey AS order_id, 'S' || CAST(l_suppkey AS VARCHAR) AS security_id, CAST(l_extendedprice AS DOUBLE) / CAST(l_quantity AS DOUBLE) AS price, CAST(l_tax AS DOUBLE) AS commission, CAST(l_shipdate AS TIMESTAMP) AS execution_time,
+ row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey * 8 + l_linenumber) AS place FROM lineitem))"""
+
+
+def replay_fills(d: Domain):
+    """Fills of each supplier as one security, the sides and quantities by the cycle."""
+    line = d.table("lineitem").select(
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("fill_id"), F.col("l_orderkey").alias("order_id"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("security_id"),
+        (F.col("l_extendedprice").cast("double") / F.col("l_quantity").cast("double")).alias("price"), F.col("l_tax").cast("double").alias("commission"), F.col("l_shipdate").cast("timestamp").alias("execution_time"),
+    )
+    order = ["execution_time", "fill_id"]
+    step = F.element_at(F.array(*[F.lit(x) for x in CYCLE]), ((F.col("place") - 1) % len(CYCLE) + 1).cast("int"))
+    rows = numbered(split_ordered(line, ["security_id"], order), ["security_id"], order, "place").drop("_piece")
+    return rows.withColumn("side", F.when(step > 0, "BUY").otherwise("SELL")).withColumn("quantity", F.abs(step).cast("double")).drop("place")
+
+
+q(
+    "56_replayed_fills",
+    "fill_id:i, decision_id:i, side:s, position_after:f, average_cost:f4, realized_pnl:f3, realized_return:f4, holding_seconds:i",
+    """WITH RECURSIVE s(security_id, place, fill_id, order_id, side, position_after, cost, average_cost, realized_pnl, realized_return, execution_time, opened_at) AS (
+ SELECT security_id, place, fill_id, order_id, side, quantity, price, CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), execution_time, execution_time FROM replay_fills WHERE place = 1
+ UNION ALL
+ SELECT f.security_id, f.place, f.fill_id, f.order_id, f.side, CASE WHEN f.side = 'BUY' THEN position_after + f.quantity ELSE position_after - f.quantity END,
+  CASE WHEN f.side = 'BUY' THEN (cost * position_after + f.price * f.quantity) / (position_after + f.quantity) WHEN position_after = f.quantity THEN 0.0 ELSE cost END,
+  CASE WHEN f.side = 'SELL' THEN cost END, CASE WHEN f.side = 'SELL' THEN (f.price - cost) * f.quantity - f.commission END,
+  CASE WHEN f.side = 'SELL' THEN ((f.price - cost) * f.quantity - f.commission) / (cost * f.quantity) END, f.execution_time, CASE WHEN position_after = 0 THEN f.execution_time ELSE opened_at END
+ FROM s JOIN replay_fills f ON f.security_id = s.security_id AND f.place = s.place + 1)
+ SELECT fill_id, order_id AS decision_id, side, position_after, average_cost, realized_pnl, realized_return, CASE WHEN side = 'SELL' THEN epoch(execution_time) - epoch(opened_at) END AS holding_seconds FROM s WHERE order_id % 5 <> 0""",
+)(
+    lambda d: jr.replayed_trades(
+        replay_fills(d), d.table("orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_orderkey").alias("decision_id")),
+        d.table("lineitem").where("l_orderkey % 5 = 0").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("fill_id")),
+    )
+)
