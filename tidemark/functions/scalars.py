@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -140,9 +142,9 @@ def session_hours(days: DataFrame, special: DataFrame) -> DataFrame:
 
 # fixed trailing words of a company title: legal forms, then state suffixes
 LEGAL_WORDS = (
-    "INC INCORPORATED CORP CORPORATION CO COMPANY LTD LIMITED LLC PLC GROUP HOLDINGS HOLDING COM NEW DEL "
-    "DE MD MN NJ NY PA OH TX CA VA NC GA IL MA WA"
-).split()
+    "INC", "INCORPORATED", "CORP", "CORPORATION", "CO", "COMPANY", "LTD", "LIMITED", "LLC", "PLC", "GROUP", "HOLDINGS", "HOLDING", "COM", "NEW", "DEL",
+    "DE", "MD", "MN", "NJ", "NY", "PA", "OH", "TX", "CA", "VA", "NC", "GA", "IL", "MA", "WA",
+)
 
 
 def normalize_name(text) -> Column:
@@ -212,31 +214,40 @@ def matches_evidence(value, evidence, tolerance: float = 0.005) -> Column:
     return F.exists(c(evidence), lambda e: F.abs(c(value) - e) <= F.greatest(F.abs(e) * tolerance, F.lit(1e-9)))
 
 
+# fixed values: names of exchanges before a ticker, and endings of a possessive
+EXCHANGES = ("NYSE", "NASDAQ", "Nasdaq", "NasdaqGS", "NYSEARCA")
+POSSESSIVES = ("'s", "’s", "s")
+NOT_AFTER_LETTER, NOT_BEFORE_LETTER = "(?<![A-Za-z])", "(?![A-Za-z])"
+
+
+def _any_of(words: Sequence[str]) -> str:
+    return "(?:" + "|".join(sorted(words, key=len, reverse=True)) + ")"
+
+
 def mask_text(text, aliases, ticker) -> Column:
-    """Company aliases (longest first), exchange:ticker, $ticker and the bare ticker replaced. Whole texts."""
-    longest = F.array_sort(c(aliases), lambda a, b: F.length(b) - F.length(a))
+    """A company's names and ticker made anonymous in a whole text: one pattern finds the names, one the ticker.
 
-    def quoted(x):
-        return F.concat(F.lit(r"\Q"), x, F.lit(r"\E"))
+    A name may carry a possessive. A ticker counts after an exchange's name or a dollar sign, and on its own from three letters on.
+    """
+    literal = lambda x: F.concat(F.lit(r"\Q"), x, F.lit(r"\E"))
+    by_length = F.array_sort(c(aliases), lambda a, b: F.length(b) - F.length(a))
+    names = F.concat(F.lit(NOT_AFTER_LETTER + "(?:"), F.array_join(F.transform(by_length, literal), "|"), F.lit(f"){_any_of(POSSESSIVES)}?{NOT_BEFORE_LETTER}"))
+    symbol = literal(c(ticker))
+    marked = F.concat(F.lit(rf"(?:\b{_any_of(EXCHANGES)}\s*:\s*|\$)"), symbol, F.lit(r"\b"))
+    alone = F.concat(F.lit("|" + NOT_AFTER_LETTER), symbol, F.lit(NOT_BEFORE_LETTER))
+    symbols = F.when(F.length(c(ticker)) >= 3, F.concat(marked, alone)).otherwise(marked)
+    unnamed = F.when(F.size(c(aliases)) > 0, F.regexp_replace(c(text), names, F.lit("the company"))).otherwise(c(text))
+    return F.regexp_replace(unnamed, symbols, F.lit("the company's ticker"))
 
-    no_alias = F.aggregate(
-        longest,
-        c(text),
-        lambda acc, a: F.regexp_replace(acc, F.concat(F.lit("(?<![A-Za-z])"), quoted(a), F.lit("(?:'s|’s|s)?(?![A-Za-z])")), F.lit("the company")),
-    )
-    named = F.lit("the company's ticker")
-    t = quoted(c(ticker))
-    listed = F.regexp_replace(no_alias, F.concat(F.lit(r"\b(?:NYSE|NASDAQ|Nasdaq|NasdaqGS|NYSEARCA)\s*:\s*"), t, F.lit(r"\b")), named)
-    cash = F.regexp_replace(listed, F.concat(F.lit(r"\$"), t, F.lit(r"\b")), named)
-    bare = F.regexp_replace(cash, F.concat(F.lit("(?<![A-Za-z])"), t, F.lit("(?![A-Za-z])")), named)
-    return F.when(F.length(c(ticker)) >= 3, bare).otherwise(cash)
+
+NEWS_TIME = r"^\s*(\d{4}-\d{2}-\d{2})(?:[T ](\d{2}:\d{2})(:\d{2})?)?\s*(?:UTC|Z+)?([+-]\d{2})?:?(\d{2})?\s*$"
 
 
 def parse_news_time(raw) -> Column:
-    """Four timestamp formats, UTC unless an offset is given; NULL when none fits."""
-    text = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim(c(raw)), " UTC", ""), "T", " "), "Z+$", "")
-    formats = ("yyyy-MM-dd HH:mm:ssXX", "yyyy-MM-dd HH:mm:ssXXX", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd")
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
+    """A date with or without time, seconds and offset (UTC where none is given); NULL for anything else."""
+    part = lambda i, missing: F.coalesce(F.nullif(F.regexp_extract(c(raw), NEWS_TIME, i), F.lit("")), F.lit(missing))
+    whole = F.concat(part(1, ""), F.lit(" "), part(2, "00:00"), part(3, ":00"), part(4, "+00"), F.lit(":"), part(5, "00"))
+    return F.try_to_timestamp(whole, F.lit("yyyy-MM-dd HH:mm:ssXXX"))
 
 
 def event_day(ts, close_hour: int = 20) -> Column:
