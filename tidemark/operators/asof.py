@@ -143,11 +143,18 @@ def facts_on_grid(
     return spread.select(*keys, "as_of", *[F.col("_r")[x].alias(x) for x in facts.columns if x not in keys])
 
 
-def history_on_grid(facts: DataFrame, grid: Sequence[datetime], known: str = "available_time") -> DataFrame:
-    """Every fact repeated at each grid moment that can see it."""
-    ranged = once(facts, _known=F.col(known))
-    placed = once(ranged, _first=moments_below(grid, "_known", inclusive=False) + 1).drop("_known")
-    return placed.withColumn("as_of", F.explode(moments_between(grid, F.col("_first"), F.lit(len(grid))))).drop("_first")
+def history_on_grid(facts: DataFrame, grid: Sequence[datetime], known: str = "available_time", until: Column | None = None) -> DataFrame:
+    """Every fact repeated at each grid moment that can see it, up to its last moment of use where ``until`` names one.
+
+    A reader of a window gives ``until``, so that a fact is repeated as often as windows hold it, not to the end of the
+    grid. A NULL ``until`` sets no end.
+    """
+    end = F.lit(None).cast("timestamp") if until is None else until.cast("timestamp")
+    ranged = once(facts, _known=F.col(known), _until=end)
+    last = F.when(F.col("_until").isNull(), F.lit(len(grid))).otherwise(moments_below(grid, "_until"))
+    placed = once(ranged, _first=moments_below(grid, "_known", inclusive=False) + 1, _last=last).drop("_known", "_until")
+    used = placed.filter(F.col("_first") <= F.col("_last"))
+    return used.withColumn("as_of", F.explode(moments_between(grid, F.col("_first"), F.col("_last")))).drop("_first", "_last")
 
 
 def asof_join(

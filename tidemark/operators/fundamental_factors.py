@@ -346,7 +346,8 @@ def standardized_surprise(facts, grid) -> DataFrame:
 
 def insider_buying(insider: DataFrame, grid, months: int = 6) -> DataFrame:
     """(bought - sold) / (bought + sold) shares, plan trades left out."""
-    seen = history_on_grid(insider, grid)
+    # month ends clamp, hence a few days more than the months; the filter is exact
+    seen = history_on_grid(insider, grid, until=F.add_months("transaction_date", months).cast("timestamp") + F.expr("INTERVAL '5' DAY"))
     recent = seen.filter((F.col("transaction_date") >= F.add_months("as_of", -months)) & (F.col("transaction_date") <= F.col("as_of")))
     own = ~F.col("is_10b5_1_plan")
     buy = F.sum(F.when(own & (F.col("transaction_code") == "P"), F.col("shares")).otherwise(0.0))

@@ -38,14 +38,14 @@ def universe_on_grid(membership: DataFrame, grid) -> DataFrame:
 
 def actions_on_grid(actions: DataFrame, grid, days: int) -> DataFrame:
     """Actions known at the moment whose effective (else event) time lies in the days before it."""
-    seen = history_on_grid(actions, grid)
     when = F.coalesce("effective_time", "event_time")
+    seen = history_on_grid(actions, grid, until=when + F.make_dt_interval(F.lit(days)))
     inside = (when >= F.col("as_of") - F.make_dt_interval(F.lit(days))) & (when <= F.col("as_of"))
     return seen.filter(when.isNull() | inside)
 
 
 def benchmark_on_grid(benchmark: DataFrame, grid, days: int) -> DataFrame:
-    seen = history_on_grid(benchmark, grid)
+    seen = history_on_grid(benchmark, grid, until=F.col("ts") + F.make_dt_interval(F.lit(days)))
     return seen.filter((F.col("ts") >= F.col("as_of") - F.make_dt_interval(F.lit(days))) & (F.col("ts") <= F.col("as_of")))
 
 

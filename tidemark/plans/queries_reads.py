@@ -87,7 +87,7 @@ q(
     "record_id:i, as_of:t, security_id:s, shares:f2",
     "SELECT record_id, as_of, security_id, shares FROM insider JOIN grid_i ON available_time <= as_of AND transaction_date BETWEEN as_of - INTERVAL 10 DAY AND as_of",
 )(
-    lambda d: history_on_grid(d.insider, _igrid()).filter(
+    lambda d: history_on_grid(d.insider, _igrid(), until=F.col("transaction_date") + F.expr("INTERVAL '10' DAY")).filter(
         F.col("transaction_date").between(F.col("as_of") - F.expr("INTERVAL '10' DAY"), F.col("as_of"))
     )
 )
