@@ -44,15 +44,33 @@ def _top(n: int, x: str) -> Column:
     return F.when(F.col("rn") <= n, F.col(x))
 
 
-def trend(points: DataFrame) -> DataFrame:
-    n = F.count(F.lit(1))
-    value = F.when(n >= TREND_LONG, ratio(F.avg(_top(TREND_SHORT, "px")) - F.avg(_top(TREND_LONG, "px")), F.avg(_top(TREND_LONG, "px"))))
-    g = points.groupBy(*KEY).agg(value.alias("trend_value"), completeness(n, TREND_LONG).alias("trend_complete"))
+# Each axis has up to three parts: columns added to the points by windows, aggregates by key, and the state read off
+# them. An axis alone and all of them together are built from the same parts, so that the composite passes once.
+
+
+def _count() -> Column:
+    return F.count(F.lit(1))
+
+
+def _whole_volume() -> Column:
+    return F.count("volume") == _count()
+
+
+def _trend_sums() -> list[Column]:
+    value = F.when(_count() >= TREND_LONG, ratio(F.avg(_top(TREND_SHORT, "px")) - F.avg(_top(TREND_LONG, "px")), F.avg(_top(TREND_LONG, "px"))))
+    return [value.alias("trend_value"), completeness(_count(), TREND_LONG).alias("trend_complete")]
+
+
+def _trend_state(g: DataFrame) -> DataFrame:
     v = F.col("trend_value")
     state = F.when(v.isNull(), "UNKNOWN").when(v > TREND_BAND, "BULL").when(v < -TREND_BAND, "BEAR").otherwise("NEUTRAL")
     return g.withColumn("trend", state)
 
 
+def trend(points: DataFrame) -> DataFrame:
+    return _trend_state(points.groupBy(*KEY).agg(*_trend_sums()))
+
+
 def rolling_volatility(points: DataFrame) -> DataFrame:
     """Annualised volatility of each ``VOL_WINDOW`` consecutive prices."""
     w = Window.partitionBy(*KEY).orderBy("ts")
@@ -62,83 +80,125 @@ def rolling_volatility(points: DataFrame) -> DataFrame:
     return points.withColumn("vol", F.when(full, vol))
 
 
-def volatility(points: DataFrame) -> DataFrame:
-    """Share of the last rolling volatilities at or below the current one, cut into states."""
-    rolled = rolling_volatility(points)
+def _volatility_columns(points: DataFrame) -> DataFrame:
     current = F.max(F.when(F.col("rn") == 1, F.col("vol"))).over(Window.partitionBy(*KEY))
-    history = F.when(F.col("rn") <= VOL_HISTORY, F.col("vol"))
-    g = rolled.withColumn("current", current).withColumn("h", history).groupBy(*KEY).agg(
+    return rolling_volatility(points).withColumn("current", current).withColumn("h", F.when(F.col("rn") <= VOL_HISTORY, F.col("vol")))
+
+
+def _volatility_sums() -> list[Column]:
+    return [
         F.max("current").alias("volatility_value"),
-        completeness(F.count(F.lit(1)), VOL_WINDOW + VOL_HISTORY - 1).alias("volatility_complete"),
-        F.count("vol").alias("n"),
-        ratio(F.count_if(F.col("h") <= F.col("current")), F.count("h")).alias("rank"),
-    )
-    usable = (F.col("volatility_complete") >= MIN_COMPLETE) & (F.col("n") >= 2)
-    state = (
-        F.when(~usable, "UNKNOWN")
-        .when(F.col("rank") >= VOL_EXTREME, "EXTREME")
-        .when(F.col("rank") >= VOL_HIGH, "HIGH")
-        .when(F.col("rank") <= VOL_LOW, "LOW")
-        .otherwise("NORMAL")
-    )
-    return g.withColumn("volatility", state).drop("n", "rank")
+        completeness(_count(), VOL_WINDOW + VOL_HISTORY - 1).alias("volatility_complete"),
+        F.count("vol").alias("_vol_n"),
+        ratio(F.count_if(F.col("h") <= F.col("current")), F.count("h")).alias("_vol_rank"),
+    ]
 
 
-def liquidity(points: DataFrame) -> DataFrame:
-    n = F.count(F.lit(1))
-    whole = F.count("volume") == n
-    value = F.when(whole & (n >= LIQ_BASE), ratio(F.avg(_top(LIQ_RECENT, "volume")), F.avg(_top(LIQ_BASE, "volume"))))
-    g = points.groupBy(*KEY).agg(value.alias("liquidity_value"), F.when(whole, completeness(n, LIQ_BASE)).otherwise(0.0).alias("liquidity_complete"))
+def _volatility_state(g: DataFrame) -> DataFrame:
+    """Share of the last rolling volatilities at or below the current one, cut into states."""
+    usable = (F.col("volatility_complete") >= MIN_COMPLETE) & (F.col("_vol_n") >= 2)
+    rank = F.col("_vol_rank")
+    state = F.when(~usable, "UNKNOWN").when(rank >= VOL_EXTREME, "EXTREME").when(rank >= VOL_HIGH, "HIGH").when(rank <= VOL_LOW, "LOW").otherwise("NORMAL")
+    return g.withColumn("volatility", state).drop("_vol_n", "_vol_rank")
+
+
+def volatility(points: DataFrame) -> DataFrame:
+    return _volatility_state(_volatility_columns(points).groupBy(*KEY).agg(*_volatility_sums()))
+
+
+def _liquidity_sums() -> list[Column]:
+    value = F.when(_whole_volume() & (_count() >= LIQ_BASE), ratio(F.avg(_top(LIQ_RECENT, "volume")), F.avg(_top(LIQ_BASE, "volume"))))
+    return [value.alias("liquidity_value"), F.when(_whole_volume(), completeness(_count(), LIQ_BASE)).otherwise(0.0).alias("liquidity_complete")]
+
+
+def _liquidity_state(g: DataFrame) -> DataFrame:
     v = F.col("liquidity_value")
     return g.withColumn("liquidity", F.when(v.isNull(), "UNKNOWN").when(v < LIQ_LOW, "LOW").when(v > LIQ_HIGH, "HIGH").otherwise("NORMAL"))
 
 
-def correlation(points: DataFrame, reference: DataFrame) -> DataFrame:
-    """Correlation of the last 60 common-day returns with a reference."""
-    ref = reference.select("as_of", "ts", F.col("px").alias("rpx"))
-    both = points.join(ref, ["as_of", "ts"])
-    newest = Window.partitionBy(*KEY).orderBy(F.desc("ts"))
-    by_time = Window.partitionBy(*KEY).orderBy("ts")
-    both = both.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*KEY))).withColumn("k", F.row_number().over(newest)).filter(F.col("k") <= COR_WINDOW + 1)
-    both = both.withColumn("a", change("px", F.lag("px").over(by_time))).withColumn("b", change("rpx", F.lag("rpx").over(by_time)))
-    g = both.groupBy(*KEY).agg(
-        F.when(F.max("n") >= COR_WINDOW + 1, corr_of("a", "b")).alias("correlation_value"),
-        completeness(F.max("n"), COR_WINDOW + 1).alias("correlation_complete"),
-    )
+def liquidity(points: DataFrame) -> DataFrame:
+    return _liquidity_state(points.groupBy(*KEY).agg(*_liquidity_sums()))
+
+
+def _correlation_columns(points: DataFrame, reference: DataFrame) -> DataFrame:
+    """Returns (a, b) between days common with the reference, of the newest of them; ``common`` marks those days."""
+    ref = reference.select("as_of", "ts", F.col("px").alias("rpx"), F.lit(True).alias("common"))
+    both = points.join(ref, ["as_of", "ts"], "left")
+    shared = F.when(F.col("common"), 1)
+    newest = Window.partitionBy(*KEY).orderBy(F.desc("ts")).rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("inside", F.coalesce(F.col("common") & (F.sum(shared).over(newest) <= COR_WINDOW + 1), F.lit(False)))
+    before = Window.partitionBy(*KEY).orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("inside"), F.struct("px", "rpx")), ignorenulls=True).over(before)
+    both = both.withColumn("last", last)
+    return both.withColumn("a", F.when(F.col("inside"), change("px", "last.px"))).withColumn("b", F.when(F.col("inside"), change("rpx", "last.rpx")))
+
+
+def _correlation_sums() -> list[Column]:
+    n = F.count("common")
+    return [
+        F.when(n >= COR_WINDOW + 1, corr_of("a", "b")).alias("correlation_value"),
+        F.when(n > 0, completeness(n, COR_WINDOW + 1)).alias("correlation_complete"),
+    ]
+
+
+def _correlation_state(g: DataFrame) -> DataFrame:
     v = F.col("correlation_value")
-    return g.withColumn("correlation", F.when(v.isNull(), "UNKNOWN").when(v >= COR_HIGH, "HIGH").when(v <= COR_LOW, "LOW").otherwise("NORMAL"))
+    state = F.when(v.isNull(), "UNKNOWN").when(v >= COR_HIGH, "HIGH").when(v <= COR_LOW, "LOW").otherwise("NORMAL")
+    return g.withColumn("correlation", F.when(F.col("correlation_complete").isNotNull(), state))
 
 
-def stress(points: DataFrame, volatility_states: DataFrame) -> DataFrame:
-    """Worst drawdown of the last 60 prices combined with the volatility state."""
+def correlation(points: DataFrame, reference: DataFrame) -> DataFrame:
+    """Correlation of the last 60 common-day returns with a reference; no row where there is no common day."""
+    g = _correlation_columns(points, reference).groupBy(*KEY).agg(*_correlation_sums())
+    return _correlation_state(g.where(F.col("correlation_complete").isNotNull()))
+
+
+def _stress_columns(points: DataFrame) -> DataFrame:
     run = Window.partitionBy(*KEY).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    window = points.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*KEY))).filter(F.col("rn") <= STRESS_WINDOW)
-    window = window.withColumn("dd", ratio("px", F.max("px").over(run)) - 1.0)
-    g = window.groupBy(*KEY).agg(F.least(F.lit(0.0), F.min("dd")).alias("stress_value"), F.max("n").alias("n"))
-    complete = completeness(F.col("n"), STRESS_WINDOW)
-    g = g.join(volatility_states.select(*KEY, "volatility"), list(KEY), "left").withColumn("stress_complete", complete)
-    known = (F.col("n") >= 2) & (F.col("stress_complete") >= MIN_COMPLETE)
-    high = F.col("volatility").isin("HIGH", "EXTREME")
-    v = F.col("stress_value")
+    recent = F.col("rn") <= STRESS_WINDOW
+    return points.withColumn("dd", F.when(recent, ratio("px", F.max(F.when(recent, F.col("px"))).over(run)) - 1.0))
+
+
+def _stress_sums() -> list[Column]:
+    return [F.least(F.lit(0.0), F.min("dd")).alias("stress_value"), _count().alias("_stress_n")]
+
+
+def _stress_state(g: DataFrame) -> DataFrame:
+    """Worst drawdown of the last 60 prices combined with the volatility state."""
+    g = g.withColumn("stress_complete", completeness(F.col("_stress_n"), STRESS_WINDOW))
+    known = (F.col("_stress_n") >= 2) & (F.col("stress_complete") >= MIN_COMPLETE)
+    high, v = F.col("volatility").isin("HIGH", "EXTREME"), F.col("stress_value")
     state = F.when(~known, "UNKNOWN").when(high & (v <= STRESS_HIGH), "HIGH").when(high | (v <= STRESS_ELEVATED), "ELEVATED").otherwise("NORMAL")
-    return g.withColumn("stress", state).withColumn("stress_value", F.when(known, v)).select(*KEY, "stress", "stress_value", "stress_complete")
+    return g.withColumn("stress", state).withColumn("stress_value", F.when(known, v)).drop("_stress_n")
 
 
-def distribution_days(points: DataFrame) -> DataFrame:
-    """Days of the last 25 with a decline on higher volume."""
+def stress(points: DataFrame, volatility_states: DataFrame) -> DataFrame:
+    g = _stress_columns(points).groupBy(*KEY).agg(*_stress_sums())
+    g = _stress_state(g.join(volatility_states.select(*KEY, "volatility"), list(KEY), "left"))
+    return g.select(*KEY, "stress", "stress_value", "stress_complete")
+
+
+def _distribution_columns(points: DataFrame) -> DataFrame:
     by_time = Window.partitionBy(*KEY).orderBy("ts")
-    p = points.withColumn("v0", F.lag("volume").over(by_time))
-    hit = (F.col("rn") <= DIST_WINDOW) & (F.col("ret") <= DIST_DECLINE) & (F.col("volume") > F.col("v0"))
-    n = F.count(F.lit(1))
-    whole = F.count("volume") == n
-    g = p.groupBy(*KEY).agg(
-        F.when(whole & (n >= DIST_WINDOW + 1), F.count_if(hit).cast("double")).alias("distribution_value"),
-        F.when(whole, completeness(n, DIST_WINDOW + 1)).otherwise(0.0).alias("distribution_complete"),
-    )
+    fell = (F.col("rn") <= DIST_WINDOW) & (F.col("ret") <= DIST_DECLINE) & (F.col("volume") > F.lag("volume").over(by_time))
+    return points.withColumn("distributed", fell)
+
+
+def _distribution_sums() -> list[Column]:
+    value = F.when(_whole_volume() & (_count() >= DIST_WINDOW + 1), F.count_if("distributed").cast("double"))
+    return [value.alias("distribution_value"), F.when(_whole_volume(), completeness(_count(), DIST_WINDOW + 1)).otherwise(0.0).alias("distribution_complete")]
+
+
+def _distribution_state(g: DataFrame) -> DataFrame:
     v = F.col("distribution_value")
     return g.withColumn("distribution", F.when(v.isNull(), "UNKNOWN").when(v >= DIST_HIGH, "HIGH").when(v >= DIST_WARN, "ELEVATED").otherwise("NORMAL"))
 
 
+def distribution_days(points: DataFrame) -> DataFrame:
+    """Days of the last 25 with a decline on higher volume."""
+    return _distribution_state(_distribution_columns(points).groupBy(*KEY).agg(*_distribution_sums()))
+
+
 def composite_label(trend_state="trend", vol_state="volatility", stress_state="stress") -> Column:
     t, v = F.col(trend_state), F.col(vol_state)
     named = (
@@ -148,11 +208,10 @@ def composite_label(trend_state="trend", vol_state="volatility", stress_state="s
 
 
 def composite(revisions: DataFrame, reference: DataFrame, grid: Sequence[datetime]) -> DataFrame:
-    """All axes in one row; every axis is keyed alike, so the joins reuse one partitioning."""
-    points = points_on_grid(revisions, grid)
-    ref = points_on_grid(reference, grid)
-    vol = volatility(points)
-    out = trend(points)
-    for axis in (vol, liquidity(points), correlation(points, ref), stress(points, vol), distribution_days(points)):
-        out = out.join(axis, list(KEY), "left")
+    """All axes in one row: one pass of windows over the points and one aggregation, beside the join with the reference."""
+    points = _correlation_columns(points_on_grid(revisions, grid), points_on_grid(reference, grid))
+    points = _distribution_columns(_stress_columns(_volatility_columns(points)))
+    out = points.groupBy(*KEY).agg(*_trend_sums(), *_volatility_sums(), *_liquidity_sums(), *_correlation_sums(), *_stress_sums(), *_distribution_sums())
+    for state in (_trend_state, _volatility_state, _liquidity_state, _correlation_state, _stress_state, _distribution_state):
+        out = state(out)
     return out.withColumn("label", composite_label())
