@@ -56,34 +56,84 @@ def _finite_fields() -> Column:
     return ~bad
 
 
-def non_finite(bars: DataFrame) -> DataFrame:
-    return issues(bars.filter(~_finite_fields()), "non_finite_value", "CRITICAL", F.lit("NaN or infinite field"))
+Rule = tuple[str, str, Column, Column]  # check name, severity, when it fires, message
 
 
-def ohlc(bars: DataFrame) -> DataFrame:
+def flagged(rows: DataFrame, *rules: Rule, ts: str = "ts") -> DataFrame:
+    """Issue rows of all rules in one pass over ``rows``."""
+    fired = [F.when(fires, F.struct(F.lit(name).alias("check_name"), F.lit(level).alias("severity"), message.alias("message"))) for name, level, fires, message in rules]
+    found = rows.select("security_id", F.col(ts).cast("timestamp").alias("ts"), F.inline(F.array_compact(F.array(*fired))))
+    return found.select("check_name", "severity", "security_id", "ts", "message")
+
+
+def _non_finite() -> Rule:
+    return "non_finite_value", "CRITICAL", ~_finite_fields(), F.lit("NaN or infinite field")
+
+
+def _ohlc() -> Rule:
     """NaN fails every comparison, while Spark orders it above all numbers: not-finite rows fail outright."""
     h, lo, o, c = (F.col(x) for x in ("high", "low", "open", "close"))
     nan = F.isnan(h) | F.isnan(lo) | F.isnan(o) | F.isnan(c)
     valid = (h >= F.greatest(o, c)) & (lo <= F.least(o, c)) & (h >= lo) & ~nan
-    return issues(bars.filter(~valid), "ohlc_consistency", "ERROR", _text("open", o, "high", h, "low", lo, "close", c))
+    return "ohlc_consistency", "ERROR", ~valid, _text("open", o, "high", h, "low", lo, "close", c)
+
+
+def _bad_price() -> Rule:
+    return "negative_or_zero_price", "ERROR", F.least("open", "high", "low", "close") <= 0, _text("close", F.col("close"))
+
+
+def _negative_volume() -> Rule:
+    return "negative_volume", "ERROR", F.col("volume") < 0, _text("volume", F.col("volume"))
+
+
+def _future_dated(now: Column) -> Rule:
+    return "future_dated", "ERROR", F.col("available_time") > now, _text("available", F.col("available_time"))
+
+
+def _inversion() -> Rule:
+    return "ingestion_precedes_availability", "ERROR", F.col("ingestion_time") < F.col("available_time"), F.lit("ingested before available")
+
+
+def _extreme_move() -> Rule:
+    move = F.abs(F.col("close") - F.col("prev")) / F.when(F.col("prev") > 0, F.col("prev"))
+    return "impossible_price_movement", "WARNING", move > EXTREME_MOVE, _text("from", F.col("prev"), "to", F.col("close"))
+
+
+def _gap(days: int) -> Rule:
+    return "missing_timestamp_gaps", "WARNING", F.col("gap") > days, _text(F.col("gap"), "day gap")
+
+
+def _stale(now: Column, days: int) -> Rule:
+    late = F.col("newest") & (F.col("ts") + F.make_dt_interval(F.lit(days)) < now)
+    return "stale_data", "WARNING", late, F.lit("no recent bar")
+
+
+def in_sequence(bars: DataFrame) -> DataFrame:
+    """``bars``, one row per security and day, with the close before, the days since, and whether it is the newest."""
+    w = Window.partitionBy("security_id").orderBy("ts")
+    gap = F.floor((F.unix_seconds("ts") - F.unix_seconds(F.lag("ts").over(w))) / 86400)
+    return bars.withColumn("prev", F.lag("close").over(w)).withColumn("gap", gap).withColumn("newest", F.lead("ts").over(w).isNull())
+
+
+def non_finite(bars: DataFrame) -> DataFrame:
+    return flagged(bars, _non_finite())
+
+
+def ohlc(bars: DataFrame) -> DataFrame:
+    return flagged(bars, _ohlc())
 
 
 def bad_price(bars: DataFrame) -> DataFrame:
-    return issues(
-        bars.filter(F.least("open", "high", "low", "close") <= 0), "negative_or_zero_price", "ERROR", _text("close", F.col("close"))
-    )
+    return flagged(bars, _bad_price())
 
 
 def negative_volume(bars: DataFrame) -> DataFrame:
-    return issues(bars.filter(F.col("volume") < 0), "negative_volume", "ERROR", _text("volume", F.col("volume")))
+    return flagged(bars, _negative_volume())
 
 
 def extreme_moves(bars: DataFrame) -> DataFrame:
     """Close-to-close moves above the limit; ``bars`` holds one row per security and day."""
-    w = Window.partitionBy("security_id").orderBy("ts")
-    moved = bars.withColumn("prev", F.lag("close").over(w)).filter(F.col("prev") > 0)
-    move = F.abs(F.col("close") - F.col("prev")) / F.col("prev")
-    return issues(moved.filter(move > EXTREME_MOVE), "impossible_price_movement", "WARNING", _text("from", F.col("prev"), "to", F.col("close")))
+    return flagged(in_sequence(bars), _extreme_move())
 
 
 def unknown_symbols(bars: DataFrame, known: DataFrame) -> DataFrame:
@@ -91,27 +141,20 @@ def unknown_symbols(bars: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def future_dated(bars: DataFrame, now: Column) -> DataFrame:
-    return issues(bars.filter(F.col("available_time") > now), "future_dated", "ERROR", _text("available", F.col("available_time")))
+    return flagged(bars, _future_dated(now))
 
 
 def stale(bars: DataFrame, now: Column, days: int = 5) -> DataFrame:
-    last = bars.groupBy("security_id").agg(F.max("ts").alias("ts"))
-    return issues(last.filter(F.col("ts") + F.make_dt_interval(F.lit(days)) < now), "stale_data", "WARNING", F.lit("no recent bar"))
+    return flagged(in_sequence(bars), _stale(now, days))
 
 
 def ingestion_inversions(bars: DataFrame, actions: DataFrame | None = None) -> DataFrame:
-    early = F.col("ingestion_time") < F.col("available_time")
-    name, message = "ingestion_precedes_availability", F.lit("ingested before available")
-    out = issues(bars.filter(early), name, "ERROR", message)
-    if actions is not None:
-        out = out.unionByName(issues(actions.filter(early), name, "ERROR", message, "event_time"))
-    return out
+    out = flagged(bars, _inversion())
+    return out if actions is None else out.unionByName(flagged(actions, _inversion(), ts="event_time"))
 
 
 def gaps(bars: DataFrame, days: int = ORDINARY_GAP_DAYS) -> DataFrame:
-    w = Window.partitionBy("security_id").orderBy("ts")
-    g = bars.withColumn("gap", F.floor((F.unix_seconds("ts") - F.unix_seconds(F.lag("ts").over(w))) / 86400))
-    return issues(g.filter(F.col("gap") > days), "missing_timestamp_gaps", "WARNING", _text(F.col("gap"), "day gap"))
+    return flagged(in_sequence(bars), _gap(days))
 
 
 def thin_coverage(bars: DataFrame, minimum: DataFrame) -> DataFrame:
@@ -155,19 +198,13 @@ def run_checks(revisions: DataFrame, bars: DataFrame, actions: DataFrame, known:
     parts = [
         duplicates(revisions),
         out_of_order(revisions),
-        non_finite(revisions),
-        ohlc(revisions),
-        bad_price(revisions),
-        negative_volume(revisions),
-        extreme_moves(bars),
+        flagged(revisions, _non_finite(), _ohlc(), _bad_price(), _negative_volume(), _inversion(), _future_dated(now)),
         unknown_symbols(revisions, known),
-        ingestion_inversions(revisions, actions),
-        gaps(bars),
+        flagged(actions, _inversion(), ts="event_time"),
+        flagged(in_sequence(bars), _extreme_move(), _gap(ORDINARY_GAP_DAYS), _stale(now, 5)),
         thin_coverage(bars, minimum),
         split_mismatch(bars, actions),
         dividend_too_large(bars, actions),
-        future_dated(revisions, now),
-        stale(bars, now),
     ]
     return reduce(DataFrame.unionByName, parts)
 
