@@ -142,13 +142,24 @@ def moments(folds: DataFrame) -> DataFrame:
 
 
 def effective_trials(folds: DataFrame) -> DataFrame:
-    """n^2 over the sum of squared correlations of all candidate pairs (the pairs of a small candidate list)."""
-    a = folds.select(F.col("candidate").alias("a"), "fold", F.col("net_return").alias("x"))
-    b = folds.select(F.col("candidate").alias("b"), "fold", F.col("net_return").alias("y"))
-    pairs = a.join(b, "fold").filter(F.col("a") < F.col("b")).groupBy("a", "b").agg(corr_of("x", "y").alias("rho"))
-    n = folds.agg(F.countDistinct("candidate").cast("double").alias("n"))
-    total = pairs.agg(F.coalesce(F.sum(F.col("rho") * F.col("rho")), F.lit(0.0)).alias("sq"))
-    return attach(n, total).select((F.col("n") * F.col("n") / (F.col("n") + 2.0 * F.col("sq"))).alias("effective"), F.col("n").alias("candidates"))
+    """n^2 over the sum of squared correlations of all candidate pairs, on the folds that all candidates have.
+
+    No pair is formed: with standardised returns z the squared correlations of all pairs sum up to the squared entries of
+    the folds-by-folds matrix of sums z(f) z(g) over the candidates, which are added up where they lie.
+    """
+    rows = folds.groupBy("candidate", "fold").agg(F.max("net_return").alias("x"))
+    n = rows.agg(F.countDistinct("candidate").alias("n"))
+    common = attach(rows.groupBy("fold").agg(F.count(F.lit(1)).alias("k")), n).filter(F.col("k") == F.col("n")).select("fold")
+    of = Window.partitionBy("candidate")  # a candidate has one row for each fold
+    kept = rows.join(common, "fold").withColumn("c", F.col("x") - F.avg("x").over(of))
+    size = F.sqrt(F.sum(F.col("c") * F.col("c")).over(of))
+    z = kept.select("candidate", "fold", F.when(size > 0, F.col("c") / size).alias("z")).filter(F.col("z").isNotNull())
+    vectors = z.groupBy("candidate").agg(F.collect_list(F.struct("fold", "z")).alias("v"))
+    cells = vectors.select("v", F.explode("v").alias("f")).select("f", F.explode("v").alias("g"))
+    matrix = cells.groupBy(F.col("f.fold").alias("f"), F.col("g.fold").alias("g")).agg(F.sum(F.col("f.z") * F.col("g.z")).alias("s"))
+    total = matrix.agg(F.coalesce(F.sum(F.col("s") * F.col("s")), F.lit(0.0)).alias("all"), F.coalesce(F.sum(F.when(F.col("f") == F.col("g"), F.col("s"))), F.lit(0.0)).alias("own"))
+    count = F.col("n").cast("double")
+    return attach(n, total).select((count * count / (count + F.greatest(F.col("all") - F.col("own"), F.lit(0.0)))).alias("effective"), count.alias("candidates"))
 
 
 @F.pandas_udf(T.DoubleType())

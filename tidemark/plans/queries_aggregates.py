@@ -271,7 +271,8 @@ def _bench_perf(d: Domain):
 q("agg_41_comparison_report", "grp:s, excess:f, annual_excess:f", f"SELECT grp, cumulative - bc AS excess, cagr - bg AS annual_excess FROM perf, {_BN}")(
     lambda d: ag.comparison_report(pf.performance_report(nav(d)), _bench_perf(d))
 )
-q("agg_42_side_by_side", "metric:s, one:f, two:f")(
+_SIDE = "SELECT '{m}' AS metric, (SELECT {m} FROM perf WHERE grp = 'Brand#1') AS one, (SELECT {m} FROM perf WHERE grp = 'Brand#2') AS two"
+q("agg_42_side_by_side", "metric:s, one:f, two:f", " UNION ALL ".join(_SIDE.format(m=m) for m in ("sharpe", "cagr", "max_drawdown")))(
     lambda d: ag.side_by_side(pf.performance_report(nav(d)), ["Brand#1", "Brand#2"], ["sharpe", "cagr", "max_drawdown"]).toDF("metric", "one", "two")
 )
 q(
