@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import average_rank, change, corr_of, ratio, rounded_index
+from tidemark.operators.scans import numbered, split_ordered
 from tidemark.operators.signals import attach
 
 # fixed windows of the study
@@ -16,8 +17,8 @@ def first_per_day(news: DataFrame, symbols: DataFrame) -> DataFrame:
     """First text per (security, day) in file order, universe only; the text is squeezed, never cut."""
     text = F.trim(F.regexp_replace("headline", r"\s+", " "))
     rows = news.join(symbols.select("security_id"), "security_id", "left_semi").withColumn("headline", text).filter(F.col("headline") != "")
-    first = rows.groupBy("security_id", "day").agg(F.min(F.struct("news_id", "headline")).alias("r"))
-    return first.select("security_id", "day", "r.news_id", "r.headline")
+    first = rows.groupBy("security_id", "day").agg(F.min("news_id").alias("news_id"))  # no text goes through the aggregation
+    return first.join(rows.select("security_id", "day", "news_id", "headline"), ["security_id", "day", "news_id"])
 
 
 def sample_per_year(rows: DataFrame, size: int, seed: int) -> DataFrame:
@@ -78,9 +79,21 @@ def probe(answer) -> Column:
     return F.get_json_object(answer, "$.noul").try_cast("double") - 0.5
 
 
+def _spread_rank(rows: DataFrame, value: str, other: str, name: str) -> DataFrame:
+    """Mean rank of ties over all rows, which are numbered in pieces: half the sum of a value's first and last place."""
+    order = [value, other]
+    placed = numbered(split_ordered(rows, [], order), [], order, "_place").drop("_piece")
+    rank = placed.groupBy(F.col(value).alias("_v")).agg(((F.min("_place") + F.max("_place")) / 2.0).alias(name))
+    return placed.drop("_place").join(rank, F.col(value) == F.col("_v")).drop("_v")
+
+
 def rank_correlation(pairs: DataFrame, x: str, y: str, *by: str) -> DataFrame:
-    """Rank correlation per group, three pairs at least. A group is one sample of the study."""
+    """Rank correlation per group, three pairs at least. A group is one sample of the study; without groups all rows are
+    ranked in pieces."""
     whole = pairs.dropna(subset=[x, y])
+    if not by:
+        ranked = _spread_rank(_spread_rank(whole.select(x, y), x, y, "_x"), y, x, "_y")
+        return ranked.agg(F.when(F.count(F.lit(1)) >= 3, corr_of("_x", "_y")).alias("ic"), F.count(F.lit(1)).alias("n"))
     ranked = whole.select(*by, average_rank(x, *by).alias("_x"), average_rank(y, *by).alias("_y"))
     return ranked.groupBy(*by).agg(F.when(F.count(F.lit(1)) >= 3, corr_of("_x", "_y")).alias("ic"), F.count(F.lit(1)).alias("n"))
 
@@ -91,7 +104,7 @@ def percentile_by_index(values: DataFrame, value: str, q: float, *by: str) -> Da
 
 def resampled(sample: DataFrame, key: str, resamples: int, seed: int) -> DataFrame:
     """``resamples`` draws with replacement of a sample: rows are numbered, draws pick numbers by hash."""
-    rows = sample.withColumn("_i", F.row_number().over(Window.orderBy(key)) - 1)
+    rows = numbered(split_ordered(sample, [], [key]), [], [key], "_i").drop("_piece").withColumn("_i", F.col("_i") - 1)
     n = sample.agg(F.count(F.lit(1)).alias("_n"))
     draws = attach(rows.select("_i"), n).select(F.col("_i").alias("_j"), "_n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b"))
     pick = F.pmod(F.xxhash64(F.lit(seed), "b", "_j"), F.col("_n"))
@@ -121,7 +134,8 @@ def gap_interval(sample: DataFrame, key: str, a: str, b: str, y: str, resamples:
 def signal_report(sample: DataFrame, key: str, x: str, y: str) -> DataFrame:
     """Rank correlation, top minus bottom tercile and hit rate of decided signals."""
     whole = sample.dropna(subset=[x, y])
-    placed = attach(whole.withColumn("_r", F.row_number().over(Window.orderBy(x, key))), whole.agg(F.count(F.lit(1)).alias("_n")))
+    order = [x, key]
+    placed = attach(numbered(split_ordered(whole, [], order), [], order, "_r"), whole.agg(F.count(F.lit(1)).alias("_n")))
     third = F.floor(F.col("_n") / 3)
     high = F.avg(F.when(F.col("_r") > F.col("_n") - third, F.col(y)))
     low = F.avg(F.when(F.col("_r") <= third, F.col(y)))
