@@ -209,6 +209,8 @@ def test_ids_are_the_best_path_and_come_back(spark, odd, odd_rows, empty):
             assert abs(value - best(x)) < 1e-6 * max(1, abs(value)), x
     back = odd.select("text", pieces.decode(spark, pieces.encode(spark, "text")).alias("back")).collect()
     assert all((r["text"] or "") == r["back"] for r in back) and len(back) == len(odd_rows)
+    both = odd.select(pieces.encode_and_compare(spark, "text").alias("c"), pieces.encode(spark, "text").alias("ids")).collect()
+    assert all(r["c"]["round_trip"] and r["c"]["ids"] == r["ids"] for r in both)
     assert empty.select(pieces.encode(spark, "text")).count() == 0
 
 

@@ -17,6 +17,7 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,6 +31,8 @@ UNKNOWN_PENALTY = 10.0
 UNKNOWN = (1, -1, 0.0)
 COMMON = 160  #: characters in the dense table
 LONGEST = 64  #: characters of a part that is encoded together with others
+AT_ONCE = 1 << 15
+BLOCK_BYTES = 2 << 20
 
 
 class Pieces:
@@ -84,7 +87,6 @@ class Automaton:
         self.unknown_score = min(scores, default=0.0) - UNKNOWN_PENALTY
         self.single = {x for x, ok in zip(pieces.names, pieces.usable, strict=True) if ok and len(x) == 1}
         self.known = {c for x, ok in zip(pieces.names, pieces.usable, strict=True) if ok for c in x}
-        self.delta = [dict(edges) for edges in self.goto]
         self.lone_feed = not any("\n" in x and len(x) > 1 for x, ok in zip(pieces.names, pieces.usable, strict=True) if ok)
         self._tabulate()
 
@@ -162,12 +164,12 @@ class Automaton:
             s = self.fail[s]
         to = self.goto[s].get(c, 0)
         if c in self.known:
-            self.delta[state][c] = to
+            self.goto[state][c] = to  # what the failure links lead to is as good as an edge
         return to
 
     def best_path(self, part: str) -> list[int]:
         """Ids of the best path over one part, in one pass."""
-        delta, outputs, single, unknown = self.delta, self.outputs, self.single, self.unknown_score
+        delta, outputs, single, unknown = self.goto, self.outputs, self.single, self.unknown_score
         best, back, state, i = [0.0], [None], 0, 0
         for c in part:
             try:
@@ -219,15 +221,19 @@ class Automaton:
         classes = self.class_of[np.minimum(codes, len(self.class_of) - 1)]
         rare = np.concatenate([[0], np.cumsum(classes < 0)])
         plain = (size_of <= LONGEST) & (rare[begin_of + size_of] == rare[begin_of])
-        ids, found = self.best_paths(classes, begin_of[plain], size_of[plain])
-        counts = np.zeros(len(first), np.int64)
-        counts[plain] = found
+        counts, at, ids, total = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64), [], 0
+        by_size = np.flatnonzero(plain)
+        by_size = by_size[np.argsort(-size_of[by_size], kind="stable")]
+        for lo in range(0, len(by_size), AT_ONCE):  # parts of like size, so that the tables of a step stay small
+            some = by_size[lo : lo + AT_ONCE]
+            found, counts[some] = self.best_paths(classes, begin_of[some], size_of[some])
+            at[some] = total + np.cumsum(counts[some]) - counts[some]
+            total += len(found)
+            ids.append(found)
         others = [np.array(self.best_path(joined[a : a + n].replace(" ", MARK)), "<i4") for a, n in zip(begin_of[~plain].tolist(), size_of[~plain].tolist(), strict=True)]
         counts[~plain] = [len(x) for x in others]
-        at = np.empty(len(first), np.int64)
-        at[plain] = np.cumsum(found) - found
-        at[~plain] = len(ids) + np.cumsum(counts[~plain]) - counts[~plain]
-        ids = np.concatenate([ids, *others])
+        at[~plain] = total + np.cumsum(counts[~plain]) - counts[~plain]
+        ids = np.concatenate([np.empty(0, "<i4"), *ids, *others])
 
         each = counts[which]
         ends = np.cumsum(each)
@@ -247,39 +253,64 @@ def _loaded(pieces: Pieces) -> Automaton:
     return _LOADED[pieces.digest]
 
 
+def encoded(automaton: Automaton, texts: pa.Array, check=None) -> tuple[pa.ListArray, list[bool]]:
+    """Ids of the texts; and for each text what ``check`` says of its ids and itself."""
+    values, counts, said = [np.empty(0, "<i4")], [np.zeros(1, np.int64)], []
+    for lo, hi, _, _ in tb.blocks(texts, BLOCK_BYTES):
+        rows = [x or "" for x in texts.slice(lo, hi - lo).to_pylist()]
+        found, sizes = automaton.encode(rows)
+        values.append(found)
+        counts.append(sizes)
+        if check:
+            said += [check(found[b - n : b], x) for x, n, b in zip(rows, sizes.tolist(), np.cumsum(sizes).tolist(), strict=True)]
+    return pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(counts)).astype(np.int32)), pa.array(np.concatenate(values))), said
+
+
 def encode(spark, text: str | Column, path: str = MODEL) -> Column:
     """Column of the ids of each text (array of int)."""
     sent = spark.sparkContext.broadcast(Pieces(path))
 
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
-        automaton = _loaded(sent.value)
-        values, counts = [np.empty(0, "<i4")], [np.zeros(1, np.int64)]
-        for lo, hi, _, _ in tb.blocks(texts):
-            found, sizes = automaton.encode([x or "" for x in texts.slice(lo, hi - lo).to_pylist()])
-            values.append(found)
-            counts.append(sizes)
-        return pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(counts)).astype(np.int32)), pa.array(np.concatenate(values)))
+        return encoded(_loaded(sent.value), texts)[0]
 
     return ids(text)
 
 
-def decode(spark, ids: str | Column, path: str = MODEL) -> Column:
-    """Column of the texts that ids stand for; byte sequences that are no text become replacement characters."""
-    pieces = Pieces(path)
+def spelling(pieces: Pieces) -> list[bytes]:
+    """The bytes that each id stands for; nothing for control pieces."""
     spelt = {i: bytes([b]) for b, i in pieces.bytes_of.items()}
-    names = [spelt.get(i, name.replace(MARK, " ").encode() if ok else b"") for i, (name, ok) in enumerate(zip(pieces.names, pieces.usable, strict=True))]
-    sent = spark.sparkContext.broadcast(names)
+    return [spelt.get(i, name.replace(MARK, " ").encode() if ok else b"") for i, (name, ok) in enumerate(zip(pieces.names, pieces.usable, strict=True))]
+
+
+def joined(table: list[bytes], ids: np.ndarray) -> str:
+    """The text of ids; byte sequences that are no text become replacement characters."""
+    whole = b"".join([table[i] for i in ids.tolist()])
+    return (whole[1:] if whole[:1] == b" " else whole).decode("utf-8", "replace")
+
+
+def decode(spark, ids: str | Column, path: str = MODEL) -> Column:
+    """Column of the texts that ids stand for; null ids are the empty text."""
+    sent = spark.sparkContext.broadcast(spelling(Pieces(path)))
 
     @F.arrow_udf("string")
     def text(lists: pa.Array) -> pa.Array:
-        table = sent.value
         values = lists.flatten().to_numpy(zero_copy_only=False)
-        out, at = [], 0
-        for size in np.diff(lists.offsets.to_numpy()).tolist():
-            joined = b"".join([table[i] for i in values[at : at + size].tolist()])
-            out.append((joined[1:] if joined[:1] == b" " else joined).decode("utf-8", "replace"))
-            at += size
-        return pa.array(out, pa.string())
-
-    return text(F.coalesce(ids, F.array().cast("array<int>")) if not isinstance(ids, str) else F.coalesce(F.col(ids), F.array().cast("array<int>")))
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes)
+        return pa.array([joined(sent.value, values[b - n : b]) for n, b in zip(sizes.tolist(), ends.tolist(), strict=True)], pa.string())
+
+    return text(ids)
+
+
+def encode_and_compare(spark, text: str | Column, path: str = MODEL) -> Column:
+    """Column of ``ids`` and ``round_trip``: whether decoding them gives the text back. Both in one pass of one worker."""
+    sent = spark.sparkContext.broadcast(Pieces(path))
+
+    @F.arrow_udf("struct<ids: array<int>, round_trip: boolean>")
+    def both(texts: pa.Array) -> pa.Array:
+        table = spelling(sent.value)
+        ids, same = encoded(_loaded(sent.value), texts, lambda found, x: joined(table, found) == x)
+        return pa.StructArray.from_arrays([ids, pa.array(same, pa.bool_())], ["ids", "round_trip"])
+
+    return both(text)

@@ -39,8 +39,8 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of each whole text, their number, and whether they give the text back."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    coded = docs.withColumn("ids", pieces.encode(spark, "text")).withColumn("back", pieces.decode(spark, "ids"))
-    return coded.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("back") == F.col("text")).alias("round_trip"))
+    coded = docs.select("doc_id", F.length("text").cast("long").alias("n_chars"), pieces.encode_and_compare(spark, F.col("text")).alias("c"))
+    return coded.select("doc_id", "n_chars", F.size("c.ids").cast("long").alias("n_tokens"), "c.ids", "c.round_trip")
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
