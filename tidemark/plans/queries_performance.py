@@ -67,10 +67,9 @@ q("win_13_performance_report", _RCOLS, _REPORT)(lambda d: pf.performance_report(
 
 
 def year_nav(d: Domain):
-    """Short series: one per brand and month, most with few points."""
-    return d.bars.select(
-        F.concat_ws("@", "security_id", F.date_format("ts", "yyyy-MM")).alias("grp"), "ts", F.col("close").alias("value")
-    ).filter(F.dayofmonth("ts") > 22)
+    """Short series: one per brand and part of a month; the first five parts have four days, the last one the rest."""
+    part = F.least(F.floor((F.dayofmonth("ts") - 1) / 4), F.lit(5)).cast("string")
+    return d.bars.select(F.concat_ws("@", "security_id", F.date_format("ts", "yyyy-MM"), part).alias("grp"), "ts", F.col("close").alias("value"))
 
 
 q(
@@ -80,7 +79,7 @@ q(
  CASE WHEN n >= 5 AND v > 0 THEN m / v * 252 END AS sharpe, CASE WHEN n < 2 THEN 'insufficient_data' WHEN coalesce(mdd, 0) = 0 THEN 'zero_drawdown' END AS calmar_reason FROM (
  SELECT grp, count(*) AS n, stddev_samp(ret) * sqrt(252.0::DOUBLE) AS v, avg(ret) AS m, min((value - peak) / peak) AS mdd FROM (
  SELECT *, value / lag(value) OVER w - 1 AS ret, max(value) OVER (PARTITION BY grp ORDER BY ts ROWS UNBOUNDED PRECEDING) AS peak FROM (
- SELECT security_id || '@' || strftime(ts, '%Y-%m') AS grp, ts, close AS value FROM bars WHERE day(ts) > 22) WINDOW w AS (PARTITION BY grp ORDER BY ts)) GROUP BY 1)""",
+ SELECT security_id || '@' || strftime(ts, '%Y-%m') || '@' || CAST(least((day(ts) - 1) // 4, 5) AS VARCHAR) AS grp, ts, close AS value FROM bars) WINDOW w AS (PARTITION BY grp ORDER BY ts)) GROUP BY 1)""",
 )(lambda d: pf.session_report(year_nav(d)))
 _FEE, _HS, _CAP = 1.0, 0.0005, 10000.0
 q(

@@ -65,9 +65,13 @@ q(
 )
 q(
     "09_get_fundamentals",
-    "record_id:s, as_of:t, period_end:t, value:f6",
-    f"SELECT record_id, as_of, period_end, value FROM fundamentals JOIN grid_q ON available_time <= as_of WHERE concept = '{ff.REV}'",
-)(lambda d: history_on_grid(d.fundamentals.filter(F.col("concept") == ff.REV), Q))
+    "record_id:s, as_of:t, concept:s, period_end:t, value:f6",
+    "SELECT record_id, as_of, concept, period_end, value FROM fundamentals JOIN grid_q ON available_time <= as_of AND period_end BETWEEN as_of - INTERVAL 400 DAY AND as_of",
+)(
+    lambda d: history_on_grid(d.fundamentals, Q, until=F.col("period_end") + F.expr("INTERVAL '400' DAY")).filter(
+        F.col("period_end").between(F.col("as_of") - F.expr("INTERVAL '400' DAY"), F.col("as_of"))
+    )
+)
 q(
     "10_latest_known_value",
     "security_id:s, concept:s, as_of:t, period_end:t, record_id:s, value:f6",
