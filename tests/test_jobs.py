@@ -150,3 +150,23 @@ def test_newest_rewrites_only_touched_buckets(spark, tmp_path):
     stored = jobs.all_versions(spark, table)
     assert max(len(v) for v in stored.values()) <= 2 and sum(v != [0] for v in stored.values()) == 1
     assert {r["k"]: r["o"] for r in jobs.read_newest(spark, table).collect()} == {f"k{i}": 3 if i == 7 else 1 for i in range(50)}
+
+
+def test_csv_folder(spark, tmp_path):
+    from tidemark.sources.payloads import csv_files
+
+    head = "date,open,high,low,close,volume,adj_close\n"
+    for name, close in (("AAA", 1.5), ("B-B", 2.5)):
+        (tmp_path / f"{name}.csv").write_text(head + f"2024-01-02,1,2,1,{close},10,\n")
+    assert sorted((r.security_id, r.close, r.adj_close) for r in csv_files(spark, str(tmp_path)).collect()) == [("AAA", 1.5, None), ("B-B", 2.5, None)]
+
+
+def test_locked_window_raises(spark):
+    from tidemark.functions.scalars import guard_locked
+
+    windows = spark.createDataFrame([("g", datetime(2024, 1, 1), datetime(2024, 2, 1))], "window_name string, window_start timestamp, window_end timestamp")
+    schema = "grp string, start timestamp, end timestamp"
+    free = [("g", datetime(2024, 2, 1), datetime(2024, 3, 1)), ("h", datetime(2024, 1, 5), datetime(2024, 1, 6))]
+    assert guard_locked(spark.createDataFrame(free, schema), windows).count() == 2
+    with pytest.raises(Exception, match="locked window"):
+        guard_locked(spark.createDataFrame([*free, ("g", datetime(2024, 1, 31), datetime(2024, 3, 1))], schema), windows).collect()

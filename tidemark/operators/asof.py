@@ -243,22 +243,3 @@ def next_join(
     lft = left.withColumn("_lm", _mirror(left_time))
     rgt = right.withColumn("_rm", _mirror(right_time))
     return asof_join(lft, rgt, keys, "_lm", "_rm", chunk=chunk).drop("_lm", "_rm")
-
-
-def interval_lookup(
-    probes: DataFrame,
-    spans: DataFrame,
-    keys: Sequence[str],
-    at: str,
-    start: str = "valid_from",
-    end: str = "valid_to",
-    closed: bool = False,
-    how: str = "inner",
-) -> DataFrame:
-    """Probes joined with validity rows that contain their time; half-open unless ``closed``."""
-    s = spans.select(*[F.col(x).alias(f"_s_{x}") if x in keys else F.col(x) for x in spans.columns])
-    before_end = F.col(at) <= F.col(end) if closed else F.col(at) < F.col(end)
-    cond = (F.col(at) >= F.col(start)) & (F.col(end).isNull() | before_end)
-    for k in keys:
-        cond = cond & (F.col(k) == F.col(f"_s_{k}"))
-    return probes.join(s, cond, how).drop(*[f"_s_{k}" for k in keys])

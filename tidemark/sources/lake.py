@@ -81,11 +81,6 @@ def incremental_start(bars: DataFrame, symbols: DataFrame, fallback: Column, day
     return g.select(F.when((F.col("missing") > 0) | F.col("m").isNull(), fallback).otherwise(start).alias("start"))
 
 
-def unfinished(requested: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Requested ids without a finished run."""
-    return requested.join(manifest.filter(F.col("status") == "SUCCESS").select("security_id"), "security_id", "left_anti")
-
-
 def run_status(manifest: DataFrame, *by: str) -> DataFrame:
     """SUCCESS, PARTIAL or FAILED over the per-symbol results."""
     n, ok = F.count(F.lit(1)), F.count_if(F.col("status") == "SUCCESS")
