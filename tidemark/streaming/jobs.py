@@ -29,6 +29,10 @@ def start_ingest(bars: DataFrame, lake_path: str, checkpoint: str, key=BAR_KEY,
     return bars.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+# names of the folders of a table kept by start_newest
+BUCKET, VERSION = "kept_bucket", "kept_version"
+
+
 def start_newest(rows: DataFrame, table_path: str, checkpoint: str, keys: list[str], order: list[str], buckets: int = 64) -> StreamingQuery:
     """Keep the newest revision per key, in ``buckets`` parts by the hash of the key.
 
@@ -37,17 +41,18 @@ def start_newest(rows: DataFrame, table_path: str, checkpoint: str, keys: list[s
     """
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        marked = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
-        touched = sorted(r[0] for r in marked.select("bucket").distinct().collect())
+        marked = batch.withColumn(BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        touched = sorted(r[0] for r in marked.select(BUCKET).distinct().collect())
         now = versions(spark, table_path, below=number)
         merged = marked
-        for path in [f"{table_path}/bucket={b}/v={now[b]}" for b in touched if b in now]:
-            merged = merged.unionByName(spark.read.schema(batch.schema).parquet(path).withColumn("bucket", F.lit(int(path.split("bucket=")[1].split("/")[0]))))
-        newest = latest_by(merged, [*keys, "bucket"], *order).withColumn("v", F.lit(number))
-        newest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "v").parquet(table_path)
+        for b in [b for b in touched if b in now]:
+            stored = spark.read.schema(batch.schema).parquet(f"{table_path}/{BUCKET}={b}/{VERSION}={now[b]}")
+            merged = merged.unionByName(stored.withColumn(BUCKET, F.lit(b)))
+        newest = latest_by(merged, [*keys, BUCKET], *order).withColumn(VERSION, F.lit(number))
+        newest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET, VERSION).parquet(table_path)
         for b in touched:
             for old in [v for v in all_versions(spark, table_path).get(b, []) if v < now.get(b, number)]:
-                remove(spark, f"{table_path}/bucket={b}/v={old}")
+                remove(spark, f"{table_path}/{BUCKET}={b}/{VERSION}={old}")
 
     return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -64,7 +69,7 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def all_versions(spark: SparkSession, table_path: str) -> dict[int, list[int]]:
     """Stored versions of each bucket; their number is at most two for each bucket."""
-    fs, hadoop = _files(spark, f"{table_path}/bucket=*/v=*")
+    fs, hadoop = _files(spark, f"{table_path}/{BUCKET}=*/{VERSION}=*")
     out: dict[int, list[int]] = {}
     for status in fs.globStatus(hadoop) or []:
         bucket, version = (int(part.split("=")[1]) for part in status.getPath().toString().split("/")[-2:])
@@ -80,7 +85,7 @@ def versions(spark: SparkSession, table_path: str, below: int | None = None) ->
 
 def read_newest(spark: SparkSession, table_path: str) -> DataFrame:
     """The table as it stands."""
-    paths = [f"{table_path}/bucket={b}/v={v}" for b, v in sorted(versions(spark, table_path).items())]
+    paths = [f"{table_path}/{BUCKET}={b}/{VERSION}={v}" for b, v in sorted(versions(spark, table_path).items())]
     return spark.read.parquet(*paths)
 
 
