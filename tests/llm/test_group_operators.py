@@ -122,11 +122,11 @@ PAGE = """<html><head><title>no</title><style>p{}</style></head><body><header><h
 
 def test_pages(spark):
     rows = [(i, f"https://User@Host.example:8{i}/a", PAGE % i, i) for i in range(6)]
-    rows += [(6, "http://host.example/b", "<p>only <i>this</i></p> and that", 0), (7, None, None, 0), (8, "", "", 0), (9, "odd url", "<div>a &lt;b&gt; <div>c", 0), (9, "odd url", "<div>a &lt;b&gt; <div>c", 0)]
+    rows += [(6, "http://host.example/b", "<p>only <i>this</i></p> and that", 0), (7, None, None, 0), (8, "", "", 0), (10, "odd url", '<p class="x>Quote <b title=\'y>left</b> open</p>', 0), (9, "odd url", "<div>a &lt;b&gt; <div>c", 0), (9, "odd url", "<div>a &lt;b&gt; <div>c", 0)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text int").repartition(2)
     got = sorted((r["page_id"], r["text"]) for r in html_text.extract(pages).collect())
     article = "T & x Hello world again é y Second link para. one two"
-    assert got == [(i, article) for i in range(6)] + [(6, "only this and that"), (7, ""), (8, ""), (9, "a <b> c"), (9, "a <b> c")]
+    assert got == [(i, article) for i in range(6)] + [(6, "only this and that"), (7, ""), (8, ""), (9, "a <b> c"), (9, "a <b> c"), (10, "Quote left open")]
     paths = {r["host"]: r["paths"] for r in html_text.winning_paths(pages).collect()}
     assert paths["host.example"][0] == "body/div.wrap/div.post-#"
     assert html_text.extract(pages.limit(0)).count() == 0

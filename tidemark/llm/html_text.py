@@ -42,10 +42,12 @@ NOISE_WORDS = frozenset(
     "respond rss share sharing sidebar skip social sponsor sponsored subscribe toolbar widget".split()
 )
 
+# attributes with quoted values; the bounds keep odd quoting from being read again and again to the end of the page
+ATTRIBUTES = r"(?:\"[^\"]{0,8000}\"|'[^']{0,8000}'|[^'\"<>]++){0,200}+"
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>"
-    r"|<(script|style|noscript|template|svg|math|iframe|object|canvas|audio|video|textarea|select|button|title)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>",
+    rf"|<(script|style|noscript|template|svg|math|iframe|object|canvas|audio|video|textarea|select|button|title)\b(?:{ATTRIBUTES}|[^<>]*)>.*?(?:</\1\s*>|\Z)"
+    rf"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({ATTRIBUTES}|[^<>]*)>",
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)

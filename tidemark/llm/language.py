@@ -23,7 +23,7 @@ from tidemark.llm import textbytes as tb
 from tidemark.llm.shared import hash_unit, HASH_UNITS
 
 UNKNOWN = "und"
-SAMPLE_DOCS = 250  #: labelled documents per language, drawn by hash
+SAMPLE_DOCS = 100  #: labelled documents per language, drawn by hash
 SAMPLE_SYMBOLS = 30_000  #: symbols of them that an automaton learns
 SAMPLE_CHARS = 20_000  #: longer labelled texts are not used for learning
 LANGUAGES = 200  #: languages learned, the most frequent first
