@@ -32,7 +32,7 @@ UNKNOWN = (1, -1, 0.0)
 COMMON = 160  #: characters in the dense table
 LONGEST = 64  #: characters of a part that is encoded together with others
 AT_ONCE = 1 << 15
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 
 class Pieces:

@@ -1,7 +1,7 @@
 """Vectorised views of text columns inside tasks: words, lines and their 64-bit hashes over UTF-8 bytes.
 
 A block is a run of rows whose texts are joined, each ended by a line feed, so that no word spans two rows.
-Memory follows the block (a few megabytes, or one text where that is longer), never the partition.
+Memory follows the block (a megabyte, or one text where that is longer), never the partition.
 """
 
 from __future__ import annotations
@@ -13,8 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 4 << 20
-SEGMENT = 1 << 20
+BLOCK_BYTES = 1 << 20
+SEGMENT = 1 << 18
 PRIME = 0x9E3779B97F4A7C15  # odd, hence invertible modulo 2**64
 
 _ALL = np.arange(256)
