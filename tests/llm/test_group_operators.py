@@ -114,6 +114,27 @@ def test_mixture_in_several_pieces(spark, monkeypatch):
         assert all(abs(seen[k] - w * t) < 1 + t / mixing.SLOTS for k, w in weight.items())
 
 
+def test_long_schedule_keeps_to_the_exact_weights():
+    weights = mixing.target_weights({"big": 1_600_000} | {f"s{i:02}": 80_000 for i in range(20)})
+    turns = {}
+    for p in mixing.phases({k: 100_000 if k == "big" else 5_000 for k in weights}, weights):
+        if p["phase"] == 0:
+            turns.setdefault(p["source"], []).extend(p["slot0"] + i // p["quota"] * p["span"] + p["at"][i % p["quota"]] for i in range(p["end_block"] - p["first_block"]))
+    for k, w in weights.items():
+        for i, t in enumerate(sorted(turns[k])):  # the deviation is greatest just before and just after a turn
+            assert i - w * t > -1 and i + 1 - w * (t + 1) < 1, (k, i, t)
+
+
+def test_mixture_keeps_to_the_weight_it_returns(spark):
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 15, "rare").otherwise("rest").alias("source"))
+    rows = mixing.mix(docs, weights={"rare": 0.00075, "rest": 0.99925}, block=1).select("source", "mix.*").where("phase = 0").collect()
+    weight = {r["source"]: r["weight"] for r in rows}
+    seen = Counter()
+    for t, r in enumerate(sorted(rows, key=lambda r: r["slot"]), 1):
+        seen[r["source"]] += 1
+        assert r["slot"] == t - 1 and all(abs(seen[k] - w * t) < 1 for k, w in weight.items())
+
+
 PAGE = """<html><head><title>no</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><ul><li>menu</ul></nav>
 <div id="cookie-notice">We use cookies</div><div class="wrap"><div class="post-%d"><h1>T &amp; x</h1><p>Hello  <b>wor</b>ld<br>again &eacute; y
 <p>Second <a href="x>y">link</a> para.<ul><li>one<li>two</ul><script>if (a < b) "</p>"</script><div class="share">Share!</div></div>
