@@ -223,6 +223,29 @@ def test_pipeline_stages(stages, odd_rows):
     assert all(r["n_tokens"] == len(r["ids"]) > 0 for r in stages["sentencepiece"][1])
 
 
+def test_position_is_the_order_of_the_mixture(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(i, prose(rng, 5 if i % 3 else 400), "en", f"s{i % 4}", 1) for i in range(400)], COLUMNS)
+    wanted = [r["doc_id"] for r in mixing.mix(docs).select("doc_id", "mix.position").orderBy("position").collect()]
+    mixed = corpus_pipeline.mixing_stage(spark, docs, "").collect()
+    assert [r["doc_id"] for r in mixed] == wanted
+    path = str(tmp_path / "mixed")
+    for lo, hi in ((0, 20), (20, 50), (50, 130), (130, 400)):  # as one writer does it, the last file the largest
+        part = str(tmp_path / f"part{lo}")
+        spark.createDataFrame(mixed[lo:hi], COLUMNS).coalesce(1).write.parquet(part)
+        os.makedirs(path, exist_ok=True)
+        (name,) = (f for f in os.listdir(part) if f.endswith(".parquet"))
+        os.rename(f"{part}/{name}", f"{path}/part-{lo:05}-{name.split('-', 2)[2]}")
+    read = spark.read.parquet(path)
+    assert [r["doc_id"] for r in read.collect()] != wanted
+    got = corpus_pipeline.token_stage(spark, read, "")
+    assert got.columns == [*read.columns, "position", "ids", "n_tokens"]
+    assert [(r["position"], r["doc_id"]) for r in got.orderBy("position").collect()] == list(enumerate(wanted))
+    assert {r["position"] for r in corpus_pipeline.token_stage(spark, docs, "").collect()} == set(range(400))
+
+
 def test_pipeline_on_no_documents(spark, empty, sf_dir):
     import corpus_pipeline
 
