@@ -223,6 +223,22 @@ def test_pipeline_stages(stages, odd_rows):
     assert all(r["n_tokens"] == len(r["ids"]) > 0 for r in stages["sentencepiece"][1])
 
 
+def test_one_row_of_each_component_stays(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    t = [prose(rng, 60) for _ in range(9)]
+    near = " ".join(t[1].split()[::-1]) + " and"  # far from t[1]; only exact copies link here
+    rows = [(None, t[0]), (None, t[2]), (None, t[3]), (None, t[3]), (7, t[4]), (7, t[5]), (7, t[5]), (None, t[4]), (3, t[1]), (5, t[1]), (5, t[6]), (5, near), (9, t[7]), (2, t[7]), (None, None), (4, None), (4, "")]
+    docs = spark.createDataFrame([(i, x, "en", "s", 1) for i, x in rows], COLUMNS).repartition(3)
+    groups = {fingerprint_of(x) for _, x in rows}
+    assert all((a ^ b).bit_count() > 3 for a in groups for b in groups if a != b)
+    docs.write.parquet(str(tmp_path / "docs"))
+    for given in (docs, spark.read.parquet(str(tmp_path / "docs"))):
+        got = Counter((r["doc_id"], r["text"] or "") for r in corpus_pipeline.duplicate_stage(spark, given, "").collect())
+        assert got == Counter([(None, t[0]), (None, t[2]), (None, t[3]), (7, t[4]), (7, t[5]), (3, t[1]), (5, t[6]), (5, near), (2, t[7]), (4, "")])
+
+
 def test_position_is_the_order_of_the_mixture(spark, tmp_path):
     import corpus_pipeline
 
