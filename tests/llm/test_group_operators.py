@@ -153,6 +153,23 @@ def test_pages(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+def test_pages_keep_all_parts_of_an_article(spark):
+    intro, main, lead = "Intro words " * 20, "Main words of it " * 25, "A lead of a few words"
+    menu = '<div class="list"><a href="/x">Some other page</a></div>'
+    pages = [
+        (1, f"<body>{menu}<article><section class='intro'><p>{intro}</section>{menu}<section class='main'><p>{main}</section></article></body>", f"{intro}{main}"),
+        (2, f"<body><article><h1>Title</h1><p>{lead}</p><div class='body'><p>{main}</div></article></body>", f"Title {lead} {main}"),
+        (3, f"<body><div class='page'><h1>Title</h1><div class='grid'><div class='body'><p>{main}</div></div></div>{menu}</body>", f"Title {main}"),
+        (4, f"<body><div class='has-sidebar no-sidebar'><article><p>{main}</article><div class='sidebar'>Side {lead}</div></div></body>", main),
+        (5, f"<body><div class='page-widget'><div class='nav-page'><h1>Title</h1><p>{main}</div></div><p>{lead}</body>", f"Title {main}{lead}"),
+        (6, f"<body><div class='page-widget'><p>{main}</div></body>", main),
+        (7, f"<body><div class='post'><p>{lead}</div><div class='comments'><p>{main}</div></body>", lead),
+    ]
+    given = spark.createDataFrame([(10 * k + j, f"http://h{k}.example/{j}", page) for k, page, _ in pages for j in range(3)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.extract(given).collect()}
+    assert got == {10 * k + j: " ".join(text.split()) for k, _, text in pages for j in range(3)}
+
+
 def test_fingerprints(spark, odd, odd_rows, empty):
     rows = fingerprint.edited_and_next(odd).collect()
     assert len(rows) == len(odd_rows)

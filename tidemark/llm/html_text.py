@@ -3,11 +3,14 @@
 Each page scores its containers: text outside links counts fully for the element that holds its block and half for
 the one above. Containers are named by a generalised path of tags and classes (numbers in classes do not count), and
 every page votes for its best ones. Votes are summed by host and path in Spark; a host's winning paths are those with
-a fair share of its votes. Every page is then read again and the text under the first winning path that it has is
-taken; a page that has none of them is taken by its own best container.
+a fair share of its votes. Every page is then read again: what stands under its winning paths, under the article or main
+element around the first of them, and directly in an element around it is taken in page order; outside the first path
+blocks that are mostly links are not. A page that has none of the paths is taken by its own best containers.
 
 Menus, page headers and footers, sidebars, notices, adverts, forms and reader comments are left out by tag, role and
-class wherever they stand; scripts, styles and other markup are no text. Odd input: null or empty html gives empty
+class wherever they stand; scripts, styles and other markup are no text. A class like has-sidebar says nothing about the
+element itself, and a noise word is passed over on an element that holds most of the page's text and its article, main
+or h1, or most of it where nothing else is left. Odd input: null or empty html gives empty
 text; a null or odd url is a host of its own name; unclosed and stray tags are closed or passed over; equal votes go
 to the smaller path; rows that repeat a page are each answered. Only (host, path, votes) are shuffled.
 """
@@ -53,11 +56,14 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 DIGITS = re.compile(r"\d+")
 SPLIT = re.compile(r"[\s_-]+")
+MODIFIER = re.compile(r"(?<![^\s])(?:has|have|no|not|with|without|hide|show)[_-]\S*")
+HEADS = frozenset(("article", "main", "h1"))
+MARKED, NEVER = 1, 2  #: noise by a word of a class or id; by tag, role or hidden
 
 
-def describe(tag: str, attributes: str, in_article: bool) -> tuple[str, bool]:
-    """The generalised name of an element, and whether it is no part of an article."""
-    noise = tag in NOISE_TAGS or (tag == "header" and not in_article)
+def describe(tag: str, attributes: str, in_article: bool) -> tuple[str, int]:
+    """The generalised name of an element, and 0, MARKED or NEVER: whether it is no part of an article."""
+    noise = NEVER if tag in NOISE_TAGS or (tag == "header" and not in_article) else 0
     if not attributes or "=" not in attributes and "hidden" not in attributes:
         return tag, noise
     names = ""
@@ -65,19 +71,21 @@ def describe(tag: str, attributes: str, in_article: bool) -> tuple[str, bool]:
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key == "class":
             names = "." + ".".join(sorted({DIGITS.sub("#", x) for x in value.split()})) if value.split() else ""
-        if key in ("class", "id") and not NOISE_WORDS.isdisjoint(SPLIT.split(value)) and tag not in ("body", "html", "main"):
-            noise = True
+        if key in ("class", "id") and not NOISE_WORDS.isdisjoint(SPLIT.split(MODIFIER.sub(" ", value))) and tag not in ("body", "html", "main"):
+            noise = max(noise, MARKED)
         elif (key == "role" and value in NOISE_ROLES) or key == "hidden" or (key == "aria-hidden" and value == "true"):
-            noise = True
+            noise = NEVER
     return tag + names, noise
 
 
 def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     """The page's blocks of text in order, noise left out: (path of the elements around it, text, characters in links)."""
-    out: list[tuple[tuple[str, ...], str, int]] = []
+    out: list[tuple[tuple[str, ...], str, int, tuple[int, ...]]] = []
+    heads: list[tuple[int, ...]] = []
     tags: list[str] = []
     path: list[str] = []
-    noise: list[bool] = []
+    noise: list[int] = []  # 0, NEVER, or -n for the n-th element that is marked
+    marked = 0
     parts: list[str] = []
     linked, in_link, end = 0, 0, 0
 
@@ -85,8 +93,8 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         nonlocal linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
-            if text and not any(noise):
-                out.append((tuple(path), text, min(linked, len(text))))
+            if text and NEVER not in noise:
+                out.append((tuple(path), text, min(linked, len(text)), tuple(x for x in noise if x)))
             parts.clear()
         linked = 0
 
@@ -127,11 +135,33 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         name, is_noise = describe(tag, m[4], "article" in tags or "main" in tags)
         tags.append(tag)
         path.append(name)
+        if is_noise == MARKED:
+            marked += 1
+            is_noise = -marked
+        elif not is_noise and tag in HEADS and any(noise) and NEVER not in noise:
+            heads.append(tuple(x for x in noise if x))
         noise.append(is_noise)
     if end < len(page):
         parts.append(page[end:])
     flush()
-    return out
+    return unmarked(out, heads) if marked else [x[:3] for x in out]
+
+
+def unmarked(found: list[tuple[tuple[str, ...], str, int, tuple[int, ...]]], heads: list[tuple[int, ...]]) -> list[tuple[tuple[str, ...], str, int]]:
+    """The blocks that stand in no marked element, those that hold most of the text passed over, the innermost first."""
+    lifted: set[int] = set()
+    total = sum(len(text) - linked for _, text, linked, _ in found)
+    while True:
+        inside = [tuple(x for x in marks if x not in lifted) for *_, marks in found]
+        holds: dict[int, int] = defaultdict(int)
+        for (_, text, linked, _), marks in zip(found, inside, strict=True):
+            if marks:
+                holds[marks[-1]] += len(text) - linked
+        most = max(holds, key=lambda x: (holds[x], x), default=0)
+        with_head = any([x for x in h if x not in lifted][-1:] == [most] for h in heads)
+        if not most or 2 * holds[most] <= total or (not with_head and not all(inside)):
+            return [x[:3] for x, marks in zip(found, inside, strict=True) if not marks]
+        lifted.add(most)
 
 
 CONTENT = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl", "dt", "dd", "blockquote", "pre", "figure", "figcaption", "table", "tbody", "thead", "tr", "td", "th", "details", "summary", "hgroup")
@@ -160,19 +190,32 @@ def scored(found: list[tuple[tuple[str, ...], str, int]]) -> list[tuple[str, flo
     return [(p, s) for s, p in best]
 
 
-def under(found: list[tuple[tuple[str, ...], str, int]], where: str) -> list[str]:
-    """Blocks that stand under a container of this path."""
-    want = tuple(where.split("/")) if where else ()
-    return [text for path, text, _ in found if tuple(x for x in path if x not in OUTER)[: len(want)] == want]
+def taken(found: list[tuple[tuple[str, ...], str, int]], winners: list[str]) -> list[str]:
+    """Blocks under the first of the paths that the page has, and those that belong to it, in page order."""
+    at = [(tuple(x for x in path if x not in OUTER), text, linked) for path, text, linked in found]
+    wanted = [tuple(x.split("/")) if x else () for x in winners]
+    first = next((w for w in wanted if any(path[: len(w)] == w for path, _, _ in at)), None)
+    if first is None:
+        return []
+    around = [first[: i + 1] for i, x in enumerate(first) if x.split(".")[0] in ("article", "main")]
+    article = next((x for x in around if x[-1].split(".")[0] == "article"), around[0] if around else None)
+    wide = [w for w in wanted if w not in ((), ("body",))] + [article] * (article is not None)
+
+    def belongs(path: tuple[str, ...], text: str, linked: int) -> bool:
+        if path[: len(first)] == first:
+            return True
+        own = container(path)
+        return 2 * linked < len(text) and (own == first[: len(own)] or any(path[: len(w)] == w for w in wide))
+
+    return [text for path, text, linked in at if belongs(path, text, linked)]
 
 
 def main_text(page: str | None, winners: list[str] | None) -> str:
     found = blocks(page) if page else []
-    for where in winners or []:
-        if taken := under(found, where):
-            return " ".join(taken)
     own = scored(found)
-    return " ".join(under(found, own[0][0])) if own else " ".join(text for _, text, _ in found)
+    if text := taken(found, winners or []) or taken(found, [p for i, (p, s) in enumerate(own) if not i or s >= FAIR_SHARE]):
+        return " ".join(text)
+    return " ".join(text for _, text, _ in found)
 
 
 def host(url: str | Column) -> Column:
