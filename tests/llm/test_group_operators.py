@@ -6,6 +6,7 @@ import hashlib
 import os
 import random
 import re
+import time
 from collections import Counter
 
 import duckdb
@@ -170,6 +171,23 @@ def test_pages_keep_all_parts_of_an_article(spark):
     assert got == {10 * k + j: " ".join(text.split()) for k, _, text in pages for j in range(3)}
 
 
+def test_quoted_values_of_any_length():
+    for n in (10, 7_000, 9_000, 300_000):
+        value = "<p class='ad'>inner > markup</p>" * (n // 32 + 1)
+        page = f"""<body><div data-page="{value}" {'a="" ' * 300} class="post"><p>body text</p><iframe srcdoc="{value}"></iframe></div></body>"""
+        assert html_text.blocks(page) == [(("body", "div.post", "p"), "body text", 0)]
+    odd = html_text.blocks("""<p class="x>Quote <b title='y>left</b> open</p><p>""" + "a < b " * 3)
+    assert [x[1] for x in odd] == ["Quote left open", "a < b a < b a < b"]
+    assert [x[1] for x in html_text.blocks("<p>one <!-- no > <p>two")] == ["one"]
+
+
+def test_odd_quoting_takes_linear_time():
+    for piece in ('<a "', "<a '", '<a "<b \'', "<!x ", '<a b="c> ', '"<a" ', "<a b='\" "):
+        start = time.process_time()
+        html_text.main_text("<p>x</p>" + piece * 200_000, None)
+        assert time.process_time() - start < 10, piece
+
+
 def test_fingerprints(spark, odd, odd_rows, empty):
     rows = fingerprint.edited_and_next(odd).collect()
     assert len(rows) == len(odd_rows)

@@ -20,6 +20,7 @@ from __future__ import annotations
 import html
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -45,18 +46,15 @@ NOISE_WORDS = frozenset(
     "respond rss share sharing sidebar skip social sponsor sponsored subscribe toolbar widget".split()
 )
 
-# attributes with quoted values; the bounds keep odd quoting from being read again and again to the end of the page
-ATTRIBUTES = r"(?:\"[^\"]{0,8000}\"|'[^']{0,8000}'|[^'\"<>]++){0,200}+"
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>"
-    rf"|<(script|style|noscript|template|svg|math|iframe|object|canvas|audio|video|textarea|select|button|title)\b(?:{ATTRIBUTES}|[^<>]*)>.*?(?:</\1\s*>|\Z)"
-    rf"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({ATTRIBUTES}|[^<>]*)>",
-    re.S | re.I,
-)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+STOP = re.compile(r"['\"<>]")
+ANGLE = re.compile(r"[<>]")
+RAW_END = {tag: re.compile(rf"</{tag}\s*+>", re.I) for tag in RAW}
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++)))?""")
 DIGITS = re.compile(r"\d+")
 SPLIT = re.compile(r"[\s_-]+")
 MODIFIER = re.compile(r"(?<![^\s])(?:has|have|no|not|with|without|hide|show)[_-]\S*")
+TOLD_BY = frozenset(("class", "id", "role", "hidden", "aria-hidden"))
 HEADS = frozenset(("article", "main", "h1"))
 MARKED, NEVER = 1, 2  #: noise by a word of a class or id; by tag, role or hidden
 
@@ -68,7 +66,10 @@ def describe(tag: str, attributes: str, in_article: bool) -> tuple[str, int]:
         return tag, noise
     names = ""
     for m in ATTRIBUTE.finditer(attributes):
-        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        key = m[1].lower()
+        if key not in TOLD_BY:
+            continue
+        value = (m[2] or m[3] or m[4] or "").lower()
         if key == "class":
             names = "." + ".".join(sorted({DIGITS.sub("#", x) for x in value.split()})) if value.split() else ""
         if key in ("class", "id") and not NOISE_WORDS.isdisjoint(SPLIT.split(MODIFIER.sub(" ", value))) and tag not in ("body", "html", "main"):
@@ -78,6 +79,66 @@ def describe(tag: str, attributes: str, in_article: bool) -> tuple[str, int]:
     return tag + names, noise
 
 
+def tokens(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, tag, "/" if it closes, attributes) of the page's markup in order; comments and raw elements have no tag.
+
+    A tag ends at the first > outside quoted values of any length, or, if its quoting is odd, at the first > before
+    any <. What follows a quote is the same for every tag that comes to it, so it is kept, and a page is read once.
+    """
+    last = page.rfind(">")
+    ends: dict[int, int] = {}  # by the place of an opening quote
+    none = {'"': len(page), "'": len(page)}  # no such quote stands behind this place
+
+    def tag_end(at: int) -> int:
+        quotes = []
+        while True:
+            m = STOP.search(page, at)
+            if not m or m[0] == "<":
+                end = -1
+                break
+            if m[0] == ">":
+                end = m.start()
+                break
+            at = m.start()
+            if at in ends:
+                end = ends[at]
+                break
+            quotes.append(at)
+            close = page.find(m[0], at + 1) if at < none[m[0]] else -1
+            if close < 0:
+                none[m[0]] = min(none[m[0]], at)
+                end = -1
+                break
+            at = close + 1
+        ends.update(dict.fromkeys(quotes, end))
+        return end
+
+    at = page.find("<")
+    while 0 <= at < last:
+        end, tag, slash, attributes = -1, "", "", ""
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4) + 3
+            end = end if end > 2 else len(page)
+        elif page.startswith(("<!", "<?"), at):
+            end = page.find(">", at + 2) + 1
+        elif m := NAME.match(page, at):
+            slash, tag = m[1], m[2].lower()
+            end = tag_end(m.end())
+            if end < 0 and (odd := ANGLE.search(page, m.end())) and odd[0] == ">":
+                end = odd.start()
+            if end >= 0:
+                attributes = page[m.end() : end]
+                end += 1
+                if tag in RAW and not slash:
+                    close = RAW_END[tag].search(page, end)
+                    end, tag, attributes = close.end() if close else len(page), "", ""
+        if end > 0:
+            yield at, end, tag, slash, attributes
+        at = page.find("<", end if end > 0 else at + 1)
+    if at >= 0 and (at := page.find("<!--", at)) >= 0:
+        yield at, len(page), "", "", ""
+
+
 def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     """The page's blocks of text in order, noise left out: (path of the elements around it, text, characters in links)."""
     out: list[tuple[tuple[str, ...], str, int, tuple[int, ...]]] = []
@@ -102,24 +163,23 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         flush()
         del tags[to:], path[to:], noise[to:]
 
-    for m in TOKEN.finditer(page):
-        if m.start() > end:
-            text = page[end : m.start()]
+    for start, after, tag, slash, attributes in tokens(page):
+        if start > end:
+            text = page[end:start]
             parts.append(text)
             linked += len(text) * (in_link > 0)
-        end = m.end()
-        if m[1] or not m[3]:  # raw element, comment, declaration
+        end = after
+        if not tag:  # raw element, comment, declaration
             continue
-        tag = m[3].lower()
         if tag in INLINE:
             if tag == "a":
-                in_link = 0 if m[2] else 1
+                in_link = 0 if slash else 1
             continue
         if tag in VOID:
             if tag in ("br", "hr"):
                 parts.append(" ")
             continue
-        if m[2]:
+        if slash:
             in_link = 0
             if tag in tags:
                 close(len(tags) - 1 - tags[::-1].index(tag))
@@ -132,7 +192,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             close(len(tags) - 1)
         if tags and tags[-1] in CLOSED_BY.get(tag, ()):
             close(len(tags) - 1)
-        name, is_noise = describe(tag, m[4], "article" in tags or "main" in tags)
+        name, is_noise = describe(tag, attributes, "article" in tags or "main" in tags)
         tags.append(tag)
         path.append(name)
         if is_noise == MARKED:
