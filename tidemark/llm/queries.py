@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import fingerprint, html_text, language, licences, mixing, ngrams, pieces, quality, rules, simhash
+from tidemark.llm import dialogue, divergence, fingerprint, html_text, language, licences, mixing, ngrams, pieces, quality, rules, simhash, warc
 from tidemark.llm.shared import crc_of_id, table
 
 
@@ -68,10 +68,25 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(docs, labels).withColumnRenamed("key", "doc_id")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as it is read back from archives written of all pages."""
+    found = warc.stored(table(spark, sf_dir, "pages"), keep=False)
+    return found.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to_key").alias("refers_to"), "problem")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.damaged_and_repaired(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_classifier, op2_mixing_sources, op3_license_scans, op4_lm_scoring, op5_sentencepiece, op6_html_extraction, op7_simhash, op8_language_id, op9_document_fingerprints, op10_quality_rules,
+        op11_source_divergence, op12_warc, op13_conversation_repair,
     )
 }
-ORACLE: dict[str, str] = {"op9_document_fingerprints": fingerprint.sql()}
+ORACLE: dict[str, str] = {"op9_document_fingerprints": fingerprint.sql(), "op11_source_divergence": divergence.sql()}
