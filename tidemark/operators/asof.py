@@ -81,17 +81,16 @@ def newest_revision(bars: DataFrame, *keys: str, order: Sequence[str] = REVISION
     return top.select(*keys, *[F.col("_r")[x].alias(x) for x in bars.columns if x not in keys])
 
 
-def bars_on_grid(
+def known_bars(
     revisions: DataFrame,
     grid: Sequence[datetime],
     days: int,
     flags: DataFrame | None = None,
     forward: bool = False,
 ) -> DataFrame:
-    """Bars visible at each grid moment: ``(security_id, as_of, ts, ...)``, newest known revision per bar.
+    """Revisions that some moment's window holds, with the places of the first and last such moment (``_first``, ``_last``).
 
-    Looks ``days`` back from the moment; with ``forward`` it covers [as_of, as_of + days] as known at the end
-    of that range. Bars with a CRITICAL flag are dropped before revisions are merged.
+    Revisions of a bar first seen at the same moment are merged, on the map side before they are shuffled.
     """
     if flags is not None:
         critical = flags.filter(F.col("severity") == "CRITICAL").select("security_id", "ts").distinct()
@@ -103,9 +102,24 @@ def bars_on_grid(
     ranged = once(revisions, _lo=low, _hi=high)
     placed = once(ranged, _first=moments_below(grid, "_lo", inclusive=False) + 1, _last=moments_below(grid, "_hi"))
 
-    # snap: revisions first seen at the same moment compete at every later one too
     snapped = placed.filter(F.col("_first") <= F.col("_last")).drop("_lo", "_hi")
-    merged = newest_revision(snapped, "security_id", "ts", "_first", "_last")
+    # revisions first seen at the same moment compete at every later one too
+    return newest_revision(snapped, "security_id", "ts", "_first", "_last")
+
+
+def bars_on_grid(
+    revisions: DataFrame,
+    grid: Sequence[datetime],
+    days: int,
+    flags: DataFrame | None = None,
+    forward: bool = False,
+) -> DataFrame:
+    """Bars visible at each grid moment: ``(security_id, as_of, ts, ...)``, newest known revision per bar.
+
+    Looks ``days`` back from the moment; with ``forward`` it covers [as_of, as_of + days] as known at the end
+    of that range. Bars with a CRITICAL flag are dropped before revisions are merged.
+    """
+    merged = known_bars(revisions, grid, days, flags, forward)
     probed = merged.withColumn("as_of", F.explode(moments_between(grid, F.col("_first"), F.col("_last")))).drop("_first", "_last")
     # at most (bars in the span x moments) rows per (security, moment) are left here: safe to co-locate
     together = probed.repartition("security_id", "as_of")

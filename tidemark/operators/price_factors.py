@@ -359,26 +359,6 @@ def low_beta(revisions: DataFrame, benchmark: DataFrame, grid: Sequence[datetime
     return _score(p, _count() >= 20, -ratio(F.covar_samp("s", "m"), F.var_samp("m")))
 
 
-def betting_against_correlation(
-    revisions: DataFrame,
-    benchmark: DataFrame,
-    grid: Sequence[datetime],
-    lookback: int = 1260,
-    least: int = 750,
-    horizon: int = 3,
-) -> DataFrame:
-    """Negative correlation of overlapping log returns over ``horizon`` common days."""
-    w = Window.partitionBy(*PAIR).orderBy("ts")
-    p = market_panel(revisions, benchmark, grid, lookback)
-
-    def log_move(x):
-        return F.when(F.lag(x, horizon).over(w).isNotNull(), F.ln(F.col(x)) - F.ln(F.lag(x, horizon).over(w)))
-
-    moves = p.withColumn("ls", log_move("px")).withColumn("lm", log_move("mpx"))
-    positive = (F.min("px") > 0) & (F.min("mpx") > 0)
-    return _score(moves, (F.count(F.lit(1)) >= least) & positive, -corr_of("ls", "lm"))
-
-
 def idiosyncratic_volatility(revisions, benchmark, grid, lookback: int = 21) -> DataFrame:
     """Negative sample deviation of market-model residuals, at least 15 returns."""
     p = _pairs(market_panel(revisions, benchmark, grid, lookback))

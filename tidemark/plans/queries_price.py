@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import blocks
 from tidemark.operators import price_factors as pf
 from tidemark.operators.panel import bar_panel, padded
 from tidemark.plans.domain import QUARTERS, Domain
@@ -18,13 +19,15 @@ def _revisions(d: Domain, which: str):
     return d.bar_revisions if which == BRAND else d.region_revisions
 
 
-def _factor(key: str, name: str, which: str, sql: str, digits: int = 6):
-    """Register one panel factor; ``sql`` is the score over the group."""
+def _factor(key: str, name: str, which: str, sql: str, digits: int = 6, long=None):
+    """Register one panel factor; ``sql`` is the score over the group. A ``long`` window is read from block aggregates."""
     f = pf.FACTORS[name]
     text = f"SELECT security_id, as_of, {sql} AS score FROM {panel_sql(which, 'grid_q', f.pad, f.keep)} GROUP BY 1, 2"
 
     @query(key, f"security_id:s, as_of:t, score:f{digits}", text)
     def build(d: Domain):
+        if long is not None:
+            return long(_revisions(d, which), QUARTERS)
         return pf.score_factors(_revisions(d, which), QUARTERS, [name]).withColumnRenamed(name, "score")
 
 
@@ -37,7 +40,7 @@ _REV = "CASE WHEN count(*) >= 2 THEN -(arg_max(px, ts) / arg_min(px, ts) - 1) EN
 _MOM = "CASE WHEN count(*) >= 2 THEN arg_max(px, ts) / arg_min(px, ts) - 1 END"
 
 _factor("fpx_01_low_volatility", "low_volatility", BRAND, _VOL)
-_factor("fpx_02_long_term_reversal", "long_term_reversal", REGION, _REV)
+_factor("fpx_02_long_term_reversal", "long_term_reversal", REGION, _REV, long=blocks.long_term_reversal)
 _factor("fpx_03_short_term_reversal", "short_term_reversal", BRAND, _REV)
 _factor(
     "fpx_07_illiquidity",
@@ -46,7 +49,7 @@ _factor(
     "CASE WHEN count(CASE WHEN close * volume > 0 THEN ret END) >= 20 THEN avg(CASE WHEN close * volume > 0 THEN abs(ret) / (close * volume) END) END",
     9,
 )
-_factor("fpx_08_fifty_two_week_high", "fifty_two_week_high", REGION, f"CASE WHEN count(*) >= 2 THEN {_at(1, 'close')} / max(close) END")
+_factor("fpx_08_fifty_two_week_high", "fifty_two_week_high", REGION, f"CASE WHEN count(*) >= 2 THEN {_at(1, 'close')} / max(close) END", long=blocks.year_high)
 _factor("fpx_09_max_effect", "max_effect", BRAND, "CASE WHEN count(ret) >= 2 THEN -max(ret) END")
 _NEW, _OLD = "avg(CASE WHEN rn <= 5 THEN volume END)", "avg(CASE WHEN rn > 5 THEN volume END)"
 _factor("fpx_13_high_volume_return_premium", "high_volume_return_premium", BRAND, f"CASE WHEN count(*) >= 55 THEN {_NEW} / {_OLD} - 1 END")
@@ -98,7 +101,7 @@ def _spread(d: Domain):
     return pf.score_factors(d.bar_revisions, QUARTERS, ["bid_ask_spread"]).withColumnRenamed("bid_ask_spread", "score")
 
 
-_factor("fpx_25_long_term_momentum", "long_term_momentum", REGION, _MOM)
+_factor("fpx_25_long_term_momentum", "long_term_momentum", REGION, _MOM, long=blocks.long_term_momentum)
 _factor("fpx_26_realized_vol", "realized_vol_90", BRAND, "CASE WHEN count(ret) >= 2 THEN stddev_samp(ret) * sqrt(252.0::DOUBLE) END")
 _factor("fpx_28_simple_momentum", "simple_momentum", BRAND, _MOM)
 
@@ -138,7 +141,7 @@ SELECT m.security_id, m.as_of, CASE WHEN count(r) >= 2 THEN avg(r) END AS score
 FROM (SELECT DISTINCT security_id, as_of FROM mon) m LEFT JOIN yr USING (security_id, as_of) GROUP BY 1, 2""",
 )
 def _seasonality(d: Domain):
-    return pf.score_factors(d.bar_revisions, QUARTERS, ["return_seasonality"]).withColumnRenamed("return_seasonality", "score")
+    return blocks.return_seasonality(d.bar_revisions, QUARTERS)
 
 
 def _market(key: str, fn, which: str, lookback: int, sql: str):
@@ -153,7 +156,7 @@ _PAIRS = """SELECT security_id, as_of, {} AS score FROM (SELECT *, s - regr_inte
 _market("fpx_04_low_beta", pf.low_beta, REGION, 252, _GROUP.format("CASE WHEN count(s) >= 20 THEN -(covar_samp(s, m) / var_samp(m)) END"))
 _market(
     "fpx_05_betting_against_correlation",
-    pf.betting_against_correlation,
+    blocks.betting_against_correlation,
     REGION,
     1260,
     """SELECT security_id, as_of, CASE WHEN count(*) >= 750 THEN -corr(ls, lm) END AS score FROM (
