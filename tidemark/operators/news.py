@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import average_rank, change, corr_of, ratio, rounded_index
-from tidemark.operators.scans import numbered, split_ordered
+from tidemark.operators.scans import numbered, running_sum, split_ordered
 from tidemark.operators.signals import attach
+from tidemark.session import ensure_checkpoint_dir
 
 # fixed windows of the study
 FORWARD_DAYS, MAX_MOVE, DECIDED = 5, 0.5, 0.2
+LOT = 1 << 16  #: places of a draw that are picked in one task
 
 
 def first_per_day(news: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -22,10 +26,11 @@ def first_per_day(news: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def sample_per_year(rows: DataFrame, size: int, seed: int) -> DataFrame:
-    """Equal seeded sample of every year, ordered by a hash of the key."""
+    """Equal seeded sample of every year, ordered by the MD5 of seed, security and day."""
     y = rows.withColumn("year", F.year("day"))
     years = y.agg(F.countDistinct("year").alias("_years"))
-    k = F.row_number().over(Window.partitionBy("year").orderBy(F.xxhash64(F.lit(seed), "security_id", "day"), "security_id", "day"))
+    drawn = F.md5(F.concat_ws(":", F.lit(str(seed)), "security_id", F.date_format("day", "yyyy-MM-dd")).cast("binary"))
+    k = F.row_number().over(Window.partitionBy("year").orderBy(drawn, "security_id", "day"))
     per = F.greatest(F.lit(1), F.floor(F.lit(size) / F.col("_years")))
     return attach(y.withColumn("k", k), years).filter(F.col("k") <= per).drop("k", "_years")
 
@@ -99,36 +104,78 @@ def rank_correlation(pairs: DataFrame, x: str, y: str, *by: str) -> DataFrame:
 
 
 def percentile_by_index(values: DataFrame, value: str, q: float, *by: str) -> DataFrame:
-    return values.groupBy(*by).agg(rounded_index(F.collect_list(value), q).alias("p"))
+    """Value at place round(q * (n - 1)) of each group, half to even: groups are put in order and numbered in pieces."""
+    known = values.where(F.col(value).isNotNull()).select(*by, value)
+    placed = numbered(split_ordered(known, by, [value]), by, [value], "_place")
+    sizes = known.groupBy(*[F.col(x).alias(f"_{x}") for x in by]).agg(F.count(F.lit(1)).alias("_n"))
+    here = F.col("_place") == F.bround(F.lit(q) * (F.col("_n") - 1), 0) + 1
+    for x in by:
+        here = here & F.col(x).eqNullSafe(F.col(f"_{x}"))
+    return placed.join(sizes, here).select(*by, F.col(value).alias("p"))
+
+
+def draws(n: DataFrame, resamples: int, seed: int) -> DataFrame:
+    """(b, i, w): how often draw ``b`` with replacement of ``n`` numbered rows (one row, column ``_n``) has row ``i``, from 0.
 
+    Each pick is a number made of MD5 digits of seed, draw and place, so that any engine draws the same.
+    """
+    # the places of all draws come from one row, and are dealt out before they are picked
+    slots = n.select("_n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b")).repartition("b")
+    places = slots.withColumn("_lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / LOT)))).where("_n > 0").repartition("b", "_lot")
+    first = F.col("_lot") * LOT
+    places = places.select("b", "_n", F.explode(F.sequence(first, F.least(first + LOT, F.col("_n")) - 1)).alias("j"))
+    digits = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("b").cast("string"), F.col("j").cast("string")).cast("binary")), 1, 15)
+    picked = places.select("b", F.pmod(F.conv(digits, 16, 10).cast("bigint"), F.col("_n")).alias("i"))
+    return picked.groupBy("b", "i").agg(F.count(F.lit(1)).alias("w"))
 
-def resampled(sample: DataFrame, key: str, resamples: int, seed: int) -> DataFrame:
-    """``resamples`` draws with replacement of a sample: rows are numbered, draws pick numbers by hash."""
-    rows = numbered(split_ordered(sample, [], [key]), [], [key], "_i").drop("_piece").withColumn("_i", F.col("_i") - 1)
-    n = sample.agg(F.count(F.lit(1)).alias("_n"))
-    draws = attach(rows.select("_i"), n).select(F.col("_i").alias("_j"), "_n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b"))
-    pick = F.pmod(F.xxhash64(F.lit(seed), "b", "_j"), F.col("_n"))
-    return draws.select("b", pick.alias("_i")).join(rows, "_i").drop("_i")
+
+def weighted_ranks(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """``rows`` (b, w, value...) with the mean rank of the value in its draw, where a row counts ``w`` times.
+
+    Equal values are summed up first; running totals over the distinct ones are taken in pieces, so that no draw is
+    ordered in one task.
+    """
+    totals = rows.groupBy("b", value).agg(F.sum("w").alias("_w"))
+    upto = running_sum(split_ordered(totals, ["b"], [value]), ["b"], [value], F.col("_w"), "_upto")
+    ranks = upto.select("b", value, (F.col("_upto") - F.col("_w") + (F.col("_w") + 1) / 2.0).alias(name))
+    return rows.join(ranks, ["b", value])
+
+
+def drawn_correlations(sample: DataFrame, key: str, xs: Sequence[str], y: str, resamples: int, seed: int) -> DataFrame:
+    """(b, n, ic_<x>...): rank correlation of each of ``xs`` with ``y`` in every draw; all from the same draws."""
+    whole = sample.select(key, *xs, y)
+    rows = numbered(split_ordered(whole, [], [key]), [], [key], "i").select((F.col("i") - 1).alias("i"), *xs, y)
+    drawn = materialised(draws(whole.agg(F.count(F.lit(1)).alias("_n")), resamples, seed).join(rows, "i").drop("i"))
+    for column in (*xs, y):
+        drawn = weighted_ranks(drawn, column, f"_rank_{column}")
+    n = F.sum("w")
+    mean = (n + 1) / 2.0
+    moment = lambda a, b: F.sum(F.col("w") * F.col(f"_rank_{a}") * F.col(f"_rank_{b}")) / n - mean * mean
+    ic = lambda x: F.when((n >= 3) & (moment(x, x) * moment(y, y) > 0), moment(x, y) / F.sqrt(moment(x, x) * moment(y, y)))
+    return drawn.groupBy("b").agg(n.alias("n"), *[ic(x).alias(f"ic_{x}") for x in xs])
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def interval(stats: DataFrame, value: Column, ok: Column) -> DataFrame:
+    """2.5 and 97.5 % places of one value a draw."""
+    g = stats.agg(F.collect_list(value).alias("v"), F.max("n").alias("n"))  # as many values as draws
+    return g.select(F.when(ok, rounded_index(F.col("v"), 0.025)).alias("low"), F.when(ok, rounded_index(F.col("v"), 0.975)).alias("high"))
 
 
 def bootstrap_interval(sample: DataFrame, key: str, x: str, y: str, resamples: int, seed: int) -> DataFrame:
     """95 % percentile interval of the rank correlation; NULL below 30 rows."""
-    whole = sample.dropna(subset=[x, y])
-    stats = rank_correlation(resampled(whole, key, resamples, seed), x, y, "b")
-    g = stats.agg(F.collect_list("ic").alias("v"), F.max("n").alias("n"))
-    ok = (F.col("n") >= 30) & (F.size("v") >= resamples // 2)
-    return g.select(F.when(ok, rounded_index(F.col("v"), 0.025)).alias("low"), F.when(ok, rounded_index(F.col("v"), 0.975)).alias("high"))
+    stats = drawn_correlations(sample.dropna(subset=[x, y]), key, [x], y, resamples, seed)
+    return interval(stats, F.col(f"ic_{x}"), (F.col("n") >= 30) & (F.size("v") >= resamples // 2))
 
 
 def gap_interval(sample: DataFrame, key: str, a: str, b: str, y: str, resamples: int, seed: int) -> DataFrame:
     """Interval of the difference of two correlations, both from the same draws."""
-    whole = sample.dropna(subset=[a, b, y])
-    draws = resampled(whole, key, resamples, seed)
-    one = rank_correlation(draws, a, y, "b").select("b", F.col("ic").alias("ia"), "n")
-    two = rank_correlation(draws.withColumnRenamed(b, "_other"), "_other", y, "b").select("b", F.col("ic").alias("ib"))
-    g = one.join(two, "b").agg(F.collect_list(F.col("ia") - F.col("ib")).alias("v"), F.max("n").alias("n"))
-    ok = F.col("n") >= 30
-    return g.select(F.when(ok, rounded_index(F.col("v"), 0.025)).alias("low"), F.when(ok, rounded_index(F.col("v"), 0.975)).alias("high"))
+    stats = drawn_correlations(sample.dropna(subset=[a, b, y]), key, [a, b], y, resamples, seed)
+    return interval(stats, F.col(f"ic_{a}") - F.col(f"ic_{b}"), F.col("n") >= 30)
 
 
 def signal_report(sample: DataFrame, key: str, x: str, y: str) -> DataFrame:

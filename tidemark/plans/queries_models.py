@@ -93,16 +93,18 @@ def study(d: Domain):
 
 
 VIEWS["study"] = "SELECT * FROM excess JOIN answers USING (news_id)"
-query("new_01_sample", "security_id:s, day:d, news_id:i, year:i")(lambda d: nw.sample_per_year(day_news(d), 300, 11))
+query(
+    "new_01_sample",
+    "security_id:s, day:d, news_id:i, year:i",
+    """SELECT * FROM (SELECT *, year(day) AS year, row_number() OVER (PARTITION BY year(day) ORDER BY md5('11:' || security_id || ':' || strftime(day, '%Y-%m-%d')), security_id, day) AS k FROM news_day)
+ WHERE k <= greatest(1, 300 // (SELECT count(DISTINCT year(day)) FROM news_day))""",
+)(lambda d: nw.sample_per_year(day_news(d), 300, 11))
 query("new_01_first_per_day", "security_id:s, day:d, news_id:i", "SELECT * FROM news_day")(day_news)
 query("new_02_excess_returns", "security_id:s, day:d, reaction:f, forward:f", "SELECT * FROM excess")(lambda d: nw.excess_returns(day_news(d), nw.adjusted_closes(d.bars)))
 query("new_03_adjusted_closes", "security_id:s, ts:t, px:f", "SELECT * FROM news_px")(lambda d: nw.adjusted_closes(d.bars))
-query(
-    "new_04_rank_correlation",
-    "year:i, ic:f, n:i",
-    """SELECT year, CASE WHEN count(*) >= 3 THEN covar_pop(a, b) / sqrt(var_pop(a) * var_pop(b)) END AS ic, count(*) AS n FROM (SELECT year(day) AS year, rank() OVER (PARTITION BY year(day) ORDER BY masked) + (count(*) OVER (PARTITION BY year(day), masked) - 1) / 2.0::DOUBLE AS a,
- rank() OVER (PARTITION BY year(day) ORDER BY forward) + (count(*) OVER (PARTITION BY year(day), forward) - 1) / 2.0::DOUBLE AS b FROM study WHERE masked IS NOT NULL AND forward IS NOT NULL) GROUP BY 1""",
-)(lambda d: nw.rank_correlation(study(d).withColumn("year", F.year("day")), "masked", "forward", "year"))
+_RANKIC = """SELECT year, CASE WHEN count(*) >= 3 THEN covar_pop(a, b) / sqrt(var_pop(a) * var_pop(b)) END AS ic, count(*) AS n FROM (SELECT year(day) AS year, rank() OVER (PARTITION BY year(day) ORDER BY masked) + (count(*) OVER (PARTITION BY year(day), masked) - 1) / 2.0::DOUBLE AS a,
+ rank() OVER (PARTITION BY year(day) ORDER BY forward) + (count(*) OVER (PARTITION BY year(day), forward) - 1) / 2.0::DOUBLE AS b FROM study WHERE masked IS NOT NULL AND forward IS NOT NULL) GROUP BY 1"""
+query("new_04_rank_correlation", "year:i, ic:f, n:i", _RANKIC)(lambda d: nw.rank_correlation(study(d).withColumn("year", F.year("day")), "masked", "forward", "year"))
 query("new_05_percentile", "grp:s, p:f", "SELECT grp, list_sort(list(ret))[CAST(round_even(0.3::DOUBLE * (count(ret) - 1), 0) AS INT) + 1] AS p FROM path WHERE ret IS NOT NULL GROUP BY 1")(lambda d: _percentile(d))
 
 
@@ -113,15 +115,33 @@ def _percentile(d: Domain):
     return nw.percentile_by_index(returns(nav(d)), "ret", 0.3, "grp")
 
 
-query("new_06_bootstrap", "low:f, high:f")(lambda d: nw.bootstrap_interval(study(d), "news_id", "masked", "forward", 200, 5))
+def _drawn(xs: str, known: str) -> str:
+    """Rank correlations ``ic`` of every draw: rows are drawn one by one, ranked and correlated."""
+    names = [x.strip() for x in xs.split(",")]
+    ranks = ", ".join(f"rank() OVER (PARTITION BY b ORDER BY {x}) + (count(*) OVER (PARTITION BY b, {x}) - 1) / 2.0::DOUBLE AS r_{x}" for x in (*names, "forward"))
+    corr = lambda x: f"CASE WHEN count(*) >= 3 AND var_pop(r_{x}) * var_pop(r_forward) > 0 THEN covar_pop(r_{x}, r_forward) / sqrt(var_pop(r_{x}) * var_pop(r_forward)) END"
+    return f"""WITH whole AS (SELECT {xs}, forward, row_number() OVER (ORDER BY news_id) - 1 AS i FROM study WHERE {known} AND forward IS NOT NULL),
+ picks AS (SELECT b, CAST('0x' || substr(md5('5:' || b || ':' || j.i), 1, 15) AS BIGINT) % (SELECT count(*) FROM whole) AS i FROM whole j, range(200) t(b)),
+ drawn AS (SELECT b, {ranks} FROM picks JOIN whole USING (i)),
+ stats AS (SELECT b, count(*) AS n, {' - '.join(corr(x) for x in names)} AS ic FROM drawn GROUP BY b)"""
+
+
+def _interval(enough: str) -> str:
+    at = lambda q: f"CASE WHEN {enough} THEN v[CAST(round_even({q}::DOUBLE * (len(v) - 1), 0) AS INT) + 1] END"
+    return f"SELECT {at(0.025)} AS low, {at(0.975)} AS high FROM (SELECT list_sort(list(ic) FILTER (WHERE ic IS NOT NULL)) AS v, max(n) AS n FROM stats)"
+
+
+_BOOT = f"{_drawn('masked', 'masked IS NOT NULL')} {_interval('n >= 30 AND len(v) >= 100')}"
+_GAP = f"{_drawn('masked, probe', 'masked IS NOT NULL AND probe IS NOT NULL')} {_interval('n >= 30')}"
+query("new_06_bootstrap", "low:f, high:f", _BOOT)(lambda d: nw.bootstrap_interval(study(d), "news_id", "masked", "forward", 200, 5))
 query(
     "new_07_signal_report",
     "n:i, spread:f, hit_rate:f, decided:i",
     """SELECT max(n) AS n, avg(CASE WHEN r > n - n // 3 THEN forward END) - avg(CASE WHEN r <= n // 3 THEN forward END) AS spread, count(*) FILTER (WHERE dd AND (masked > 0) = (forward > 0)) / count(*) FILTER (WHERE dd) AS hit_rate, count(*) FILTER (WHERE dd) AS decided FROM (
  SELECT *, row_number() OVER (ORDER BY masked, news_id) AS r, count(*) OVER () AS n, abs(masked) >= 0.2 AND forward <> 0 AS dd FROM (SELECT news_id, forward, masked FROM study) WHERE masked IS NOT NULL AND forward IS NOT NULL)""",
 )(lambda d: nw.signal_report(study(d), "news_id", "masked", "forward"))
-query("new_08_gap", "low:f, high:f")(lambda d: nw.gap_interval(study(d), "news_id", "masked", "probe", "forward", 200, 5))
-query("new_09_report", "year:i, ic:f, n:i, low:f, high:f")(
+query("new_08_gap", "low:f, high:f", _GAP)(lambda d: nw.gap_interval(study(d), "news_id", "masked", "probe", "forward", 200, 5))
+query("new_09_report", "year:i, ic:f, n:i, low:f, high:f", f"SELECT * FROM ({_RANKIC}), ({_BOOT})")(
     lambda d: sg.attach(nw.rank_correlation(study(d).withColumn("year", F.year("day")), "masked", "forward", "year"), nw.bootstrap_interval(study(d), "news_id", "masked", "forward", 200, 5))
 )
 query("new_10_sentiment", "news_id:i, masked:f", "SELECT news_id, masked FROM answers")(lambda d: answers(d).select("news_id", nw.sentiment("answer").alias("masked")))
