@@ -1,18 +1,20 @@
-"""Least squares from sums: Spark aggregates the cross products, a vectorised function solves the small system."""
+"""Least squares from sums: Spark aggregates the cross products, and the small system is solved in column expressions.
+
+The matrix of products is symmetric and positive, so it is eliminated along its diagonal, as Cholesky's method does,
+without exchange of rows. What is left of the last row's corner is the residual sum of squares.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.functions.numeric import c
 
-SINGULAR = 1e-14
+SINGULAR = 1e-13  #: share of its diagonal term below which a pivot counts as none
+MATRIX = "array<array<double>>"
 
 
 def gram_sums(y, xs: Sequence) -> Column:
@@ -21,51 +23,42 @@ def gram_sums(y, xs: Sequence) -> Column:
     return F.array(*[F.sum(a * b) for i, a in enumerate(cols) for b in cols[i:]])
 
 
-def _unpack(flat) -> np.ndarray:
-    k = int((np.sqrt(8 * len(flat) + 1) - 1) / 2)
-    m = np.zeros((k, k))
-    m[np.triu_indices(k)] = flat
-    return m + np.triu(m, 1).T
-
+def _size(flat: Column) -> Column:
+    return F.round((F.sqrt(8 * F.size(flat) + 1) - 1) / 2).cast("int")
 
-def solve(flat, ridge: float = 0.0) -> np.ndarray | None:
-    """Coefficients (intercept first); ``ridge`` is added to every diagonal term, the intercept included."""
-    if flat is None or any(v is None for v in flat):
-        return None
-    m = _unpack(np.asarray(flat, dtype=float))
-    a, b = m[:-1, :-1] + ridge * np.eye(len(m) - 1), m[:-1, -1]
-    if abs(np.linalg.det(a)) < SINGULAR and np.linalg.matrix_rank(a) < len(a):
-        return None
-    return np.linalg.solve(a, b)
 
+def _entry(flat: Column, i: Column, j: Column) -> Column:
+    low, high = F.least(i, j), F.greatest(i, j)
+    return F.get(flat, (low * _size(flat) - low * (low - 1) / 2 + high - low).cast("int"))
 
-@F.pandas_udf(T.DoubleType())
-def _r2(sums: pd.Series) -> pd.Series:
-    def one(flat):
-        beta = solve(flat)
-        if beta is None:
-            return None
-        m = _unpack(np.asarray(flat, dtype=float))
-        total = m[-1, -1] - m[0, -1] ** 2 / m[0, 0]
-        if total == 0:
-            return None
-        residual = m[-1, -1] - 2 * beta @ m[:-1, -1] + beta @ m[:-1, :-1] @ beta
-        return 1.0 - residual / total
 
-    return sums.map(one)
+def _eliminated(flat: Column, ridge: Column) -> Column:
+    """The matrix after all rows but the last have been used as pivots; NULL where a pivot vanishes or a sum is missing."""
+    last = _size(flat) - 1
+    places = F.sequence(F.lit(0), last)
+    own = lambda i: _entry(flat, i, i) + F.when(i < last, ridge).otherwise(0.0)
+    start = F.transform(places, lambda i: F.transform(places, lambda j: F.when(i == j, own(i)).otherwise(_entry(flat, i, j))))
 
+    def use(matrix: Column, p: Column) -> Column:
+        pivot = F.get(F.get(matrix, p), p)
+        less = lambda row: F.zip_with(row, F.get(matrix, p), lambda x, y: x - F.get(row, p) / pivot * y)
+        return F.when(pivot > SINGULAR * own(p), F.transform(matrix, lambda row, i: F.when(i == p, row).otherwise(less(row)))).cast(MATRIX)
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _coefficients(sums: pd.Series, ridge: pd.Series) -> pd.Series:
-    found = [solve(f, r) for f, r in zip(sums, ridge)]
-    return pd.Series([None if b is None else b.tolist() for b in found], index=sums.index, dtype=object)
+    return F.aggregate(F.sequence(F.lit(0), last - 1), start.cast(MATRIX), use)
 
 
 def r_squared(sums) -> Column:
     """R squared from a ``gram_sums`` column; NULL when singular or without variance."""
-    return _r2(c(sums))
+    flat = c(sums)
+    last = _size(flat) - 1
+    total = F.get(flat, F.size(flat) - 1) - F.get(flat, last) * F.get(flat, last) / F.get(flat, F.lit(0))
+    residual = F.get(F.get(_eliminated(flat, F.lit(0.0)), last), last)
+    return F.when(total != 0, 1.0 - F.try_divide(residual, total))
 
 
 def coefficients(sums, ridge=0.0) -> Column:
-    """Coefficient array from a ``gram_sums`` column."""
-    return _coefficients(c(sums), c(ridge).cast("double"))
+    """Coefficient array, intercept first, from a ``gram_sums`` column. The ridge is added to every diagonal term but that of y."""
+    flat = c(sums)
+    last = _size(flat) - 1
+    solved = _eliminated(flat, c(ridge).cast("double"))
+    return F.transform(F.slice(solved, 1, last), lambda row, i: F.get(row, last) / F.get(row, i))

@@ -5,13 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from datetime import datetime
 from itertools import combinations
-from statistics import NormalDist
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from tidemark.functions.normal import normal_cdf, normal_quantile
 from tidemark.functions.numeric import average_rank, change, corr_of, fallback_zero, ratio
 from tidemark.operators.asof import bars_on_grid
 
@@ -162,16 +160,6 @@ def effective_trials(folds: DataFrame) -> DataFrame:
     return attach(n, total).select((count * count / (count + F.greatest(F.col("all") - F.col("own"), F.lit(0.0)))).alias("effective"), count.alias("candidates"))
 
 
-@F.pandas_udf(T.DoubleType())
-def normal_cdf(z: pd.Series) -> pd.Series:
-    return z.map(NormalDist().cdf, na_action="ignore")
-
-
-@F.pandas_udf(T.DoubleType())
-def normal_quantile(p: pd.Series) -> pd.Series:
-    return p.map(NormalDist().inv_cdf, na_action="ignore")
-
-
 def deflated_sharpe(folds: DataFrame, zero_trials: int = 0, effective: DataFrame | None = None) -> DataFrame:
     """Probability that the Sharpe ratio beats the best expected from noise over all trials.
 
@@ -204,14 +192,15 @@ def excess_folds(folds: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def bootstrap_paths(folds: DataFrame, samples: int, block: float, seed: int) -> DataFrame:
-    """Stationary bootstrap: (sample, place, pos) with block starts drawn by hash, all samples at once."""
+    """Stationary bootstrap: (sample, place, pos) with block starts drawn by MD5, all samples at once."""
     position = folds.select("fold").distinct().withColumn("place", F.row_number().over(Window.orderBy("fold")) - 1)
     sized = attach(position, position.agg(F.count(F.lit(1)).alias("n")))
     many = sized.select("place", "n", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample"))
 
     def draw(tag: str) -> Column:
-        bits = F.xxhash64(F.lit(seed), F.lit(tag), F.col("sample"), F.col("place"))
-        return F.pmod(bits, F.lit(1 << 30)) / F.lit(float(1 << 30))
+        """A number from 0 to 1 made of MD5 digits, the same in any engine."""
+        text = F.concat_ws(":", F.lit(str(seed)), F.lit(tag), F.col("sample").cast("string"), F.col("place").cast("string"))
+        return F.conv(F.substring(F.md5(text.cast("binary")), 1, 7), 16, 10).cast("double") / F.lit(float(1 << 28))
 
     starts = (F.col("place") == 0) | (draw("cut") < 1.0 / block)
     start = F.when(starts, F.struct("place", F.floor(draw("at") * F.col("n")).alias("at")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from tidemark.functions import normal as nm
 from tidemark.operators.panel import padded
 
 
@@ -187,6 +188,55 @@ FROM {grid} g JOIN {revisions} b ON b.ts >= g.as_of AND b.ts <= g.as_of + INTERV
 WHERE rv = 1) GROUP BY 1, 2)"""
 
 
+def solve_sql(source: str, y: str, xs: list[str], group: str = "", ridge: str = "0.0::DOUBLE", where: str = "TRUE") -> str:
+    """Least squares of ``y`` on 1 and ``xs`` by group: (group, n, b0, b1, ..., r2), elimination written out step by step.
+
+    ``group`` lists columns of ``source``, ``ridge`` is one of them or a number. Coefficients are NULL where a pivot vanishes.
+    """
+    cols = ["1.0::DOUBLE", *xs, y]
+    k, m = len(cols), len(cols) - 1
+    cells = [(i, j) for i in range(k) for j in range(i, k)]
+    lead = f"{group}, " if group else ""
+    sums = ", ".join(f"sum(({cols[i]}) * ({cols[j]})) AS a{i}_{j}" for i, j in cells)
+    text = f"SELECT {lead}count(*) AS n, {sums} FROM {source} WHERE {where} {'GROUP BY ' + group if group else ''}"
+    ridged = ", ".join(f"a{i}_{j}{' + ' + ridge if i == j < m else ''} AS a{i}_{j}" for i, j in cells)
+    text = f"SELECT {lead}n, TRUE AS ok, a{m}_{m} - a0_{m} * a0_{m} / a0_0 AS total, {', '.join(f'a{i}_{i} + {ridge} AS d{i}' for i in range(m))}, {ridged} FROM ({text})"
+    for p in range(m):
+        after = ", ".join(f"a{i}_{j} - a{p}_{i} / a{p}_{p} * a{p}_{j} AS a{i}_{j}" if i > p else f"a{i}_{j}" for i, j in cells)
+        text = f"SELECT {lead}n, ok AND a{p}_{p} > 1e-13 * d{p} AS ok, total, {', '.join(f'd{i}' for i in range(m))}, {after} FROM ({text})"
+    for i in reversed(range(m)):
+        known = "".join(f" - a{i}_{j} * b{j}" for j in range(i + 1, m))
+        text = f"SELECT *, (a{i}_{m}{known}) / a{i}_{i} AS b{i} FROM ({text})"
+    betas = ", ".join(f"CASE WHEN ok THEN b{i} END AS b{i}" for i in range(m))
+    return f"(SELECT {lead}n, {betas}, CASE WHEN ok AND total <> 0 THEN 1 - a{m}_{m} / total END AS r2 FROM ({text}))"
+
+
+def _poly_sql(factors: tuple[float, ...], x: str) -> str:
+    out = f"{factors[0]:.17e}"
+    for f in factors[1:]:
+        out = f"({out} * {x} + {f:.17e})"
+    return out
+
+
+def normal_cdf_sql(z: str) -> str:
+    far = "(cdf_x + 0.65e0)"
+    for k in (4, 3, 2, 1):
+        far = f"(cdf_x + {k}e0 / {far})"
+    near = f"{_poly_sql(nm.CDF_TOP, 'cdf_x')} / {_poly_sql(nm.CDF_BOTTOM, 'cdf_x')}"
+    upper = f"exp(-cdf_x * cdf_x / 2) * CASE WHEN cdf_x < {nm.CDF_FAR}e0 THEN {near} ELSE 1 / ({far} * sqrt(2 * pi())) END"
+    return f"(SELECT CASE WHEN cdf_z > 0 THEN 1 - cdf_u ELSE cdf_u END FROM (SELECT cdf_z, {upper} AS cdf_u FROM (SELECT CAST({z} AS DOUBLE) AS cdf_z, abs(CAST({z} AS DOUBLE)) AS cdf_x)))"
+
+
+def normal_quantile_sql(p: str) -> str:
+    tail = f"{_poly_sql(nm.TAIL_TOP, 'inv_t')} / {_poly_sql(nm.TAIL_BOTTOM, 'inv_t')}"
+    middle = f"(inv_p - 0.5e0) * {_poly_sql(nm.MIDDLE_TOP, 'inv_r')} / {_poly_sql(nm.MIDDLE_BOTTOM, 'inv_r')}"
+    first = f"CASE WHEN inv_p < {nm.TAIL} THEN {tail} WHEN inv_p > 1 - {nm.TAIL} THEN -({tail}) ELSE {middle} END"
+    below = "least(inv_p, 1 - inv_p)"
+    parts = f"(inv_p - 0.5e0) * (inv_p - 0.5e0) AS inv_r, CASE WHEN {below} > 0 THEN sqrt(-2 * ln(CASE WHEN {below} > 0 THEN {below} END)) END AS inv_t"
+    inner = f"SELECT inv_p, {first} AS inv_y FROM (SELECT inv_p, {parts} FROM (SELECT CAST({p} AS DOUBLE) AS inv_p))"
+    return f"(SELECT CASE WHEN inv_p > 0 AND inv_p < 1 THEN inv_y - ({normal_cdf_sql('inv_y')} - inv_p) * sqrt(2 * pi()) * exp(inv_y * inv_y / 2) END FROM ({inner}))"
+
+
 def _needs(text: str) -> list[str]:
     return [v for v in VIEWS if re.search(rf"\b{v}\b", text)]
 

@@ -10,8 +10,9 @@ from tidemark.operators import models as ml
 from tidemark.operators import news as nw
 from tidemark.operators import signals as sg
 from tidemark.plans.domain import QUARTERS, Domain
-from tidemark.plans.oracle import VIEWS, forward_sql, panel_sql
+from tidemark.plans.oracle import VIEWS, forward_sql, panel_sql, solve_sql
 from tidemark.plans.queries_fundamental import _SQL as FACT_SQL
+from tidemark.plans.queries_signals import ic_sql
 from tidemark.plans.registry import query
 from tidemark.session import ensure_checkpoint_dir
 from tidemark.streaming import jobs
@@ -31,24 +32,64 @@ def rows(d: Domain):
 query("ml_01_features", f"security_id:s, as_of:t, {FC}", "SELECT * FROM features")(lambda d: ml.feature_vectors(d.bar_revisions, d.fundamentals, QUARTERS))
 query("ml_02_targets", "security_id:s, as_of:t, target:f", f"SELECT security_id, as_of, fwd AS target FROM {forward_sql('bar_revisions', 'grid_q', 60)}")(lambda d: ml.targets(d.bar_revisions, QUARTERS))
 query("ml_03_dataset", f"security_id:s, as_of:t, {FC}, target:f, target_end:t", "SELECT * FROM ml_rows")(rows)
-query("ml_04_fit_linear", "samples:i, intercept:f6, first:f6")(lambda d: ml.fit_linear(rows(d)).select("samples", F.col("beta")[0].alias("intercept"), F.col("beta")[1].alias("first")))
-query("ml_05_predict_linear", "security_id:s, as_of:t, prediction:f6")(lambda d: ml.predict_linear(rows(d), ml.fit_linear(rows(d))))
-query("ml_06_ridge_search", "ridge:f, mse:f, n:i")(lambda d: ml.ridge_search(rows(d), QUARTERS))
-query("ml_07_tree", "security_id:s, as_of:t, prediction:f6")(lambda d: ml.fit_tree(rows(d)).transform(rows(d)))
-query("ml_08_forest", "security_id:s, as_of:t, prediction:f6")(lambda d: ml.fit_forest(rows(d)).transform(rows(d)))
-query("ml_09_forest_mean", "as_of:t, mean_prediction:f6, n:i")(lambda d: ml.fit_forest(rows(d)).transform(rows(d)).groupBy("as_of").agg(F.avg("prediction").alias("mean_prediction"), F.count(F.lit(1)).alias("n")))
+_X = list(ml.FEATURES)
+VIEWS["ml_fit"] = f"SELECT * FROM {solve_sql('ml_rows', 'target', _X, ridge='1e-6')}"
+_DOT = "b0" + "".join(f" + b{i} * {x}" for i, x in enumerate(_X, 1))
+_CUTS = [QUARTERS[len(QUARTERS) * (i + 1) // 4] for i in range(3)]
+_BLOCK = " + ".join(f"CAST(as_of >= TIMESTAMP '{x}' AS INT)" for x in _CUTS)
+_FOLDS = f"(SELECT m.*, fold, CAST(ridge AS DOUBLE) AS ridge FROM (SELECT *, {_BLOCK} AS block FROM ml_rows) m JOIN range(1, 4) f(fold) ON block < fold, (SELECT unnest([{', '.join(map(str, ml.RIDGES))}]) AS ridge))"
+
+
+def kept(d: Domain):
+    """The dataset, written once for a query that reads it for the fit and again for the answer."""
+    ensure_checkpoint_dir(d.spark)
+    return rows(d).checkpoint()
+
+
+def _predicted(d: Domain):
+    found = kept(d)
+    return ml.predict_linear(found, ml.fit_linear(found))
+
+
+def _fitted(fit):
+    def answer(d: Domain):
+        found = kept(d)
+        return fit(found).transform(found)
+
+    return answer
+
+
+query("ml_04_fit_linear", "samples:i, intercept:f6, first:f6", "SELECT n AS samples, b0 AS intercept, b1 AS first FROM ml_fit")(lambda d: ml.fit_linear(rows(d)).select("samples", F.col("beta")[0].alias("intercept"), F.col("beta")[1].alias("first")))
+query("ml_05_predict_linear", "security_id:s, as_of:t, prediction:f6", f"SELECT security_id, as_of, {_DOT} AS prediction FROM ml_rows, ml_fit")(_predicted)
+query(
+    "ml_06_ridge_search",
+    "ridge:f, mse:f, n:i",
+    f"""SELECT ridge, avg(pow({_DOT} - target, 2)) AS mse, count(*) AS n FROM (SELECT *, {_BLOCK} AS block FROM ml_rows) JOIN {solve_sql(_FOLDS, 'target', _X, 'fold, ridge', 'ridge')} ON block = fold WHERE n >= {len(_X) + 2} GROUP BY 1""",
+)(lambda d: ml.ridge_search(kept(d), QUARTERS))
+query("ml_07_tree", "security_id:s, as_of:t, prediction:f6")(_fitted(ml.fit_tree))
+query("ml_08_forest", "security_id:s, as_of:t, prediction:f6")(_fitted(ml.fit_forest))
+query("ml_09_forest_mean", "as_of:t, mean_prediction:f6, n:i")(lambda d: _fitted(ml.fit_forest)(d).groupBy("as_of").agg(F.avg("prediction").alias("mean_prediction"), F.count(F.lit(1)).alias("n")))
 TRAIN = ml.training_dates(datetime(2000, 3, 15), 36, 6)
 _TRAINSQL = "as_of >= TIMESTAMP '1997-03-15' AND as_of <= TIMESTAMP '2000-03-15' - INTERVAL 60 DAY AND month(as_of) IN (3, 9)"
 query("ml_10_training_rows", "security_id:s, as_of:t, target:f", f"SELECT security_id, as_of, target FROM ml_rows WHERE {_TRAINSQL}")(lambda d: ml.dataset(d.bar_revisions, d.fundamentals, TRAIN))
-query("ml_11_model_ic", "as_of:t, ic:f6, names:i")(
-    lambda d: sg.ic_series(ml.predict_linear(rows(d), ml.fit_linear(rows(d))).select("security_id", "as_of", F.col("prediction").alias("score")), rows(d).select("security_id", "as_of", F.col("target").alias("fwd")))
-)
-query("ml_14_fit_on_maps", "samples:i, intercept:f6")(
+
+
+def _model_ic(d: Domain):
+    found = _predicted(d)
+    return sg.ic_series(found.select("security_id", "as_of", F.round("prediction", 9).alias("score")), found.select("security_id", "as_of", F.col("target").alias("fwd")))
+
+
+query(
+    "ml_11_model_ic",
+    "as_of:t, ic:f6, names:i",
+    f"SELECT * FROM {ic_sql(f'(SELECT security_id, as_of, round({_DOT}, 9) AS score FROM ml_rows, ml_fit)', '(SELECT security_id, as_of, target AS fwd FROM ml_rows)')} WHERE ic IS NOT NULL",
+)(_model_ic)
+query("ml_14_fit_on_maps", "samples:i, intercept:f6", f"SELECT n AS samples, b0 AS intercept FROM {solve_sql('ml_rows', 'target', ['roe', 'momentum'], ridge='1e-6', where='roe > -0.5 AND momentum > -0.5')}")(
     lambda d: ml.fit_on_maps(
         rows(d).select(F.col("target").alias("label"), F.map_filter(F.create_map(F.lit("roe"), "roe", F.lit("momentum"), "momentum"), lambda k, v: v > -0.5).alias("features")), ["roe", "momentum"]
     ).select("samples", F.col("beta")[0].alias("intercept"))
 )
-query("udf_01_r_squared", "as_of:t, r2:f6")(lambda d: _r2(d))
+query("udf_01_r_squared", "as_of:t, r2:f6", f"SELECT as_of, r2 FROM {solve_sql('ml_rows', 'target', ['momentum', 'low_volatility'], 'as_of')}")(lambda d: _r2(d))
 
 
 def _r2(d: Domain):

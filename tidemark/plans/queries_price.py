@@ -8,7 +8,7 @@ from tidemark.operators import blocks
 from tidemark.operators import price_factors as pf
 from tidemark.operators.panel import bar_panel, padded
 from tidemark.plans.domain import QUARTERS, Domain
-from tidemark.plans.oracle import market_sql, panel_sql
+from tidemark.plans.oracle import VIEWS, market_sql, panel_sql, solve_sql
 from tidemark.plans.registry import query
 
 COLS = "security_id:s, as_of:t, score:f"
@@ -202,7 +202,24 @@ _market(
 )
 
 
-@query("fpx_17_price_delay", COLS)
+VIEWS["own_weeks"] = f"SELECT security_id, as_of, date_trunc('week', ts) AS wk, arg_max(px, ts) AS px FROM {panel_sql(REGION, 'grid_q', 446, None)} WHERE px <> 0 GROUP BY 1, 2, 3"
+VIEWS["all_market_weeks"] = f"SELECT as_of, date_trunc('week', ts) AS wk, arg_max(px, ts) AS mpx FROM {panel_sql('benchmark_bars', 'grid_q', 446, None)} WHERE px <> 0 GROUP BY 1, 2"
+VIEWS["market_weeks"] = """SELECT as_of, wk, mpx, row_number() OVER (PARTITION BY as_of ORDER BY wk) AS num FROM (
+ SELECT *, row_number() OVER (PARTITION BY as_of ORDER BY wk DESC) AS back FROM all_market_weeks) WHERE back <= 57"""
+VIEWS["market_moves"] = "SELECT b.as_of, b.wk, b.num, b.mpx / a.mpx - 1 AS m FROM market_weeks b JOIN market_weeks a ON a.as_of = b.as_of AND a.num = b.num - 1"
+VIEWS["paired_weeks"] = "SELECT o.security_id, o.as_of, w.num, o.px FROM own_weeks o JOIN market_weeks w ON o.as_of = w.as_of AND o.wk = w.wk"
+_LAGS = " ".join(f"JOIN market_moves l{k} ON l{k}.as_of = b.as_of AND l{k}.num = b.num - {k}" for k in range(5))
+VIEWS["delay_rows"] = f"""SELECT b.security_id, b.as_of, b.px / a.px - 1 AS y, l0.m AS m, l1.m AS m1, l2.m AS m2, l3.m AS m3, l4.m AS m4
+ FROM paired_weeks b JOIN paired_weeks a ON a.security_id = b.security_id AND a.as_of = b.as_of AND a.num = b.num - 1 {_LAGS}"""
+_SHORT, _FULL = (solve_sql("delay_rows", "y", xs, "security_id, as_of") for xs in (["m"], ["m", "m1", "m2", "m3", "m4"]))
+
+
+@query(
+    "fpx_17_price_delay",
+    COLS,
+    f"""SELECT g.security_id, g.as_of, CASE WHEN a.n >= 26 AND b.r2 > 0 THEN 1 - a.r2 / b.r2 END AS score FROM (SELECT DISTINCT security_id, as_of FROM delay_rows) g
+ JOIN {_SHORT} a ON a.security_id = g.security_id AND a.as_of = g.as_of JOIN {_FULL} b ON b.security_id = g.security_id AND b.as_of = g.as_of""",
+)
 def _delay(d: Domain):
     return pf.price_delay(d.region_revisions, d.benchmark_bars, QUARTERS)
 
@@ -217,7 +234,7 @@ def _weekly(d: Domain):
     return pf.weekly_closes(bar_panel(d.bar_revisions, QUARTERS, 446, None))
 
 
-@query("fpx_19_ols_r_squared", "security_id:s, as_of:t, r2:f")
+@query("fpx_19_ols_r_squared", "security_id:s, as_of:t, r2:f", f"SELECT security_id, as_of, r2 FROM {solve_sql(market_sql(REGION, 'grid_q', 252), 's', ['m', 'm * m'], 'security_id, as_of', where='s IS NOT NULL')}")
 def _r2(d: Domain):
     from tidemark.functions.regression import gram_sums, r_squared
     from tidemark.operators.panel import market_panel

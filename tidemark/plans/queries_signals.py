@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions.normal import normal_cdf, normal_quantile
 from tidemark.operators import fundamental_factors as ff
 from tidemark.operators import price_factors as pf
 from tidemark.operators import signals as sg
 from tidemark.operators.panel import padded
 from tidemark.plans.domain import MONTHS, QUARTERS, Domain
-from tidemark.plans.oracle import VIEWS, forward_sql, panel_sql
+from tidemark.plans.oracle import VIEWS, forward_sql, normal_cdf_sql, normal_quantile_sql, panel_sql
 from tidemark.plans.queries_fundamental import _SQL as FACT_SQL
 from tidemark.plans.queries_fundamental import _QUALITY
 from tidemark.plans.queries_price import _IND
@@ -129,10 +130,27 @@ query(
     """SELECT n * n / (n + 2 * s) AS effective, n AS candidates FROM (SELECT CAST(count(DISTINCT candidate) AS DOUBLE) AS n FROM common_folds), (SELECT sum(rho * rho) AS s FROM (
  SELECT corr(a.net_return, b.net_return) AS rho FROM common_folds a JOIN common_folds b ON a.fold = b.fold AND a.candidate < b.candidate GROUP BY a.candidate, b.candidate))""",
 )(lambda d: sg.effective_trials(folds(d)))
-query("sig_13_deflated_sharpe", "candidate:s, sharpe:f, sr0:f, dsr:f")(lambda d: sg.deflated_sharpe(folds(d)))
-query("sig_14_cumulative_dsr", "candidate:s, sharpe:f, sr0:f, dsr:f")(lambda d: sg.deflated_sharpe(folds(d), zero_trials=20))
-query("udf_03_normal_cdf", "candidate:s, p:f, z:f")(
-    lambda d: sg.moments(folds(d)).select("candidate", sg.normal_cdf("sharpe").alias("p"), sg.normal_quantile(sg.normal_cdf("sharpe")).alias("z"))
+VIEWS["fold_moments"] = """SELECT candidate, count(*) AS n, avg(net_return) / nullif(stddev_pop(net_return), 0) AS sharpe,
+ coalesce(avg(pow(net_return - m, 3)) / nullif(pow(stddev_pop(net_return), 3), 0), 0) AS skew, coalesce(avg(pow(net_return - m, 4)) / nullif(pow(stddev_pop(net_return), 4), 0), 3) AS kurt
+ FROM (SELECT *, avg(net_return) OVER (PARTITION BY candidate) AS m FROM common_folds) GROUP BY 1"""
+_EFFECTIVE = """SELECT n * n / (n + 2 * s) AS effective, n AS candidates FROM (SELECT CAST(count(DISTINCT candidate) AS DOUBLE) AS n FROM common_folds), (SELECT sum(rho * rho) AS s FROM (
+ SELECT corr(a.net_return, b.net_return) AS rho FROM common_folds a JOIN common_folds b ON a.fold = b.fold AND a.candidate < b.candidate GROUP BY a.candidate, b.candidate))"""
+
+
+def _deflated(count: str, zero: int = 0, floor: str = "top") -> str:
+    """(candidate, sharpe, sr0, dsr) for a number of trials that is a scalar expression over ``trials``."""
+    quantiles = f"{normal_quantile_sql('1 - 1 / count')} AS q1, {normal_quantile_sql('1 - 1 / (count * exp(1.0::DOUBLE))')} AS q2"
+    top = f"sqrt(greatest(var, 0)) * ((1 - {sg.EULER_GAMMA}::DOUBLE) * q1 + {sg.EULER_GAMMA}::DOUBLE * q2)"
+    z = "(sharpe - sr0) * sqrt(n - 1) / sqrt(greatest(1e-12, 1 - skew * sharpe + (kurt - 1) / 4 * sharpe * sharpe))"
+    return f"""SELECT candidate, sharpe, sr0, {normal_cdf_sql('z')} AS dsr FROM (SELECT *, {z} AS z FROM fold_moments, (
+ SELECT CASE WHEN count <= 1 OR var <= 0 THEN 0 ELSE {floor} END AS sr0 FROM (SELECT *, {top} AS top FROM (SELECT *, {quantiles} FROM (SELECT *, {count} AS count FROM (
+ SELECT count(*) + {zero}.0::DOUBLE AS trials, sum(sharpe * sharpe) / (count(*) + {zero}) - pow(sum(sharpe) / (count(*) + {zero}), 2) AS var FROM fold_moments))))))"""
+
+
+query("sig_13_deflated_sharpe", "candidate:s, sharpe:f, sr0:f, dsr:f", _deflated("trials"))(lambda d: sg.deflated_sharpe(folds(d)))
+query("sig_14_cumulative_dsr", "candidate:s, sharpe:f, sr0:f, dsr:f", _deflated("trials", 20))(lambda d: sg.deflated_sharpe(folds(d), zero_trials=20))
+query("udf_03_normal_cdf", "candidate:s, p:f, z:f", f"SELECT candidate, p, {normal_quantile_sql('p')} AS z FROM (SELECT candidate, {normal_cdf_sql('sharpe')} AS p FROM fold_moments)")(
+    lambda d: sg.moments(folds(d)).select("candidate", normal_cdf("sharpe").alias("p"), normal_quantile(normal_cdf("sharpe")).alias("z"))
 )
 
 
@@ -146,10 +164,37 @@ query(
     "candidate:s, fold:i, net_return:f",
     "SELECT candidate, fold, net_return - avg(net_return) OVER (PARTITION BY fold) AS net_return FROM common_folds",
 )(excess)
-query("sig_16_reality_check", "p_value:f, observed:f, best:s")(lambda d: sg.reality_check(excess(d)))
-query("sig_17_superior_ability", "p_value:f, observed:f, best:s")(lambda d: sg.superior_ability(excess(d)))
-query("udf_05_bootstrap_paths", "sample:i, place:i, pos:i")(lambda d: sg.bootstrap_paths(folds(d), 200, 4.0, 7))
-query("sig_22_overfitting_report", "candidate:s, sharpe:f, dsr:f, probability:f, effective:f")(
+VIEWS["excess_folds"] = "SELECT candidate, fold, net_return - round(avg(net_return) OVER (PARTITION BY fold), 12) AS net_return FROM common_folds"
+
+
+def _paths(samples: int, seed: int) -> str:
+    """Stationary bootstrap written out: each place goes on from the last block start before it."""
+    draw = lambda tag: f"CAST(CAST('0x' || substr(md5('{seed}:{tag}:' || sample || ':' || place), 1, 7) AS BIGINT) AS DOUBLE) / {1 << 28}"
+    return f"""(SELECT sample, place, n, (b.at + place - b.place) % n AS pos FROM (
+ SELECT sample, place, n, last_value(CASE WHEN place = 0 OR {draw('cut')} < 0.25 THEN {{'place': place, 'at': CAST(floor({draw('at')} * n) AS BIGINT)}} END IGNORE NULLS) OVER (PARTITION BY sample ORDER BY place) AS b
+ FROM (SELECT row_number() OVER (ORDER BY fold) - 1 AS place, count(*) OVER () AS n FROM (SELECT DISTINCT fold FROM common_folds)), range({samples}) t(sample)))"""
+
+
+VIEWS["boot_means"] = f"""SELECT sample, candidate, avg(net_return) AS boot, max(n) AS n FROM {_paths(2000, 0)} JOIN (
+ SELECT *, dense_rank() OVER (ORDER BY fold) - 1 AS pos FROM excess_folds) USING (pos) GROUP BY 1, 2"""
+_CHECK = """WITH means AS (SELECT candidate, avg(net_return) AS mean, count(*) AS m FROM excess_folds GROUP BY 1),
+ seen AS (SELECT max(mean) * sqrt(max(m)) AS observed, arg_max(candidate, mean) AS best FROM means),
+ stat AS (SELECT sample, max(sqrt(n) * (boot - mean)) AS stat FROM boot_means JOIN means USING (candidate) GROUP BY 1)
+SELECT avg(CAST(stat >= observed AS INT)) AS p_value, max(observed) AS observed, max(best) AS best FROM stat, seen"""
+_SUPERIOR = """WITH width AS (SELECT candidate, stddev_pop(boot) AS sd, max(n) AS n FROM boot_means GROUP BY 1),
+ s AS (SELECT candidate, n, mean, CASE WHEN sd * sqrt(n) > 0 THEN sd * sqrt(n) ELSE 1e-12 END AS sigma FROM width JOIN (SELECT candidate, avg(net_return) AS mean FROM excess_folds GROUP BY 1) USING (candidate)),
+ c AS (SELECT candidate, sigma, sqrt(n) * mean / sigma AS t, CASE WHEN mean > -sqrt(2 * ln(ln(greatest(n, 3))) / n) * sigma / sqrt(n) THEN mean ELSE 0 END AS centre FROM s),
+ seen AS (SELECT max(t) AS observed, arg_max(candidate, t) AS best FROM c),
+ stat AS (SELECT sample, max(sqrt(n) * (boot - centre) / sigma) AS stat FROM boot_means JOIN c USING (candidate) GROUP BY 1)
+SELECT avg(CAST(stat >= observed AS INT)) AS p_value, max(observed) AS observed, max(best) AS best FROM stat, seen"""
+query("sig_16_reality_check", "p_value:f, observed:f, best:s", _CHECK)(lambda d: sg.reality_check(excess(d)))
+query("sig_17_superior_ability", "p_value:f, observed:f, best:s", _SUPERIOR)(lambda d: sg.superior_ability(excess(d)))
+query("udf_05_bootstrap_paths", "sample:i, place:i, pos:i", f"SELECT sample, place, pos FROM {_paths(200, 7)}")(lambda d: sg.bootstrap_paths(folds(d), 200, 4.0, 7))
+query(
+    "sig_22_overfitting_report",
+    "candidate:s, sharpe:f, dsr:f, probability:f, effective:f",
+    f"SELECT candidate, sharpe, dsr, probability, effective FROM ({_deflated(f'(SELECT effective FROM ({_EFFECTIVE}))', floor='greatest(0, top)')}), (SELECT avg(CAST(logit <= 0 AS INT)) AS probability FROM cscv), ({_EFFECTIVE})",
+)(
     lambda d: sg.attach(
         sg.attach(sg.deflated_sharpe(folds(d), effective=sg.effective_trials(folds(d))), sg.overfitting_probability(folds(d))),
         sg.effective_trials(folds(d)).select("effective"),
