@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 STRONG = 8
 WIDE = 120  #: lanes of signs: 60 bits from each half of an MD5
-PACK = 3  #: lanes summed in one number, 20 bits each
-ROOM = 20
+PACK = 2  #: lanes summed in one number
+ROOM = 30  #: bits of each; a text of two gigabytes, the most that a row can hold, has fewer than 2**30 sentences
 CELLS = 64  #: least number of id ranges in which neighbours are sought
 CELL_ROWS = 16_384  #: and one more for so many documents
 

@@ -4,10 +4,16 @@ Per language, labelled text becomes a suffix automaton, made total as a table: w
 present match, the phrase ends, one is counted, and the next match begins with that letter. A text's phrases times
 the bits of a pointer into the labelled text estimate its cross entropy with the language; the lowest wins.
 
-Texts are read as lower-case letters with every other run as one gap, whole, cut every PIECE symbols so that the
-pieces of many texts move through the tables together. Results for odd input: null text, or none with a letter:
-``und`` and score 0. No labelled row: every text is ``und``. Equal entropies: the language with more labelled rows,
-then the smaller name. Repeated rows are each answered. Only (text) is read for an answer.
+Texts are read whole, as lower-case letters with every other run as one gap. Pieces of PIECE symbols of many texts move
+through a table together, first each from a guessed state; a piece that the one before it hands another state is stepped again
+until it falls in with its first way. So the phrases are those of the whole text, wherever pieces are cut.
+
+What is learned is a bounded sample: SAMPLE_DOCS labelled texts a language, drawn by hash from the different ones, and of
+their different lines those that come first by hash, whole, up to SAMPLE_SYMBOLS symbols. More than TOTAL_SYMBOLS /
+SAMPLE_SYMBOLS languages share TOTAL_SYMBOLS alike, so none is left out.
+
+Results for odd input: null text, or none with a letter: ``und`` and score 0. No labelled row: every text is ``und``. Equal
+entropies: the language with more labelled texts, then the smaller name. Repeated rows are each answered. Only (text) is read for an answer.
 """
 
 from __future__ import annotations
@@ -16,17 +22,18 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import textbytes as tb
 from tidemark.llm.shared import hash_unit, HASH_UNITS
 
 UNKNOWN = "und"
-SAMPLE_DOCS = 100  #: labelled documents per language, drawn by hash
-SAMPLE_SYMBOLS = 30_000  #: symbols of them that an automaton learns
-SAMPLE_CHARS = 20_000  #: longer labelled texts are not used for learning
-LANGUAGES = 200  #: languages learned, the most frequent first
+SAMPLE_DOCS = 100  #: different labelled texts per language, drawn by hash
+SAMPLE_LINES = 2_000  #: lines of them that are sent to the driver, first by hash
+SAMPLE_SYMBOLS = 30_000  #: symbols of those that an automaton learns
+SAMPLE_CHARS = 20_000  #: a longer line is learned to here
+TOTAL_SYMBOLS = 600_000  #: symbols of all languages, which bounds the tables
 PIECE = 256
 CONFIDENCE_SYMBOLS = 50  #: at most so many symbols count as evidence in a score
 REJECT_SCORE = 0.3
@@ -108,16 +115,62 @@ def parse_table(text: list[int], width: int) -> np.ndarray:
     return out.ravel()
 
 
+def phrase_counts(table: np.ndarray, codes: np.ndarray, ends: np.ndarray, piece: int = PIECE) -> np.ndarray:
+    """Phrases of each text in the parse by ``table``; ``codes`` are the texts' symbols, ``ends`` their offsets and the end."""
+    sizes = np.diff(ends)
+    each = -(-sizes // piece)
+    owner = np.repeat(np.arange(len(sizes)), each)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(each) - each, each)
+    begin = ends[:-1][owner] + nth * piece
+    length = np.minimum(piece, ends[1:][owner] - begin)
+    opened = table[0] >> 2  # a text begins after a gap; so is every piece guessed to
+    way, closed = np.empty((piece, len(begin)), np.int32), np.zeros((piece, len(begin)), np.uint8)
+    after = np.full(len(begin), opened, np.int32)  # the state in which a piece is left
+    todo, state, first = np.argsort(-length, kind="stable"), np.full(len(begin), opened, np.int32), True
+    given = np.full(len(begin), opened, np.int32)  # the state in which it was entered
+    while len(todo):
+        lengths = length[todo]
+        for t in range(piece):
+            k = int(np.searchsorted(-lengths, -t, "left"))  # pieces longer than t
+            if not k:
+                break
+            todo, state, lengths = todo[:k], state[:k], lengths[:k]
+            step = table[state + codes[begin[todo] + t]]
+            state = step >> 2
+            if not first:
+                other = state != way[t, todo]
+                closed[t, todo] = step & 3
+                todo, state, lengths = todo[other], state[other], lengths[other]
+                way[t, todo] = state
+            else:
+                way[t, todo], closed[t, todo] = state, step & 3
+            done = lengths == t + 1
+            after[todo[done]] = state[done]
+        first = False
+        wrong = np.flatnonzero((nth[1:] > 0) & (after[:-1] != given[1:])) + 1
+        given[wrong] = after[wrong - 1]
+        todo = wrong[np.argsort(-length[wrong], kind="stable")]
+        state = given[todo]
+    counts = np.bincount(owner, closed.sum(axis=0, dtype=np.int64), len(sizes)).astype(np.int64)
+    last = np.cumsum(each) - 1
+    return counts + (after[last] > 0)  # the phrase that is open at the end
+
+
 class Model:
     """Names in order of preference, the symbols' classes, and for each language its table and pointer bits."""
 
     def __init__(self, labelled: list[tuple[str, list[str]]]):
         self.names = [name for name, _ in labelled]
+        room = min(SAMPLE_SYMBOLS, TOTAL_SYMBOLS // max(len(labelled), 1))
         found = []
-        for _, texts in labelled:
-            joined = pa.array(texts, pa.string())
-            parts = [symbols(data, offsets)[0] for _, _, data, offsets in tb.blocks(joined)]
-            found.append(np.concatenate(parts)[:SAMPLE_SYMBOLS] if parts else np.empty(0, np.uint32))
+        for _, lines in labelled:
+            parts, ends = [np.empty(0, np.uint32)], [0]
+            for _, _, data, offsets in tb.blocks(pa.array(lines, pa.string())):
+                low, cuts = symbols(data, offsets)
+                parts.append(low)
+                ends += (ends[-1] + cuts[1:]).tolist()
+            whole = [e for e in ends if e <= room]
+            found.append(np.concatenate(parts)[: whole[-1] or room])  # whole lines; of a first one that is longer, its beginning
         self.alphabet = np.unique(np.concatenate(found)) if found else np.empty(0, np.uint32)
         self.alphabet = self.alphabet[self.alphabet > 0]
         width = len(self.alphabet) + 2  # the gap, the letters, any other letter
@@ -140,31 +193,9 @@ class Model:
         """Bits per symbol by language and row, and the rows' letters."""
         low, ends = symbols(data, offsets)
         n_letters = np.add.reduceat(low != 0, ends[:-1], dtype=np.int64)
-        codes = self.classes(low)
-        sizes = np.diff(ends)
-        pieces = -(-sizes // PIECE)
-        owner = np.repeat(np.arange(len(sizes)), pieces)
-        nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        begin = ends[:-1][owner] + nth * PIECE
-        length = np.minimum(PIECE, ends[1:][owner] - begin)
-        order = np.argsort(-length, kind="stable")
-        begin, length, owner = begin[order], length[order], owner[order]
-        active = np.searchsorted(-length, -np.arange(PIECE), "left")  # pieces longer than t
-        counts = np.zeros((len(self.tables), len(begin)), np.int32)
-        opened = np.where(nth[order] == 0, 1, 0)  # a text begins after a gap
-        states = np.array([(table[0] >> 2) * opened for table in self.tables], np.int32)
-        for t in range(PIECE):
-            k = int(active[t])
-            if not k:
-                break
-            c = codes[begin[:k] + t].astype(np.int32)
-            for table, state, count in zip(self.tables, states, counts, strict=True):
-                step = table[state[:k] + c]
-                count[:k] += step & 3
-                state[:k] = step >> 2
-        counts += states > 0
-        phrases = np.array([np.bincount(owner, x, len(sizes)) for x in counts]).reshape(len(self.tables), len(sizes))
-        return phrases * self.bits[:, None] / np.maximum(sizes, 1), n_letters
+        codes = self.classes(low).astype(np.int32)
+        phrases = np.array([phrase_counts(table, codes, ends) for table in self.tables]).reshape(len(self.tables), len(ends) - 1)
+        return phrases * self.bits[:, None] / np.maximum(np.diff(ends), 1), n_letters
 
     def predict(self, texts: pa.Array) -> pa.StructArray:
         names, scores = [], []
@@ -181,20 +212,22 @@ class Model:
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate(scores or [np.empty(0)]), pa.float64())], ["lang_pred", "score"])
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model:
-    """Learn from a bounded sample: SAMPLE_DOCS whole texts a language, of SAMPLE_CHARS at most, drawn by hash of the key."""
-    usable = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(key).alias("key")).where(
-        F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN) & (F.length("text") <= SAMPLE_CHARS)
-    )
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model:
+    """Learn from the bounded sample described above. Copies of a text count and are drawn once."""
+    usable = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN))
+    counts = usable.groupBy("lang").agg(F.count_distinct(F.xxhash64("text")).alias("count")).orderBy(F.desc("count"), "lang").collect()  # a row for each language
     if not counts:
         return Model([])
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], int(min(1.0, SAMPLE_DOCS / r["count"]) * HASH_UNITS))])
-    drawn = usable.where(hash_unit("key", "text") < share[F.col("lang")]).select("lang", "text", hash_unit("text").alias("at"))
-    drawn = drawn.orderBy("at", "text").limit(2 * SAMPLE_DOCS * len(counts))  # twice what the hash draws on average
+    lines = usable.where(hash_unit("text") < share[F.col("lang")]).select("lang", F.explode(F.split("text", "\n")).alias("line"))
+    lines = lines.where(F.trim("line") != "").select("lang", F.substring("line", 1, SAMPLE_CHARS).alias("line")).distinct().withColumn("at", F.xxhash64("line"))
+    first = Window.partitionBy("lang").orderBy("at", "line")
+    drawn = lines.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= SAMPLE_LINES)
+    budget = F.sum(F.length("line")).over(first.rowsBetween(Window.unboundedPreceding, -1))
+    drawn = drawn.withColumn("before", F.coalesce(budget, F.lit(0))).where(F.col("before") < 2 * SAMPLE_SYMBOLS)
     texts: dict[str, list[str]] = {r["lang"]: [] for r in counts}
-    for r in drawn.collect():
-        texts[r["lang"]].append(r["text"])
+    for r in drawn.orderBy("lang", "nth").collect():
+        texts[r["lang"]].append(r["line"])
     return Model([(name, found) for name, found in texts.items() if found])
 
 

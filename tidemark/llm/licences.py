@@ -1,12 +1,13 @@
 """License scans by diagonal voting.
 
 Every document gives a rolling hash for each run of K words. The runs are joined in Spark with the runs of the
-templates, a table of fixed text that is broadcast; each match is checked word by word against the template and
+templates, a table of fixed text that is broadcast; each match is checked word by word, by the words' hashes, and
 votes for a diagonal, its place in the document less its place in the template. Votes are counted by diagonal,
-neighbouring diagonals of a long template are merged (words put in or left out shift the diagonal), and a span is a
-finding when enough of the template's runs stand in it. Short phrases must stand whole on one diagonal.
+and neighbouring diagonals of a long template are merged (words put in or left out shift the diagonal). In a chain of them the
+windows of SPREAD times the template's length are searched: it is a finding when enough of the template's
+runs stand in the best one, however long the chain goes on. Short phrases must stand whole on one diagonal.
 
-Only matches and one row for each document are shuffled; the texts are not. Odd input: a null or empty text has no
+Only matches and one row for each document are shuffled; the texts are not, and no row of a run carries its text. Odd input: a null or empty text has no
 words and no labels; a text of fewer than K words has no runs; rows that repeat an id are each answered.
 """
 
@@ -22,8 +23,7 @@ from tidemark.llm import textbytes as tb
 K = 3
 SHORT = 12  #: words up to which a template must stand whole
 COVER = 0.5  #: share of a longer template's runs that must stand in a span
-SPREAD = 2.0  #: times the template's length that a span may take up
-WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+SPREAD = 2.0  #: times the template's length that a finding may take up
 
 # fixed values: the base phrases with their labels
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -55,37 +55,38 @@ TEMPLATES = (
 
 
 def word_hashes(texts: pa.Array):
-    """For each block of texts: word starts in characters of their text, word hashes and pointers."""
+    """For each block of texts: hashes of their words, and pointers."""
     for _, _, data, offsets in tb.blocks(texts):
         low = tb.ASCII_LOWER[data]
         starts, ends = tb.spans(low, tb.WORD)
-        ptr = tb.pointers(starts, offsets)
-        heads = np.concatenate([[0], np.cumsum(tb.HEAD[data], dtype=np.int64)])
-        at = heads[starts] - np.repeat(heads[offsets[:-1]], np.diff(ptr))
-        yield at.astype(np.int32), tb.hashes(low, starts, ends), ptr
+        yield tb.hashes(low, starts, ends), tb.pointers(starts, offsets)
 
 
 def runs(text: str | Column) -> Column:
-    """Column of the word starts of each text, and of its runs' hashes after a first 0, which stands for the text itself."""
+    """Column of each text's number of words, and of its runs: hash and words' hashes, after a first of 0, which stands for the text itself."""
 
-    @F.arrow_udf("struct<starts: array<int>, runs: array<bigint>>")
+    @F.arrow_udf("struct<n_words: bigint, runs: array<struct<run: bigint, words: array<bigint>>>>")
     def answer(texts: pa.Array) -> pa.Array:
-        at, n_words, packed, n_runs = [np.empty(0, np.int32)], [[0]], [np.empty(0, np.uint64)], [[0]]
-        for starts, h, ptr in word_hashes(texts):
+        n_words, n_runs, packed, words = [[]], [[0]], [np.empty(0, np.uint64)], [np.empty((0, K), np.uint64)]
+        for h, ptr in word_hashes(texts):
             each = np.diff(ptr)
             inside = tb.within_rows(ptr, K)
             kept = np.maximum(each - K + 1, 0)
-            out = np.zeros(int(kept.sum()) + len(each), np.uint64)
-            holes = np.cumsum(kept + 1) - kept - 1
+            out, of = np.zeros(int(kept.sum()) + len(each), np.uint64), np.zeros((int(kept.sum()) + len(each), K), np.uint64)
             mask = np.ones(len(out), bool)
-            mask[holes] = False
+            mask[np.cumsum(kept + 1) - kept - 1] = False
             out[mask] = tb.rolling(h, K)[inside]
-            at.append(starts)
+            if len(h) >= K:
+                of[mask] = np.lib.stride_tricks.sliding_window_view(h, K)[inside]
             n_words.append(each)
             packed.append(out)
+            words.append(of)
             n_runs.append(kept + 1)
-        lists = lambda sizes, values: pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(sizes)).astype(np.int32)), pa.array(values))
-        return pa.StructArray.from_arrays([lists(n_words, np.concatenate(at)), lists(n_runs, np.concatenate(packed).view(np.int64))], ["starts", "runs"])
+        flat = np.concatenate(words).view(np.int64).ravel()
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, K, dtype=np.int32)), pa.array(flat))
+        each_run = pa.StructArray.from_arrays([pa.array(np.concatenate(packed).view(np.int64)), lists], ["run", "words"])
+        by_text = pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(n_runs)).astype(np.int32)), each_run)
+        return pa.StructArray.from_arrays([pa.array(np.concatenate(n_words).astype(np.int64)), by_text], ["n_words", "runs"])
 
     return answer(text)
 
@@ -96,9 +97,9 @@ def template_rows(base: dict[str, str], templates) -> list[tuple]:
     every = [(label, text, True) for text, label in base.items()] + [(label, text, False) for label, text in templates]
     for i, (label, text, is_base) in enumerate(every):
         words = tb_words(text)
-        ((_, h, _),) = list(word_hashes(pa.array([" ".join(words)])))
+        ((h, _),) = list(word_hashes(pa.array([" ".join(words)])))
         for at, run in enumerate(tb.rolling(h, K).view(np.int64).tolist()):
-            out.append((run, i, label, is_base, len(words), at, words[at : at + K]))
+            out.append((run, i, label, is_base, len(words), at, h[at : at + K].view(np.int64).tolist()))
     return out
 
 
@@ -108,37 +109,32 @@ def tb_words(text: str) -> list[str]:
     return [low[a:b].tobytes().decode() for a, b in zip(starts, ends, strict=True)]
 
 
-def ascii_lower(text: Column) -> Column:
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def matches(spark: SparkSession, docs: DataFrame, text: str, key: str, base, templates) -> DataFrame:
     """(row, key, n_words, template, label, base, size, at, place) for every run that is a template's, and one row for each text."""
-    schema = "run bigint, template int, label string, base boolean, size int, at int, words array<string>"
+    schema = "run bigint, template int, label string, base boolean, size int, at int, known array<bigint>"
     known = spark.createDataFrame([(0, None, None, None, None, None, None), *template_rows(base, templates)], schema)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("text")).withColumn("r", runs("text"))
-    each = rows.select("row", "key", "text", F.col("r.starts").alias("starts"), F.posexplode("r.runs").alias("place", "run"))
-    hit = each.join(F.broadcast(known), "run")
-    place = F.col("place") - 1
-    after = F.try_element_at("starts", F.col("place") + K)  # where the next word begins; null after the last
-    begin = F.try_element_at("starts", F.greatest("place", F.lit(1)))
-    passage = F.substring("text", begin + 1, F.coalesce(after, F.lit(2_000_000_000)) - begin)
-    same = F.slice(F.regexp_extract_all(ascii_lower(passage), F.lit(f"({WORDS})"), F.lit(1)), 1, K) == F.col("words")
-    return hit.where(F.col("template").isNull() | same).select("row", "key", F.size("starts").cast("bigint").alias("n_words"), "template", "label", "base", "size", "at", place.cast("bigint").alias("place"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), runs(F.coalesce(text, F.lit(""))).alias("r"))
+    each = rows.select("row", "key", "r.n_words", F.posexplode("r.runs").alias("place", "x")).select("row", "key", "n_words", "place", "x.run", "x.words")
+    hit = each.join(F.broadcast(known), "run").where(F.col("template").isNull() | (F.col("words") == F.col("known")))
+    return hit.select("row", "key", "n_words", "template", "label", "base", "size", "at", (F.col("place") - 1).cast("bigint").alias("place"))
 
 
 def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", base=None, templates=TEMPLATES) -> DataFrame:
     """(key, n_words, n_base, first_word, last_word, base_labels, labels, score, spans) of each row."""
     votes = matches(docs.sparkSession, docs, text, key, BASE if base is None else base, templates).repartition("row")
     of = ["row", "key", "n_words", "template", "label", "base", "size"]
-    diagonals = votes.groupBy(*of, (F.col("place") - F.col("at")).alias("diagonal")).agg(F.count("*").alias("n"), F.min("place").alias("lo"), F.max("place").alias("hi"))
-    along = Window.partitionBy("row", "template").orderBy("diagonal")
-    reach = F.when(F.col("size") > SHORT, F.greatest(F.lit(2), F.floor(F.col("size") / 8))).otherwise(-1)
+    votes = votes.withColumn("diagonal", F.col("place") - F.col("at"))
+    along = Window.partitionBy("row", "template").orderBy("diagonal", "place")
+    reach = F.when(F.col("size") > SHORT, F.greatest(F.lit(2), F.floor(F.col("size") / 8))).otherwise(0)
     begins = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > reach, F.lit(True))
-    merged = diagonals.withColumn("begins", begins.cast("int")).withColumn("span", F.sum("begins").over(along))
-    spans = merged.groupBy(*of, "span").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    chained = votes.withColumn("begins", begins.cast("int")).withColumn("span", F.sum("begins").over(along))
+    # places are measured in lengths that a finding may take up, so that one frame serves templates of all sizes
+    room = F.greatest(F.when(F.col("size") > SHORT, SPREAD * F.col("size")).otherwise(F.col("size")) - K, F.lit(1))
+    ahead = Window.partitionBy("row", "template", "span").orderBy(F.col("place") / room).rangeBetween(0, 1)
+    near = chained.withColumn("n", F.size(F.collect_set("at").over(ahead)))  # at most the template's runs
+    spans = near.groupBy(*of, "span").agg(F.max("n").alias("n"), F.min("place").alias("lo"))
     cover = F.least(F.lit(1.0), F.col("n") / F.greatest(F.col("size") - K + 1, F.lit(1)))
-    found = F.when(F.col("size") <= SHORT, F.col("n") == F.col("size") - K + 1).otherwise((cover >= COVER) & (F.col("hi") - F.col("lo") + K <= SPREAD * F.col("size")))
+    found = F.when(F.col("size") <= SHORT, F.col("n") == F.col("size") - K + 1).otherwise(cover >= COVER)
     spans = spans.withColumn("cover", cover).withColumn("found", found)
     base_found = F.col("found") & F.col("base")
     joined = lambda when: F.array_join(F.array_sort(F.collect_set(F.when(when, F.col("label")))), ",")

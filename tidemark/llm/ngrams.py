@@ -9,7 +9,7 @@ ends with an end token; all unknown words share the 1 / (V + 1).
 Work goes by blocks of rows. A block sends each distinct word and bigram once, as sorted 64-bit hashes with its
 training counts, packed by hash range; a range's task sums them and answers each block with the totals in the same
 order; the block then has all counts of its tokens. Neither a frequent word nor a large source weighs on one task: a
-block sends a word once however often it stands there, and ranges are cut by the hash, their number by the rows.
+block sends a word once however often it stands there, and ranges are cut by the hash, their number by the bytes.
 For the mixture weights each block counts its held-out events in cells (bucket, ratio, count), whose number is bounded.
 
 Odd input: a null or empty text is the end token alone; without training text N = V = 0, counts are 0 and each token
@@ -31,10 +31,10 @@ from tidemark.llm import textbytes as tb
 from tidemark.llm.shared import forget, materialise
 
 BLOCK_BYTES = 8 << 20
-RANGE_ROWS = 16_384  #: rows of the corpus for each hash range
+RANGE_BYTES = 48 << 20  #: bytes of the corpus for each hash range
 LEAST_RANGES = 64
 END, START = np.uint64(0x0E0D0E0D0E0D0E0D), np.uint64(0x57A27000057A2700)
-SPARE_BITS = 26  #: a bigram's hash has so many bits more than the number of rows, so that one in 2 ** 15 or fewer shares it
+SPARE_BITS = 18  #: a bigram's hash has so many bits more than the number of tokens, so that fewer than one in 2 ** 18 shares it
 EM_ROUNDS = 60
 GRID = 8  #: cells for each doubling of a ratio or count
 A_SCHEMA = "kind string, block bigint, range int, hashes binary, counts binary, keys array<bigint>, train array<boolean>, sizes array<int>, tokens binary"
@@ -225,9 +225,9 @@ class Mixture:
 def score(docs: DataFrame, held_out: Column, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row; it learns from rows not held out."""
     spark = docs.sparkSession
-    n_docs = docs.count()
-    n_ranges = max(LEAST_RANGES, 1 << (n_docs // RANGE_ROWS).bit_length())
-    bits = min(64, SPARE_BITS + n_docs.bit_length())
+    size = docs.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("bytes")).first()
+    n_ranges = max(LEAST_RANGES, 1 << (size["bytes"] // RANGE_BYTES).bit_length())
+    bits = min(64, SPARE_BITS + (size["rows"] + size["bytes"] // 2).bit_length())  # a token but the last has a byte and a space
     rows = docs.select(F.col(key).cast("bigint").alias("key"), (~held_out).alias("train"), F.coalesce(text, F.lit("")).alias("text"))
     parts = materialise(rows.mapInArrow(lambda batches: cut(batches, n_ranges, bits), A_SCHEMA), "ngram-parts", by="kind")
     sent = parts.where("kind <> 'text'").select("kind", "block", "range", "hashes", "counts")

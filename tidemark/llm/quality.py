@@ -204,7 +204,7 @@ def count_patterns(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sample(docs: DataFrame, text: str, key: str, n_docs: float) -> tuple[np.ndarray, np.ndarray]:
-    """Features and patterns of SAMPLE_DOCS documents drawn by hash (twice as many at most)."""
+    """Features and patterns of SAMPLE_DOCS documents drawn by hash of id and text (twice as many at most)."""
 
     @F.arrow_udf("struct<pattern: int, features: binary>")
     def gather(texts: pa.Array) -> pa.Array:
@@ -216,8 +216,9 @@ def sample(docs: DataFrame, text: str, key: str, n_docs: float) -> tuple[np.ndar
         return pa.StructArray.from_arrays([pa.array(np.concatenate(patterns).astype(np.int32) if patterns else [], pa.int32()), pa.array(packed, pa.binary())], ["pattern", "features"])
 
     share = int(min(1.0, SAMPLE_DOCS / max(n_docs, 1)) * HASH_UNITS)
-    drawn = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(hash_unit("key") < share)
-    rows = drawn.select(hash_unit("key").alias("at"), gather("text").alias("x")).limit(2 * SAMPLE_DOCS).select("at", "x.*").toArrow().sort_by([("at", "ascending"), ("features", "ascending")])
+    drawn = docs.select(F.col(text).alias("text"), hash_unit(F.col(key), F.col(text)).alias("at")).where(F.col("at") < share)
+    # which rows come is fixed: first by hash of id and text, then by features
+    rows = drawn.select("at", gather("text").alias("x")).select("at", "x.*").orderBy("at", "features").limit(2 * SAMPLE_DOCS).toArrow()
     x = np.array([np.frombuffer(b, np.float16) for b in rows["features"].to_pylist()], np.float32).reshape(-1, DIMENSIONS)
     return x, rows["pattern"].to_numpy()
 
