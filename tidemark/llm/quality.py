@@ -134,6 +134,7 @@ def trigram_slots(data: np.ndarray, heads: np.ndarray) -> np.ndarray:
     code = low.copy()
     code[1:] |= low[:-1] << np.uint32(8)
     code[2:] |= low[:-2] << np.uint32(16)
+    code[1:2] |= np.uint32(0x0A0000)  # before the first text there is no line feed in the data
     code[heads] = low[heads] | np.uint32(0x0A0A00)
     return (code * np.uint32(0x9E3779B1) >> np.uint32(32 - (DIMENSIONS // 2).bit_length() + 1)).astype(np.int32)
 
