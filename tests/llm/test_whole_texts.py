@@ -90,3 +90,51 @@ def test_the_sample_follows_the_text_where_ids_do_not_tell(spark, monkeypatch):
     again, _ = quality.sample(table.repartition(2), "text", "doc_id", 400)
     assert 10 < len(x) < 80 and len(seen) == len(x)
     assert np.array_equal(x, again)
+
+
+BODY = "<p>" + "Body words stand here, one after another. " * 30 + "</p>"
+
+
+@pytest.mark.parametrize(
+    ("page", "kept"),
+    [
+        (f'<article><header class="entry-header"><h1>A title</h1></header><div class="body">{BODY}</div></article>', "A title"),
+        (f'<article><div class="post-header"><h1>A title</h1><p>A standfirst.</p></div><div class="body">{BODY}</div></article>', "A title A standfirst."),
+        (f'<article><section class="ad-free-zone"><p>Quiet zone.</p></section><div class="body">{BODY}</div></article>', "Quiet zone."),
+        (f'<article><div class="body"><p class="notice-period">Thirty days.</p>{BODY}</div></article>', "Thirty days."),
+        (f'<article><div class="body">{BODY}<h2 id="related-work">Related work</h2><p>More.</p></div></article>', "Related work More."),
+        (f'<article><div class="body">{BODY}</div><ol><li><a href="/1">First source</a></li></ol></article>', "First source"),
+        (f"<article><div class='body'><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p>{BODY}</div></article>", "So x=2 holds."),
+    ],
+)
+def test_parts_of_an_article_stay(page, kept):
+    from tidemark.llm import html_text
+
+    assert kept in html_text.main_text(f"<html><body><nav>Menu</nav>{page}<footer>End</footer></body></html>", None)
+
+
+@pytest.mark.parametrize("part", ['<div class="page-header">Noise</div>', '<p class="notice">Noise</p>', '<article><div class="share-buttons">Noise</div></article>', '<div id="cookie-banner">Noise</div>', '<article><p class="ad">Noise</p></article>'])
+def test_noise_goes(part):
+    from tidemark.llm import html_text
+
+    assert "Noise" not in html_text.main_text(f"<body>{part}<article>{BODY}</article></body>", None)
+
+
+def test_deep_pages_take_seconds():
+    from tidemark.llm import html_text
+
+    start = time.time()
+    assert html_text.main_text("<div>x " * 100_000, None).split() == ["x"] * 100_000
+    assert html_text.main_text("<div>" * 50_000 + BODY + "</div>" * 50_000, None).startswith("Body words")
+    assert time.time() - start < 30
+
+
+def test_hosts_without_a_common_path_keep_their_pages(spark):
+    from tidemark.llm import html_text
+
+    name = lambda i: "".join(chr(97 + int(c)) for c in str(i))
+    rows = [(i, "http://one/x", f'<body><nav>Menu</nav><div class="c{name(i)}">{BODY}<p>Page {i}.</p></div></body>') for i in range(200)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    found = {r["page_id"]: r["text"] for r in html_text.extract(table).collect()}
+    assert all(found[i].endswith(f"Page {i}.") and "Menu" not in found[i] for i in range(200))
+    assert [len(r["paths"]) for r in html_text.winning_paths(table).collect()] == [1]

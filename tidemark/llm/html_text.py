@@ -3,13 +3,13 @@
 Each page scores its containers: text outside links counts fully for the element that holds its block and half for
 the one above. Containers are named by a generalised path of tags and classes (numbers in classes do not count), and
 every page votes for its best ones. Votes are summed by host and path in Spark; a host's winning paths are those with
-a fair share of its votes. Every page is then read again: what stands under its winning paths, under the article or main
+a fair share of its votes, or the first where none has one. Every page is then read again: what stands under its winning paths, under the article or main
 element around the first of them, and directly in an element around it is taken in page order; outside the first path
-blocks that are mostly links are not. A page that has none of the paths is taken by its own best containers.
+and its article blocks that are mostly links are not. A page that has none of the paths is taken by its own best containers.
 
 Menus, page headers and footers, sidebars, notices, adverts, forms and reader comments are left out by tag, role and
-class wherever they stand; scripts, styles and other markup are no text. A class like has-sidebar says nothing about the
-element itself, and a noise word is passed over on an element that holds most of the page's text and its article, main
+class wherever they stand; scripts, styles, buttons and other markup are no text. A class like has-sidebar or ad-free says nothing
+about the element itself, nor does the header of an article, and a noise word is passed over on an element that holds most of the page's text and its article, main
 or h1, or most of it where nothing else is left. Odd input: null or empty html gives empty
 text; a null or odd url is a host of its own name; unclosed and stray tags are closed or passed over; equal votes go
 to the smaller path; rows that repeat a page are each answered. Only (host, path, votes) are shuffled.
@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.shared import materialise
 
-FAIR_SHARE = 0.2  #: of a host's votes that makes a path a winning one; so there are at most five
+DEPTH = 256  #: levels of elements that are told apart; what is nested deeper counts as standing at the last, as in browsers
+FAIR_SHARE = 0.2  #: of a host's votes that makes a path a winning one; of which there are at most five
 VOTES = 3  #: containers that a page votes for
 
 # fixed values: kinds of HTML elements
@@ -36,7 +37,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split()
 )
-RAW = frozenset("script style noscript template svg math iframe object canvas audio video textarea select button title".split())
+MATH = frozenset("math maction menclose merror mfenced mfrac mi mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
+RAW = frozenset("script style noscript template svg annotation annotation-xml iframe object canvas audio video textarea select button title".split())
 NOISE_TAGS = frozenset("nav footer aside form dialog menu".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -53,12 +55,22 @@ RAW_END = {tag: re.compile(rf"</{tag}\s*+>", re.I) for tag in RAW}
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++)))?""")
 DIGITS = re.compile(r"\d+")
 SPLIT = re.compile(r"[\s_-]+")
-MODIFIER = re.compile(r"(?<![^\s])(?:has|have|no|not|with|without|hide|show)[_-]\S*")
+MODIFIER = re.compile(r"(?<![^\s])(?:(?:has|have|no|not|with|without|hide|show)[_-]\S*|\S+[_-]free(?:[_-]\S*)?(?![^\s]))")
 TOLD_BY = frozenset(("class", "id", "role", "hidden", "aria-hidden"))
 HEADS = frozenset(("article", "main", "h1"))
 MARKED, NEVER = 1, 2  #: noise by a word of a class or id; by tag, role or hidden
 
 
+def noisy(tag: str, value: str, in_article: bool) -> bool:
+    """Whether a class or id tells of noise. On text itself, as a paragraph or heading, every part of a name must say so."""
+    for name in MODIFIER.sub(" ", value).split():
+        parts = {x for x in SPLIT.split(name) if x}
+        said = parts & NOISE_WORDS - ({"header"} if in_article else set())  # an article's own header is part of it
+        if said and (tag not in CONTENT or said == parts):
+            return True
+    return False
+
+
 def describe(tag: str, attributes: str, in_article: bool) -> tuple[str, int]:
     """The generalised name of an element, and 0, MARKED or NEVER: whether it is no part of an article."""
     noise = NEVER if tag in NOISE_TAGS or (tag == "header" and not in_article) else 0
@@ -72,7 +84,7 @@ def describe(tag: str, attributes: str, in_article: bool) -> tuple[str, int]:
         value = (m[2] or m[3] or m[4] or "").lower()
         if key == "class":
             names = "." + ".".join(sorted({DIGITS.sub("#", x) for x in value.split()})) if value.split() else ""
-        if key in ("class", "id") and not NOISE_WORDS.isdisjoint(SPLIT.split(MODIFIER.sub(" ", value))) and tag not in ("body", "html", "main"):
+        if key in ("class", "id") and tag not in ("body", "html", "main") and noisy(tag, value, in_article):
             noise = max(noise, MARKED)
         elif (key == "role" and value in NOISE_ROLES) or key == "hidden" or (key == "aria-hidden" and value == "true"):
             noise = NEVER
@@ -148,6 +160,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     noise: list[int] = []  # 0, NEVER, or -n for the n-th element that is marked
     marked = 0
     parts: list[str] = []
+    paths: dict[tuple[str, ...], tuple[str, ...]] = {}  # one copy of each
     linked, in_link, end = 0, 0, 0
 
     def flush() -> None:
@@ -155,7 +168,8 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text and NEVER not in noise:
-                out.append((tuple(path), text, min(linked, len(text)), tuple(x for x in noise if x)))
+                here = tuple(path)
+                out.append((paths.setdefault(here, here), text, min(linked, len(text)), tuple(x for x in noise if x)))
             parts.clear()
         linked = 0
 
@@ -171,7 +185,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         end = after
         if not tag:  # raw element, comment, declaration
             continue
-        if tag in INLINE:
+        if tag in INLINE or tag in MATH:
             if tag == "a":
                 in_link = 0 if slash else 1
             continue
@@ -192,6 +206,8 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             close(len(tags) - 1)
         if tags and tags[-1] in CLOSED_BY.get(tag, ()):
             close(len(tags) - 1)
+        if len(tags) >= DEPTH:
+            close(DEPTH - 1)
         name, is_noise = describe(tag, attributes, "article" in tags or "main" in tags)
         tags.append(tag)
         path.append(name)
@@ -265,6 +281,8 @@ def taken(found: list[tuple[tuple[str, ...], str, int]], winners: list[str]) ->
         if path[: len(first)] == first:
             return True
         own = container(path)
+        if article is not None and article[-1].split(".")[0] == "article" and path[: len(article)] == article:
+            return True
         return 2 * linked < len(text) and (own == first[: len(own)] or any(path[: len(w)] == w for w in wide))
 
     return [text for path, text, linked in at if belongs(path, text, linked)]
@@ -295,10 +313,11 @@ def winning_paths(pages: DataFrame, page: str = "html", url: str = "url") -> Dat
 
     votes = pages.select(host(url).alias("host"), F.explode(vote(page)).alias("v"))
     sums = votes.groupBy("host", "v.path").agg(F.sum(F.col("v.vote").cast("decimal(28,9)")).alias("votes"))
-    ranked = sums.groupBy("host").agg(F.max("votes").alias("most"), F.sum("votes").alias("all"))
-    fair = sums.join(ranked, "host").where((F.col("votes") >= FAIR_SHARE * F.col("all")) | (F.col("votes") == F.col("most")))
-    listed = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("less"), "path"))), 1, 6)
-    return fair.groupBy("host").agg(F.transform(listed, lambda x: x["path"]).alias("paths"))
+    hosts = sums.groupBy("host").agg(F.sum("votes").alias("all"), F.min(F.struct((-F.col("votes")).alias("less"), "path")).alias("top"))
+    fair = sums.join(hosts.select("host", "all"), "host").where(F.col("votes") >= FAIR_SHARE * F.col("all"))  # at most 1 / FAIR_SHARE of a host
+    listed = fair.groupBy("host").agg(F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("less"), "path"))).alias("fair"))
+    paths = F.coalesce(F.transform("fair", lambda x: x["path"]), F.array("top.path"))
+    return hosts.join(listed, "host", "left").select("host", paths.alias("paths"))
 
 
 def extract(pages: DataFrame, page: str = "html", url: str = "url", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
