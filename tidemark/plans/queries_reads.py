@@ -202,13 +202,16 @@ q(
 )(lambda d: rd.rate_before(d.benchmark.select("ts"), rates(d), "ts"))
 
 
+LIQUID = 60.0  #: volume of a week that puts a brand into the index
+
+
 def snapshots(d: Domain):
-    """Index snapshots: the brands that traded on the first bar day of each odd week."""
-    b = d.bars.filter(F.weekofyear("ts") % 4 == 1)
-    return b.select(F.date_trunc("week", "ts").alias("snapshot"), F.col("security_id").alias("ticker")).distinct()
+    """Index snapshots: the brands of each week with enough volume in it."""
+    weeks = d.bars.groupBy(F.date_trunc("week", "ts").alias("snapshot"), F.col("security_id").alias("ticker")).agg(F.sum("volume").alias("volume"))
+    return weeks.filter(F.col("volume") >= LIQUID).select("snapshot", "ticker")
 
 
-VIEWS["snapshots"] = "SELECT DISTINCT CAST(date_trunc('week', ts) AS TIMESTAMP) AS snapshot, security_id AS ticker FROM bars WHERE weekofyear(ts) % 4 = 1"
+VIEWS["snapshots"] = f"SELECT CAST(date_trunc('week', ts) AS TIMESTAMP) AS snapshot, security_id AS ticker FROM bars GROUP BY 1, 2 HAVING sum(volume) >= {LIQUID}"
 q(
     "24_membership_snapshot",
     "ts:t, snapshot:t, stale_days:i",
