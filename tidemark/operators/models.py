@@ -5,9 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime, timedelta
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,24 +86,6 @@ def ridge_search(samples: DataFrame, dates: Sequence[datetime], features: Sequen
     return scored.groupBy("ridge").agg(F.avg(error).alias("mse"), F.count(F.lit(1)).alias("n")).orderBy("mse", "ridge")
 
 
-def _assembled(features: Sequence[str]) -> VectorAssembler:
-    return VectorAssembler(inputCols=list(features), outputCol="features")
-
-
-def fit_tree(samples: DataFrame, features: Sequence[str] = FEATURES) -> PipelineModel:
-    """Depth-2 tree with binned splits."""
-    tree = DecisionTreeRegressor(featuresCol="features", labelCol="target", maxDepth=2, seed=7)
-    a = _assembled(features)
-    return PipelineModel([a, tree.fit(a.transform(samples))])
-
-
-def fit_forest(samples: DataFrame, features: Sequence[str] = FEATURES) -> PipelineModel:
-    """25 bagged depth-2 trees; features are drawn per node here, half of them each time."""
-    forest = RandomForestRegressor(featuresCol="features", labelCol="target", numTrees=25, maxDepth=2, featureSubsetStrategy="0.5", seed=7)
-    a = _assembled(features)
-    return PipelineModel([a, forest.fit(a.transform(samples))])
-
-
 def fit_on_maps(samples: DataFrame, ids: Sequence[str], ridge: float = DEFAULT_RIDGE) -> DataFrame:
     """Linear fit over samples whose feature map has all ids."""
     whole = F.lit(True)

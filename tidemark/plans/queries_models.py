@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import models as ml
 from tidemark.operators import news as nw
 from tidemark.operators import signals as sg
+from tidemark.operators import trees as tr
 from tidemark.plans.domain import QUARTERS, Domain
 from tidemark.plans.oracle import VIEWS, forward_sql, panel_sql, solve_sql
 from tidemark.plans.queries_fundamental import _SQL as FACT_SQL
@@ -51,12 +52,43 @@ def _predicted(d: Domain):
     return ml.predict_linear(found, ml.fit_linear(found))
 
 
-def _fitted(fit):
-    def answer(d: Domain):
-        found = kept(d)
-        return fit(found).transform(found)
+def graded(d: Domain):
+    """The dataset with features at nine digits, so that sums taken in another order leave the same distinct values."""
+    return kept(d).select("security_id", "as_of", *[F.round(x, 9).alias(x) for x in ml.FEATURES], "target")
 
-    return answer
+
+def _by_tree(d: Domain):
+    found = graded(d)
+    return tr.predict(found, tr.fit_tree(found, ml.FEATURES))
+
+
+def _by_forest(d: Domain):
+    found = graded(d)
+    return tr.predict(found, tr.fit_forest(found, ml.FEATURES, ["security_id", "as_of"]))
+
+
+def _level(k: int) -> str:
+    """Best split of each node reached by ``path{k}``, and the rows sent on along it."""
+    return f"""cells{k} AS (SELECT tree, node, k, feature, x, sum(w) AS w, sum(w * y) AS s FROM path{k} JOIN menu USING (tree) JOIN wide USING (i, feature) WHERE w > 0 AND node >= {2**k} GROUP BY ALL),
+ cuts{k} AS (SELECT tree, node, k, feature, x, lag(x) OVER o AS before, sum(w) OVER o - w AS nl, sum(s) OVER o - s AS sl, sum(w) OVER p AS n, sum(s) OVER p AS t FROM cells{k}
+  WINDOW p AS (PARTITION BY tree, node, k), o AS (PARTITION BY tree, node, k ORDER BY x ROWS UNBOUNDED PRECEDING)),
+ tried{k} AS (SELECT tree, node, k, feature, (before + x) / 2 AS threshold, CAST(nl AS DOUBLE) * (n - nl) / n * pow(CAST(sl AS DOUBLE) / nl - CAST(t - sl AS DOUBLE) / (n - nl), 2) AS gain FROM cuts{k}
+  WHERE before IS NOT NULL AND nl >= (SELECT m FROM least) AND n - nl >= (SELECT m FROM least)),
+ split{k} AS (SELECT * FROM tried{k} WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY tree, node ORDER BY gain DESC, k, threshold) = 1),
+ path{k + 1} AS (SELECT a.i, a.tree, a.w, y, CASE WHEN x > threshold THEN 2 * a.node + 1 WHEN x <= threshold THEN 2 * a.node ELSE a.node END AS node
+  FROM path{k} a LEFT JOIN split{k} s ON a.tree = s.tree AND a.node = s.node LEFT JOIN wide v ON a.i = v.i AND v.feature = s.feature)"""
+
+
+def _grown_sql(menu: str, bags: str) -> str:
+    """Predictions of trees over ``ml_rows``: ``menu`` (tree, feature, k), ``bags`` (tree, i, w)."""
+    wide = " UNION ALL ".join(f"SELECT i, '{x}' AS feature, {x} AS x FROM base" for x in _X)
+    return f"""WITH base AS (SELECT security_id, as_of, row_number() OVER (ORDER BY security_id, as_of) - 1 AS i, CAST(round(target * 1e9) AS BIGINT) AS y, {', '.join(f'round({x}, 9) AS {x}' for x in _X)} FROM ml_rows),
+ wide AS MATERIALIZED ({wide}), least AS (SELECT greatest(3, CAST(floor(count(*) * 0.1::DOUBLE) AS BIGINT)) AS m FROM base), menu AS ({menu}), bags AS ({bags}),
+ path0 AS MATERIALIZED (SELECT i, tree, coalesce(w, 0) AS w, y, 1 AS node FROM base CROSS JOIN (SELECT DISTINCT tree FROM menu) LEFT JOIN bags USING (tree, i)),
+ {', '.join(_level(k) for k in range(tr.DEPTH))},
+ leaf AS (SELECT tree, node, CAST(sum(w * y) AS DOUBLE) / sum(w) / 1e9::DOUBLE AS value FROM path{tr.DEPTH} GROUP BY 1, 2),
+ answers_of AS (SELECT i, avg(value) AS prediction FROM path{tr.DEPTH} JOIN leaf USING (tree, node) GROUP BY 1)
+ SELECT security_id, as_of, prediction FROM base JOIN answers_of USING (i)"""
 
 
 query("ml_04_fit_linear", "samples:i, intercept:f6, first:f6", "SELECT n AS samples, b0 AS intercept, b1 AS first FROM ml_fit")(lambda d: ml.fit_linear(rows(d)).select("samples", F.col("beta")[0].alias("intercept"), F.col("beta")[1].alias("first")))
@@ -66,9 +98,17 @@ query(
     "ridge:f, mse:f, n:i",
     f"""SELECT ridge, avg(pow({_DOT} - target, 2)) AS mse, count(*) AS n FROM (SELECT *, {_BLOCK} AS block FROM ml_rows) JOIN {solve_sql(_FOLDS, 'target', _X, 'fold, ridge', 'ridge')} ON block = fold WHERE n >= {len(_X) + 2} GROUP BY 1""",
 )(lambda d: ml.ridge_search(kept(d), QUARTERS))
-query("ml_07_tree", "security_id:s, as_of:t, prediction:f6")(_fitted(ml.fit_tree))
-query("ml_08_forest", "security_id:s, as_of:t, prediction:f6")(_fitted(ml.fit_forest))
-query("ml_09_forest_mean", "as_of:t, mean_prediction:f6, n:i")(lambda d: _fitted(ml.fit_forest)(d).groupBy("as_of").agg(F.avg("prediction").alias("mean_prediction"), F.count(F.lit(1)).alias("n")))
+_NAMES = f"unnest([{', '.join(repr(x) for x in _X)}])"
+_TREE = _grown_sql(f"SELECT 0 AS tree, {_NAMES} AS feature, unnest(range({len(_X)})) AS k", "SELECT 0 AS tree, i, 1 AS w FROM base")
+_FOREST = _grown_sql(
+    f"SELECT *, row_number() OVER (PARTITION BY tree ORDER BY md5('{tr.SEED}:' || tree || ':' || feature)) AS k FROM range({tr.TREES}) t(tree), (SELECT {_NAMES} AS feature) QUALIFY k <= {tr.FEATURES_A_TREE}",
+    f"SELECT tree, CAST('0x' || substr(md5('{tr.SEED}:' || tree || ':' || j.i), 1, 15) AS BIGINT) % (SELECT count(*) FROM base) AS i, count(*) AS w FROM base j, range({tr.TREES}) t(tree) GROUP BY 1, 2",
+)
+query("ml_07_tree", "security_id:s, as_of:t, prediction:f6", _TREE)(_by_tree)
+query("ml_08_forest", "security_id:s, as_of:t, prediction:f6", _FOREST)(_by_forest)
+query("ml_09_forest_mean", "as_of:t, mean_prediction:f6, n:i", f"SELECT as_of, avg(prediction) AS mean_prediction, count(*) AS n FROM ({_FOREST}) GROUP BY 1")(
+    lambda d: _by_forest(d).groupBy("as_of").agg(F.avg("prediction").alias("mean_prediction"), F.count(F.lit(1)).alias("n"))
+)
 TRAIN = ml.training_dates(datetime(2000, 3, 15), 36, 6)
 _TRAINSQL = "as_of >= TIMESTAMP '1997-03-15' AND as_of <= TIMESTAMP '2000-03-15' - INTERVAL 60 DAY AND month(as_of) IN (3, 9)"
 query("ml_10_training_rows", "security_id:s, as_of:t, target:f", f"SELECT security_id, as_of, target FROM ml_rows WHERE {_TRAINSQL}")(lambda d: ml.dataset(d.bar_revisions, d.fundamentals, TRAIN))
