@@ -333,3 +333,15 @@ def test_levels_after_a_zero_step(spark):
 
     f = spark.createDataFrame([("s", i, r) for i, r in enumerate([0.0, 0.1, -3.0, -0.5, -1.0, 0.2])], "series_id string, ts int, mkt double")
     assert [round(r.level, 6) for r in factor_levels(f, "mkt").orderBy("ts").collect()] == [100.0, 110.0, -220.0, -110.0, 0.0, 0.0]
+
+
+def test_masked_composite_is_the_joined_one(spark):
+    from tidemark.operators.fundamental_factors import composite, masked_composite
+
+    moments = [datetime(2024, 1, 1), datetime(2024, 2, 1), datetime(2024, 3, 1)]
+    rows = [(f"s{i}", m, None if (i + k) % 4 == 0 else float(i * 7 % 5), float(i * 3 % 4) if k < 2 or i == 1 else None) for k, m in enumerate(moments) for i in range(9)]
+    scores = spark.createDataFrame(rows, "security_id string, as_of timestamp, a double, b double")
+    joined = scores.join(composite(scores, ["a", "b"]), ["security_id", "as_of"], "left")
+    masked = scores.withColumn("score", masked_composite(["a", "b"]))
+    keyed = lambda df: {(r["security_id"], r["as_of"]): r["score"] for r in df.collect()}
+    assert keyed(masked) == keyed(joined) and any(x is None for x in keyed(masked).values())

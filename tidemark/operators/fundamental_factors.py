@@ -323,14 +323,27 @@ def value_composite(facts, revisions, grid) -> DataFrame:
     return composite(fact_scores(facts, grid, VALUE_LEGS, revisions), VALUE_LEGS)
 
 
+def masked_composite(legs: Sequence[str]) -> Column:
+    """The composite as a window expression: names that lack a leg are ranked apart from the others and get NULL."""
+    full = F.lit(True)
+    for x in legs:
+        full = full & F.col(x).isNotNull()
+    total = sum((average_rank(x, "as_of", full) for x in legs), F.lit(0.0))
+    n = F.count(F.lit(1)).over(Window.partitionBy("as_of", full))
+    return F.when(full & (n >= 2), total / len(legs))
+
+
 def combined_factor(facts, revisions, grid) -> DataFrame:
-    """Nine legs: two price factors, six fact factors and the quality composite."""
+    """Nine legs: two price factors, six fact factors and the quality composite.
+
+    Quality is ranked over all names with facts, with or without prices. Both rankings are windows over one cross-section,
+    so the fact side is planned once and dealt out by moment once.
+    """
     wanted = sorted({*COMBINED_FACT_LEGS, *QUALITY_LEGS})
-    fact_side = fact_scores(facts, grid, wanted, revisions)
-    quality = composite(fact_side, QUALITY_LEGS).withColumnRenamed("score", "quality")
     price_side = score_factors(revisions, grid, ["short_term_reversal", "illiquidity"])
+    both = fact_scores(facts, grid, wanted, revisions).join(price_side, list(KEY), "left").repartition("as_of")
     legs = ["short_term_reversal", "illiquidity", *COMBINED_FACT_LEGS, "quality"]
-    return composite(fact_side.join(quality, list(KEY)).join(price_side, list(KEY)), legs)
+    return composite(both.withColumn("quality", masked_composite(QUALITY_LEGS)), legs)
 
 
 def standardized_surprise(facts, grid) -> DataFrame:
