@@ -268,7 +268,7 @@ query("str_02_newest", "user_id:i, event_type:s, event_id:i, value:f", "SELECT u
 def _windows(d: Domain):
     counts = _folder(d, "stream-windows")
     jobs.start_quality_windows(event_stream(d), counts, _folder(d, "stream-windows-ck"), "ts", "event_type", F.col("value") > 40).awaitTermination()
-    return jobs.quality_windows(d.spark.read.parquet(counts), "event_type").withColumnRenamed("start", "start_time")
+    return jobs.quality_windows(jobs.read_counts(d.spark, counts), "event_type").withColumnRenamed("start", "start_time")
 
 
 query(

@@ -9,10 +9,17 @@ from pyspark.sql import SparkSession
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
+PINNED = {
+    "spark.sql.session.timeZone": "UTC",  # every timestamp in the library is UTC
+    "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",  # the default type has no statistics in files
+}
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin the session zone: every timestamp in the library is UTC."""
-    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    """Pin what the operators rely on: the session zone, and times that files keep ranges of."""
+    for name, value in PINNED.items():
+        if spark.conf.get(name) != value:
+            spark.conf.set(name, value)
     return spark
 
 

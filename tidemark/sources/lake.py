@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import schema
+from tidemark.session import prepare
 
 BAR_KEY = ("security_id", "ts", "source", "data_version")
 
@@ -32,6 +33,7 @@ def write_bars(rows: DataFrame, path: str) -> None:
 
     Adaptive execution sizes the writers: a large year is split among several, small ones share one.
     """
+    prepare(rows.sparkSession)
     spread = rows.withColumn("year", F.year("ts")).hint("rebalance", "year")
     spread.sortWithinPartitions("year", "security_id", "ts").write.mode("append").partitionBy("year").parquet(path)
 
@@ -41,17 +43,26 @@ def exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
-def stored_years(spark: SparkSession, batch: DataFrame, path: str, years: Column) -> DataFrame:
-    """The part of the lake that can hold rows of the batch: the years of the batch, whose number the calendar bounds."""
-    present = sorted(r[0] for r in batch.select(years.alias("year")).where("year IS NOT NULL").distinct().collect())
-    return spark.read.schema(batch.schema).parquet(path).where(F.col("year").isin(present) if present else F.lit(False))
+def stored_for(spark: SparkSession, batch: DataFrame, path: str, years: Column, key: Sequence[str] = BAR_KEY) -> DataFrame:
+    """The part of the lake that can hold rows of the batch: its years, whose number the calendar bounds, and inside them
+    the range of every key column. Files are written by batch and sorted, so their statistics leave most of them unread.
+    """
+    ends = [f(F.col(k)).alias(f"{name}_{k}") for k in key for name, f in (("low", F.min), ("high", F.max))]
+    told = batch.agg(F.array_sort(F.collect_set(years)).alias("years"), *ends).first()
+    stored = spark.read.schema(batch.schema).parquet(path)
+    if not told["years"] or any(told[f"low_{k}"] is None for k in key):
+        return stored.where(F.lit(False))  # no row has a whole key
+    held = F.col("year").isin(told["years"])
+    for k in key:
+        held = held & F.col(k).between(told[f"low_{k}"], told[f"high_{k}"])
+    return stored.where(held)
 
 
 def append_bars(spark: SparkSession, batch: DataFrame, path: str) -> None:
     """Idempotent append: rows whose key is stored already, or stands in the batch before, are not written again."""
     rows = batch.dropDuplicates(list(BAR_KEY))
     if exists(spark, path):
-        rows = new_rows(batch, stored_years(spark, batch, path, F.year("ts")))
+        rows = new_rows(batch, stored_for(spark, batch, path, F.year("ts")))
     write_bars(rows, path)
 
 

@@ -8,23 +8,24 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators.performance import join_streaks, streak_summary
 from tidemark.operators.reads import latest_by
-from tidemark.sources.lake import BAR_KEY, exists, new_rows, stored_years
+from tidemark.session import prepare
+from tidemark.sources.lake import BAR_KEY, exists, new_rows, stored_for
 
 
 def start_ingest(bars: DataFrame, lake_path: str, checkpoint: str, key=BAR_KEY, year: Column | None = None) -> StreamingQuery:
     """Append a stream of bars to the lake, however late they come; a key is stored once.
 
     ``year`` is the partition of a row, a function of its key. Each batch is made unique and held against the stored
-    rows of its own years alone. A batch replayed after a failure finds its own rows and appends nothing twice.
+    rows of its own years and key ranges alone. A batch replayed after a failure finds its own rows and appends nothing twice.
     """
     year = F.year("ts") if year is None else year
 
     def save(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
+        spark = prepare(batch.sparkSession)
         rows = batch.dropDuplicates(list(key))
         if exists(spark, lake_path):
-            rows = new_rows(batch, stored_years(spark, batch, lake_path, year), key)
-        rows.withColumn("year", year).hint("rebalance", "year").write.mode("append").partitionBy("year").parquet(lake_path)
+            rows = new_rows(batch, stored_for(spark, batch, lake_path, year, key), key)
+        rows.withColumn("year", year).hint("rebalance", "year").sortWithinPartitions("year", *key).write.mode("append").partitionBy("year").parquet(lake_path)
 
     return bars.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -96,14 +97,62 @@ def quality_counts(rows: DataFrame, time: str, by: str, bad, width: str = "1 day
     return g.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), by, "n", "bad")
 
 
-def start_quality_windows(rows: DataFrame, path: str, checkpoint: str, time: str, by: str, bad, width: str = "1 day", slide: str | None = None) -> StreamingQuery:
-    """Count each batch by window, under the batch's number: late rows are counted, and a replay overwrites its own part."""
+FAN_IN = 32  #: so many parts of counts are added up to one
+
+
+def _span(path: str, first: int, last: int) -> str:
+    return f"{path}/first={first}/last={last}"
+
+
+def spans(spark: SparkSession, path: str) -> list[tuple[int, int]]:
+    """(first, last batch) of the finished parts, without those that a longer part covers."""
+    fs, hadoop = _files(spark, f"{path}/first=*/last=*/_SUCCESS")
+    found = [tuple(int(x.split("=")[1]) for x in status.getPath().toString().split("/")[-3:-1]) for status in fs.globStatus(hadoop) or []]
+    out: list[tuple[int, int]] = []
+    for first, last in sorted(found, key=lambda x: (x[0], -x[1])):
+        if not out or first > out[-1][1]:
+            out.append((first, last))
+    return out
+
+
+def _add_up(spark: SparkSession, path: str, number: int, by: str, fan_in: int) -> None:
+    """Replace every full run of ``fan_in`` parts that ends with batch ``number`` by one part."""
+    width = fan_in
+    while (number + 1) % width == 0:
+        first = number + 1 - width
+        parts = [_span(path, *x) for x in spans(spark, path) if first <= x[0]]
+        if len(parts) > 1:
+            whole = spark.read.option("recursiveFileLookup", "true").parquet(*parts).groupBy("start", "end", by).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+            whole.write.mode("overwrite").parquet(_span(path, first, number))
+        for part in parts:
+            if part != _span(path, first, number):
+                remove(spark, part)
+        width *= fan_in
+
+
+def start_quality_windows(
+    rows: DataFrame, path: str, checkpoint: str, time: str, by: str, bad, width: str = "1 day", slide: str | None = None, fan_in: int = FAN_IN
+) -> StreamingQuery:
+    """Count each batch by window, under the batch's number: late rows are counted, and a replay overwrites its own part.
+
+    Parts of ``fan_in`` batches are added up to one, and ``fan_in`` of these again, so that a reader opens fewer than
+    ``fan_in`` parts for each power of it, and a count is written again once for each power. A part is named by its batches
+    and takes the place of shorter ones when it is finished; a replayed batch that lies in a longer part is in it already.
+    """
     def save(batch: DataFrame, number: int) -> None:
-        quality_counts(batch, time, by, bad, width, slide).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        spark = batch.sparkSession
+        if not any(first <= number <= last and first < last for first, last in spans(spark, path)):
+            quality_counts(batch, time, by, bad, width, slide).write.mode("overwrite").parquet(_span(path, number, number))
+        _add_up(spark, path, number, by, fan_in)
 
     return rows.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def read_counts(spark: SparkSession, path: str) -> DataFrame:
+    """Counts of all batches so far, each batch once."""
+    return spark.read.option("recursiveFileLookup", "true").parquet(*[_span(path, *x) for x in spans(spark, path)])
+
+
 def quality_windows(counts: DataFrame, by: str) -> DataFrame:
     """Rows and share of bad rows per window from the counts of all batches."""
     g = counts.groupBy("start", "end", by).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
