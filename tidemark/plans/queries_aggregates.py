@@ -154,11 +154,13 @@ q("scl_29_nearest_end_gap", "security_id:s, gap:i", _DEL)(lambda d: ag.delisting
 q("scl_30_genuine_delisting", "security_id:s, genuine:b", _DEL)(lambda d: ag.delisting_check(intervals(d), d.bars))
 q("agg_17_flag_diagnosis", "security_id:s, flags:i", "SELECT security_id, count(*) AS flags FROM all_issues GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")(lambda d: ag.flag_diagnosis(all_issues(d), 20))
 q("agg_18_severity_counts", "severity:s, n:i", "SELECT severity, count(*) AS n FROM all_issues GROUP BY 1")(lambda d: all_issues(d).groupBy("severity").agg(F.count(F.lit(1)).alias("n")))
-VIEWS["last_close"] = "SELECT security_id, arg_max(close, ts) AS price FROM bars WHERE length(security_id) > 7 GROUP BY 1"
+VIEWS["last_close"] = "SELECT security_id, arg_max(close, ts) AS price FROM bars GROUP BY 1 HAVING arg_max(volume, ts) >= 20"
 
 
 def last_close(d: Domain):
-    return d.bars.filter(F.length("security_id") > 7).groupBy("security_id").agg(F.max_by("close", "ts").alias("price"))
+    """Newest close of each name, if enough was traded at it."""
+    newest = d.bars.groupBy("security_id").agg(F.max_by("close", "ts").alias("price"), F.max_by("volume", "ts").alias("volume"))
+    return newest.filter(F.col("volume") >= 20).drop("volume")
 
 
 VIEWS["contribution"] = """SELECT security_id, realized, unrealized, realized + unrealized AS pnl, (realized + unrealized) / sum(realized + unrealized) OVER () AS share, row_number() OVER (ORDER BY realized + unrealized DESC, security_id) AS place FROM (
@@ -368,12 +370,12 @@ q("top_09_members_on_date", "ticker:s", "SELECT DISTINCT ticker FROM intervals W
 q("set_01_common_dates", "ts:t", "SELECT DISTINCT ts FROM bars WHERE security_id = 'Brand#1' INTERSECT SELECT ts FROM benchmark_levels WHERE level > 100")(
     lambda d: d.bars.filter(F.col("security_id") == "Brand#1").select("ts").intersect(d.benchmark.filter(F.col("level") > 100).select("ts"))
 )
-_MERGE = "SELECT user_id, event_type, min(event_id) AS event_id FROM (SELECT user_id, event_type, event_id FROM events WHERE event_id % 2 = 0 UNION ALL SELECT user_id, event_type, event_id FROM events WHERE event_id % 3 = 0) GROUP BY 1, 2"
+_MERGE = "SELECT user_id, event_type, min(event_id) AS event_id FROM (SELECT user_id, event_type, event_id FROM events WHERE value <= 60 OR value IS NULL UNION ALL SELECT user_id, event_type, event_id FROM events WHERE value > 20) GROUP BY 1, 2"
 
 
 def _merge(d: Domain):
-    e = d.table("events").select("user_id", "event_type", "event_id")
-    both = e.filter(F.col("event_id") % 2 == 0).unionByName(e.filter(F.col("event_id") % 3 == 0))
+    e = d.table("events").select("user_id", "event_type", "event_id", "value")
+    both = e.filter((F.col("value") <= 60) | F.col("value").isNull()).unionByName(e.filter(F.col("value") > 20))
     return both.groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
 
 

@@ -219,20 +219,22 @@ q(
 )(lambda d: rd.snapshot_before(d.benchmark.select("ts"), snapshots(d), "ts"))
 
 
+BUSY = 40.0  #: volume of a busy day
+
+
 def intervals(d: Domain):
-    """Closed index intervals per ticker: one span per brand and half-decade."""
+    """Closed index intervals per ticker: one span per brand and half-decade, from its first to its last busy day."""
     era = F.when(F.year("ts") < 1998, 1).otherwise(2)
-    number = F.regexp_extract("security_id", r"(\d+)$", 1).cast("int")
-    g = d.bars.filter(F.month("ts") > number % 6).groupBy(F.col("security_id").alias("ticker"), era.alias("era")).agg(
+    g = d.bars.filter(F.col("volume") >= BUSY).groupBy(F.col("security_id").alias("ticker"), era.alias("era")).agg(
         F.min("ts").alias("start_date"), F.max("ts").alias("last")
     )
     n = F.regexp_extract("ticker", r"(\d+)$", 1).cast("int")
     return g.select("ticker", "start_date", F.when((F.col("era") == 1) | (n % 3 == 0), F.col("last")).alias("end_date"))
 
 
-VIEWS["intervals"] = """SELECT ticker, a AS start_date, CASE WHEN era = 1 OR CAST(regexp_extract(ticker, '([0-9]+)$', 1) AS INT) % 3 = 0 THEN b END AS end_date FROM (
+VIEWS["intervals"] = f"""SELECT ticker, a AS start_date, CASE WHEN era = 1 OR CAST(regexp_extract(ticker, '([0-9]+)$', 1) AS INT) % 3 = 0 THEN b END AS end_date FROM (
  SELECT security_id AS ticker, CASE WHEN year(ts) < 1998 THEN 1 ELSE 2 END AS era, min(ts) AS a, max(ts) AS b FROM bars
- WHERE month(ts) > CAST(regexp_extract(security_id, '([0-9]+)$', 1) AS INT) % 6 GROUP BY 1, 2)"""
+ WHERE volume >= {BUSY} GROUP BY 1, 2)"""
 VIEWS["renames"] = "SELECT DISTINCT p_brand AS old_ticker, 'N' || p_brand AS new_ticker FROM part WHERE CAST(regexp_extract(p_brand, '([0-9]+)$', 1) AS INT) % 4 = 0"
 
 
@@ -261,27 +263,29 @@ q(
     "ticker:s, start_date:t",
     "SELECT coalesce(new_ticker, ticker) AS ticker, start_date FROM intervals LEFT JOIN renames ON old_ticker = ticker",
 )(lambda d: rd.renamed(intervals(d), renames(d)))
-_PRICED = "(SELECT DISTINCT security_id FROM bars WHERE length(security_id) > 7)"
+# members under the name of today: the bars of a renamed one stand under its former name
+_PRICED = "(SELECT DISTINCT security_id FROM bars)"
+VIEWS["members_today"] = "SELECT coalesce(new_ticker, ticker) AS ticker, start_date, end_date FROM intervals LEFT JOIN renames ON old_ticker = ticker"
 
 
-def _half_priced(d: Domain):
-    return d.bars.filter(F.length("security_id") > 7)
+def members_today(d: Domain):
+    return rd.renamed(intervals(d), renames(d))
 
 
 q(
     "28_members_with_prices",
     "year:i, members:i, with_prices:i, coverage:f",
     f"""SELECT year, count(*) AS members, count(security_id) AS with_prices, count(security_id) / count(*) AS coverage FROM (
- SELECT DISTINCT y AS year, ticker FROM intervals, LATERAL (SELECT unnest(generate_series(year(start_date), year(coalesce(end_date, (SELECT max(ts) FROM bars))))) AS y)
+ SELECT DISTINCT y AS year, ticker FROM members_today, LATERAL (SELECT unnest(generate_series(year(start_date), year(coalesce(end_date, (SELECT max(ts) FROM bars))))) AS y)
  WHERE start_date <= make_timestamp(y, 1, 1, 0, 0, 0.0) AND (end_date IS NULL OR make_timestamp(y, 1, 1, 0, 0, 0.0) <= end_date))
  LEFT JOIN {_PRICED} ON security_id = ticker GROUP BY 1""",
-)(lambda d: rd.members_with_prices(intervals(d), _half_priced(d), d.bars))
+)(lambda d: rd.members_with_prices(members_today(d), d.bars))
 q(
     "29_removed_coverage",
     "removed:i, covered:i, percentage:f",
     f"""SELECT count(*) AS removed, count(security_id) AS covered, 100.0::DOUBLE * count(security_id) / count(*) AS percentage FROM (
- SELECT DISTINCT ticker FROM intervals WHERE end_date >= {SINCE}) LEFT JOIN {_PRICED} ON security_id = ticker""",
-)(lambda d: rd.removed_coverage(intervals(d), _half_priced(d), since()))
+ SELECT DISTINCT ticker FROM members_today WHERE end_date >= {SINCE}) LEFT JOIN {_PRICED} ON security_id = ticker""",
+)(lambda d: rd.removed_coverage(members_today(d), d.bars, since()))
 VIEWS["listings"] = "SELECT security_id AS ticker, valid_from AS listed_from, valid_to AS listed_to FROM security_master WHERE status = 'DELISTED'"
 
 
@@ -455,7 +459,7 @@ q(
     )
 )
 VIEWS["part_cusips"] = "SELECT p_brand AS ticker, lpad(CAST(p_partkey % 1500 AS VARCHAR), 9, '0') AS cusip FROM part"
-VIEWS["resolved_cusips"] = "SELECT DISTINCT lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS cusip, p_brand AS ticker FROM part WHERE p_partkey % 3 = 0"
+VIEWS["resolved_cusips"] = "SELECT DISTINCT lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS cusip, p_brand AS ticker FROM part WHERE p_size <= 17"
 
 
 def part_cusips(d: Domain):
@@ -469,15 +473,15 @@ q(
 )(
     lambda d: rd.confirm_cusips(
         part_cusips(d),
-        d.table("part").filter(F.col("p_partkey") % 3 == 0).select(F.lpad(F.col("p_partkey").cast("string"), 9, "0").alias("cusip"), F.col("p_brand").alias("ticker")),
+        d.table("part").filter(F.col("p_size") <= 17).select(F.lpad(F.col("p_partkey").cast("string"), 9, "0").alias("cusip"), F.col("p_brand").alias("ticker")),
     )
 )
-VIEWS["reports"] = "SELECT DISTINCT security_id AS symbol, CAST(date_trunc('year', ts) AS TIMESTAMP) AS window_start, CAST(date_trunc('year', ts) + INTERVAL 1 YEAR AS TIMESTAMP) AS window_end FROM bars WHERE dayofyear(ts) = 40"
+VIEWS["reports"] = "SELECT DISTINCT security_id AS symbol, CAST(date_trunc('year', ts) AS TIMESTAMP) AS window_start, CAST(date_trunc('year', ts) + INTERVAL 1 YEAR AS TIMESTAMP) AS window_end FROM bars"
 
 
 def reports(d: Domain):
     y = F.date_trunc("year", "ts")
-    return d.bars.filter(F.dayofyear("ts") == 40).select(
+    return d.bars.select(
         F.col("security_id").alias("symbol"), y.alias("window_start"), F.add_months(y, 12).cast("timestamp").alias("window_end")
     ).distinct()
 
