@@ -281,8 +281,8 @@ def taken(found: list[tuple[tuple[str, ...], str, int]], winners: list[str]) ->
         if path[: len(first)] == first:
             return True
         own = container(path)
-        if article is not None and article[-1].split(".")[0] == "article" and path[: len(article)] == article:
-            return True
+        if own != path and article is not None and article[-1].split(".")[0] == "article" and path[: len(article)] == article:
+            return True  # a list of sources; links that stand bare in a box are a menu
         return 2 * linked < len(text) and (own == first[: len(own)] or any(path[: len(w)] == w for w in wide))
 
     return [text for path, text, linked in at if belongs(path, text, linked)]
