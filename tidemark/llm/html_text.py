@@ -169,7 +169,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             text = " ".join(html.unescape("".join(parts)).split())
             if text and NEVER not in noise:
                 here = tuple(path)
-                out.append((paths.setdefault(here, here), text, min(linked, len(text)), tuple(x for x in noise if x)))
+                out.append((paths.setdefault(here, here), text, min(linked, len(text)), tuple(filter(None, noise))))
             parts.clear()
         linked = 0
 
@@ -254,9 +254,11 @@ def container(path: tuple[str, ...]) -> tuple[str, ...]:
 
 def scored(found: list[tuple[tuple[str, ...], str, int]]) -> list[tuple[str, float]]:
     """Containers of a page by falling score; the scores of a page sum to one at most."""
-    score: dict[tuple[str, ...], float] = defaultdict(float)
+    held: dict[tuple[str, ...], int] = defaultdict(int)
     for path, text, linked in found:
-        value = len(text) - linked
+        held[path] += len(text) - linked
+    score: dict[tuple[str, ...], float] = defaultdict(float)
+    for path, value in held.items():
         at = container(path)
         score[at] += value
         if at:
@@ -268,24 +270,24 @@ def scored(found: list[tuple[tuple[str, ...], str, int]]) -> list[tuple[str, flo
 
 def taken(found: list[tuple[tuple[str, ...], str, int]], winners: list[str]) -> list[str]:
     """Blocks under the first of the paths that the page has, and those that belong to it, in page order."""
-    at = [(tuple(x for x in path if x not in OUTER), text, linked) for path, text, linked in found]
+    bare = {path: tuple(x for x in path if x not in OUTER) for path in {path for path, _, _ in found}}
     wanted = [tuple(x.split("/")) if x else () for x in winners]
-    first = next((w for w in wanted if any(path[: len(w)] == w for path, _, _ in at)), None)
+    first = next((w for w in wanted if any(path[: len(w)] == w for path in bare.values())), None)
     if first is None:
         return []
     around = [first[: i + 1] for i, x in enumerate(first) if x.split(".")[0] in ("article", "main")]
     article = next((x for x in around if x[-1].split(".")[0] == "article"), around[0] if around else None)
     wide = [w for w in wanted if w not in ((), ("body",))] + [article] * (article is not None)
 
-    def belongs(path: tuple[str, ...], text: str, linked: int) -> bool:
-        if path[: len(first)] == first:
-            return True
+    def place(path: tuple[str, ...]) -> tuple[bool, bool]:
+        """Whether blocks of this path belong to the text, and whether they do unless they are mostly links."""
         own = container(path)
-        if own != path and article is not None and article[-1].split(".")[0] == "article" and path[: len(article)] == article:
-            return True  # a list of sources; links that stand bare in a box are a menu
-        return 2 * linked < len(text) and (own == first[: len(own)] or any(path[: len(w)] == w for w in wide))
+        # a list of sources in the article; links that stand bare in a box are a menu
+        listed = own != path and article is not None and article[-1].split(".")[0] == "article" and path[: len(article)] == article
+        return path[: len(first)] == first or listed, own == first[: len(own)] or any(path[: len(w)] == w for w in wide)
 
-    return [text for path, text, linked in at if belongs(path, text, linked)]
+    places = {path: place(x) for path, x in bare.items()}
+    return [text for path, text, linked in found if places[path][0] or (places[path][1] and 2 * linked < len(text))]
 
 
 def main_text(page: str | None, winners: list[str] | None) -> str:
