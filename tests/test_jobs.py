@@ -57,9 +57,9 @@ def test_stream_streaks_equal_batch(spark, tmp_path):
     state, ck = str(tmp_path / "state"), str(tmp_path / "ck")
     for _ in _write_batches(spark, str(tmp_path / "in"), rows, schema, [(0, 40), (40, 41), (41, 90)]):
         s = spark.readStream.schema(schema).parquet(str(tmp_path / "in" / "*"))
-        q = jobs.start_streaks(s, state, ck, ["o"])
-        q.awaitTermination()
-    got = spark.read.parquet(f"{state}/v=2").select("grp", "max_wins", "max_losses")
+        jobs.start_streaks(s, state, ck, ["o"]).awaitTermination()
+    assert jobs.spans(spark, state) == [(0, 0), (1, 1), (2, 2)]
+    got = jobs.read_streaks(spark, state).select("grp", "max_wins", "max_losses")
     want = pf.streaks(spark.createDataFrame(rows, schema), ["grp"], ["o"])
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select("grp", "max_wins", "max_losses").collect()))
 
@@ -67,11 +67,12 @@ def test_stream_streaks_equal_batch(spark, tmp_path):
 def test_stream_newest_equals_batch(spark, tmp_path):
     rows = [(f"k{i % 3}", i * 7 % 20, float(i)) for i in range(20)]
     schema = "k string, o int, v double"
-    table, ck = str(tmp_path / "t"), str(tmp_path / "ck")
+    ck = str(tmp_path / "ck")
     for _ in _write_batches(spark, str(tmp_path / "in"), rows, schema, [(0, 9), (9, 20)]):
         s = spark.readStream.schema(schema).parquet(str(tmp_path / "in" / "*"))
-        jobs.start_newest(s, table, ck, ["k"], ["o"]).awaitTermination()
-    got = {r.k: r.v for r in jobs.read_newest(spark, table).collect()}
+        jobs.start_newest(s, ck, ["k"], ["o"]).awaitTermination()
+    assert jobs.read_newest(spark, ck).columns == ["k", "o", "v"]
+    got = {r.k: r.v for r in jobs.read_newest(spark, ck).collect()}
     assert got == {k: max((o, v) for kk, o, v in rows if kk == k)[1] for k in ("k0", "k1", "k2")}
 
 
@@ -180,15 +181,43 @@ def test_append_reads_only_what_can_hold_a_key(spark, tmp_path):
     assert lake.stored_for(spark, nothing, path, F.year("ts")).count() == 0
 
 
-def test_newest_rewrites_only_touched_buckets(spark, tmp_path):
-    table, ck, schema = str(tmp_path / "t"), str(tmp_path / "ck"), "k string, o int"
-    for n, feed in enumerate([[(f"k{i}", 1) for i in range(50)], [("k7", 2)], [("k7", 3)], [("k7", 0)]]):
+def _forget_commit(checkpoint, number):
+    (checkpoint / "commits" / str(number)).unlink()
+    (checkpoint / "commits" / f".{number}.crc").unlink(missing_ok=True)
+
+
+def test_newest_touches_only_the_keys_of_a_batch(spark, tmp_path):
+    ck, schema, updated = str(tmp_path / "ck"), "k string, o int", []
+    stream = lambda: spark.readStream.schema(schema).parquet(str(tmp_path / "in" / "*"))
+    for n, feed in enumerate([[(f"k{i}", 1) for i in range(50)] + [(None, 4)], [("k7", 2), (None, None)], [("k7", 3)], [("k7", 0), ("k8", None)]]):
         spark.createDataFrame(feed, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"b{n}"))
-        s = spark.readStream.schema(schema).parquet(str(tmp_path / "in" / "*"))
-        jobs.start_newest(s, table, ck, ["k"], ["o"], buckets=8).awaitTermination()
-    stored = jobs.all_versions(spark, table)
-    assert max(len(v) for v in stored.values()) <= 2 and sum(v != [0] for v in stored.values()) == 1
-    assert {r["k"]: r["o"] for r in jobs.read_newest(spark, table).collect()} == {f"k{i}": 3 if i == 7 else 1 for i in range(50)}
+        q = jobs.start_newest(stream(), ck, ["k"], ["o"])
+        q.awaitTermination()
+        updated.append(sum(p["stateOperators"][0]["numRowsUpdated"] for p in q.recentProgress))
+    assert updated == [51, 2, 1, 2]
+    want = {f"k{i}": 3 if i == 7 else 1 for i in range(50)} | {None: 4}
+    told = lambda: {r["k"]: r["o"] for r in jobs.read_newest(spark, ck).collect()}
+    assert told() == want
+    _forget_commit(tmp_path / "ck", 3)  # the last batch is replayed
+    jobs.start_newest(stream(), ck, ["k"], ["o"]).awaitTermination()
+    assert told() == want
+
+
+def test_streaks_of_many_batches_are_few_parts(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(rng.choice("aab"), i, rng.choice([-1.0, 1.0, 1.0])) for i in range(60)] + [("c", 60, 1.0), ("c", 61, 1.0)]
+    schema, path, ck = "grp string, o int, realized_pnl double", str(tmp_path / "s"), str(tmp_path / "ck")
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    for n, at in enumerate(range(0, 62, 6)):
+        spark.createDataFrame(rows[at : at + 6], schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"b{n:02d}"))
+        jobs.start_streaks(stream(), path, ck, ["o"], fan_in=3).awaitTermination()
+    want = sorted(map(tuple, pf.streak_summary(spark.createDataFrame(rows, schema), ["grp"], ["o"]).collect()))
+    assert jobs.spans(spark, path) == [(0, 8), (9, 9), (10, 10)]
+    assert sorted(map(tuple, jobs.read_streaks(spark, path).collect())) == want
+    _forget_commit(tmp_path / "ck", 10)
+    jobs.start_streaks(stream(), path, ck, ["o"], fan_in=11).awaitTermination()
+    assert jobs.spans(spark, path) == [(0, 10)]
+    assert sorted(map(tuple, jobs.read_streaks(spark, path).collect())) == want
 
 
 def test_csv_folder(spark, tmp_path):

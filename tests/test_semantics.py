@@ -7,8 +7,10 @@ import math
 import random
 import statistics
 from datetime import datetime, timedelta
+from functools import reduce
 
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import numeric as nm
@@ -280,7 +282,7 @@ def test_streak_summaries_join_across_a_seam(spark):
     df = spark.createDataFrame(rows, "grp string, o int, realized_pnl double")
     whole = values(pf.streaks(df, ["grp"], ["o"]), "grp", "max_wins", "max_losses")
     parts = [pf.streak_summary(df.filter((F.col("o") >= a) & (F.col("o") < b)), ["grp"], ["o"]) for a, b in ((0, 30), (30, 31), (31, 120))]
-    joined = pf.join_streaks(pf.join_streaks(parts[0], parts[1], ["grp"]), parts[2], ["grp"])
+    joined = pf.chain_streaks(reduce(DataFrame.unionByName, [p.withColumn("nth", F.lit(i)) for i, p in enumerate(parts)]), ["grp"], "nth")
     assert values(joined, "grp", "max_wins", "max_losses") == whole
 
 

@@ -146,35 +146,32 @@ def streak_summary(trades: DataFrame, group: Sequence[str], order: Sequence[str]
     )
 
 
-def join_streaks(earlier: DataFrame, later: DataFrame, group: Sequence[str]) -> DataFrame:
+SUMMARY = ("head_won", "head_n", "tail_won", "tail_n", "runs", "max_wins", "max_losses")
+
+
+def _in_a_row(a: Column, b: Column) -> Column:
     """Summary of two stretches in a row: the run across the seam is joined when both sides agree."""
-    fields = ["head_won", "head_n", "tail_won", "tail_n", "runs", "max_wins", "max_losses"]
-    a = earlier.select(*group, F.struct(*fields).alias("a"))
-    b = later.select(*group, F.struct(*fields).alias("b"))
-    j = a.join(b, list(group), "full_outer")
-    both = F.col("a").isNotNull() & F.col("b").isNotNull()
-    seam = both & (F.col("a.tail_won") == F.col("b.head_won"))
-    across = F.col("a.tail_n") + F.col("b.head_n")
-
-    def pick(name):
-        return F.coalesce(F.col(f"a.{name}"), F.col(f"b.{name}"))
-
-    def longest(name, won):
-        joined = F.when(seam & (F.col("a.tail_won") == won), across)
-        return F.greatest(F.coalesce(F.col(f"a.{name}"), F.lit(0)), F.coalesce(F.col(f"b.{name}"), F.lit(0)), F.coalesce(joined, F.lit(0)))
-
-    return j.select(
-        *group,
-        pick("head_won").alias("head_won"),
-        F.when(seam & (F.col("a.runs") == 1), across).otherwise(pick("head_n")).alias("head_n"),
-        F.coalesce("b.tail_won", "a.tail_won").alias("tail_won"),
-        F.when(seam & (F.col("b.runs") == 1), across).otherwise(F.coalesce("b.tail_n", "a.tail_n")).alias("tail_n"),
-        (F.coalesce("a.runs", F.lit(0)) + F.coalesce("b.runs", F.lit(0)) - F.when(seam, 1).otherwise(0)).alias("runs"),
-        longest("max_wins", True).alias("max_wins"),
-        longest("max_losses", False).alias("max_losses"),
+    seam, across = a["tail_won"] == b["head_won"], a["tail_n"] + b["head_n"]
+    joined = lambda won: F.when(seam & (a["tail_won"] == won), across).otherwise(0)
+    return F.struct(
+        a["head_won"].alias("head_won"),
+        F.when(seam & (a["runs"] == 1), across).otherwise(a["head_n"]).alias("head_n"),
+        b["tail_won"].alias("tail_won"),
+        F.when(seam & (b["runs"] == 1), across).otherwise(b["tail_n"]).alias("tail_n"),
+        (a["runs"] + b["runs"] - F.when(seam, 1).otherwise(0)).alias("runs"),
+        F.greatest(a["max_wins"], b["max_wins"], joined(True)).alias("max_wins"),
+        F.greatest(a["max_losses"], b["max_losses"], joined(False)).alias("max_losses"),
     )
 
 
+def chain_streaks(parts: DataFrame, group: Sequence[str], at: str) -> DataFrame:
+    """One summary per group of the stretches in ``parts``, in the order of ``at``; a group has as many rows as there are stretches."""
+    listed = parts.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(at, F.struct(*SUMMARY).alias("s")))).alias("p"))
+    stretches = F.transform("p", lambda x: x["s"])
+    whole = F.aggregate(F.slice(stretches, 2, F.size("p")), stretches[0], _in_a_row)
+    return listed.select(*group, whole.alias("s")).select(*group, "s.*")
+
+
 def relative_metrics(nav: DataFrame, benchmark: DataFrame, rate: float = 0.0) -> DataFrame:
     """Beta, tracking error, information ratio and alpha on the days both series hold."""
     b = benchmark.select("ts", F.col("value").alias("bench"))

@@ -255,11 +255,10 @@ query("str_01_ingest", "user_id:i, event_type:s, day:d", "SELECT DISTINCT user_i
 
 
 def _newest(d: Domain):
-    table = _folder(d, "stream-newest")
+    state = _folder(d, "stream-newest")
     s = event_stream(d).select("user_id", "event_type", "event_id", "value")
-    q = jobs.start_newest(s, table, _folder(d, "stream-newest-ck"), ["user_id", "event_type"], ["event_id"])
-    q.awaitTermination()
-    return jobs.read_newest(d.spark, table)
+    jobs.start_newest(s, state, ["user_id", "event_type"], ["event_id"]).awaitTermination()
+    return jobs.read_newest(d.spark, state)
 
 
 query("str_02_newest", "user_id:i, event_type:s, event_id:i, value:f", "SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2")(_newest)
@@ -281,9 +280,8 @@ query(
 def _streaks(d: Domain):
     state = _folder(d, "stream-streaks")
     s = event_stream(d).select(F.col("event_type").alias("grp"), "ts", "event_id", (F.col("value") - 20).alias("realized_pnl"))
-    q = jobs.start_streaks(s, state, _folder(d, "stream-streaks-ck"), ["ts", "event_id"])
-    q.awaitTermination()
-    return d.spark.read.parquet(f"{state}/v={max(int(p['batchId']) for p in q.recentProgress)}")
+    jobs.start_streaks(s, state, _folder(d, "stream-streaks-ck"), ["ts", "event_id"]).awaitTermination()
+    return jobs.read_streaks(d.spark, state)
 
 
 query(

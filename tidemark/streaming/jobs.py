@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.operators.performance import join_streaks, streak_summary
-from tidemark.operators.reads import latest_by
+from tidemark.operators.performance import chain_streaks, streak_summary
 from tidemark.session import prepare
 from tidemark.sources.lake import BAR_KEY, exists, new_rows, stored_for
 
@@ -30,32 +31,30 @@ def start_ingest(bars: DataFrame, lake_path: str, checkpoint: str, key=BAR_KEY,
     return bars.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-# names of the folders of a table kept by start_newest
-BUCKET, VERSION = "kept_bucket", "kept_version"
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",  # a batch uploads its changes, not the store
+}
 
 
-def start_newest(rows: DataFrame, table_path: str, checkpoint: str, keys: list[str], order: list[str], buckets: int = 64) -> StreamingQuery:
-    """Keep the newest revision per key, in ``buckets`` parts by the hash of the key.
+def start_newest(rows: DataFrame, checkpoint: str, keys: list[str], order: list[str]) -> StreamingQuery:
+    """Keep the newest revision per key, by ``order`` and then by the other columns, as keyed state in the checkpoint.
 
-    A batch reads and writes only the buckets that it touches; a bucket's new version is named by the batch and its
-    former one removed afterwards, so a replay finds the same ground and writes the same version.
+    A batch is reduced to one row per key before its shuffle, reads and writes the state of its own keys alone and saves
+    these changes; a replayed batch starts from the state before it. A null order is older than any other.
     """
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        marked = batch.withColumn(BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
-        touched = sorted(r[0] for r in marked.select(BUCKET).distinct().collect())
-        now = versions(spark, table_path, below=number)
-        merged = marked
-        for b in [b for b in touched if b in now]:
-            stored = spark.read.schema(batch.schema).parquet(f"{table_path}/{BUCKET}={b}/{VERSION}={now[b]}")
-            merged = merged.unionByName(stored.withColumn(BUCKET, F.lit(b)))
-        newest = latest_by(merged, [*keys, BUCKET], *order).withColumn(VERSION, F.lit(number))
-        newest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET, VERSION).parquet(table_path)
-        for b in touched:
-            for old in [v for v in all_versions(spark, table_path).get(b, []) if v < now.get(b, number)]:
-                remove(spark, f"{table_path}/{BUCKET}={b}/{VERSION}={old}")
-
-    return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    for name, value in STATE.items():
+        rows.sparkSession.conf.set(name, value)
+    rest = [x for x in rows.columns if x not in keys and x not in order]
+    newest = rows.groupBy(*keys).agg(F.max(F.struct(*order, *rest)).alias("newest"))
+    return newest.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_newest(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The table as it stands after the last finished batch, from the state of :func:`start_newest`."""
+    for name, value in STATE.items():
+        spark.conf.set(name, value)
+    return spark.read.format("statestore").load(checkpoint).select("key.*", "value.*").select("*", "max.*").drop("max")
 
 
 def _files(spark: SparkSession, path: str):
@@ -68,28 +67,6 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(hadoop, True)
 
 
-def all_versions(spark: SparkSession, table_path: str) -> dict[int, list[int]]:
-    """Stored versions of each bucket; their number is at most two for each bucket."""
-    fs, hadoop = _files(spark, f"{table_path}/{BUCKET}=*/{VERSION}=*")
-    out: dict[int, list[int]] = {}
-    for status in fs.globStatus(hadoop) or []:
-        bucket, version = (int(part.split("=")[1]) for part in status.getPath().toString().split("/")[-2:])
-        out.setdefault(bucket, []).append(version)
-    return out
-
-
-def versions(spark: SparkSession, table_path: str, below: int | None = None) -> dict[int, int]:
-    """The newest version of each bucket, of those written by batches before ``below``."""
-    found = {b: [v for v in vs if below is None or v < below] for b, vs in all_versions(spark, table_path).items()}
-    return {b: max(vs) for b, vs in found.items() if vs}
-
-
-def read_newest(spark: SparkSession, table_path: str) -> DataFrame:
-    """The table as it stands."""
-    paths = [f"{table_path}/{BUCKET}={b}/{VERSION}={v}" for b, v in sorted(versions(spark, table_path).items())]
-    return spark.read.parquet(*paths)
-
-
 def quality_counts(rows: DataFrame, time: str, by: str, bad, width: str = "1 day", slide: str | None = None) -> DataFrame:
     """Rows and bad rows per tumbling (or sliding) window of event time; counts of parts add up."""
     window = F.window(time, width, slide) if slide else F.window(time, width)
@@ -115,42 +92,52 @@ def spans(spark: SparkSession, path: str) -> list[tuple[int, int]]:
     return out
 
 
-def _add_up(spark: SparkSession, path: str, number: int, by: str, fan_in: int) -> None:
+def read_parts(spark: SparkSession, path: str, parts: list[tuple[int, int]]) -> DataFrame:
+    """The rows of these parts, with the columns first and last of their batches."""
+    return spark.read.option("basePath", path).parquet(*[_span(path, *x) for x in parts])
+
+
+def _add_up(spark: SparkSession, path: str, number: int, merge: Callable[[DataFrame], DataFrame], fan_in: int) -> None:
     """Replace every full run of ``fan_in`` parts that ends with batch ``number`` by one part."""
     width = fan_in
     while (number + 1) % width == 0:
         first = number + 1 - width
-        parts = [_span(path, *x) for x in spans(spark, path) if first <= x[0]]
+        parts = [x for x in spans(spark, path) if first <= x[0]]
         if len(parts) > 1:
-            whole = spark.read.option("recursiveFileLookup", "true").parquet(*parts).groupBy("start", "end", by).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-            whole.write.mode("overwrite").parquet(_span(path, first, number))
+            merge(read_parts(spark, path, parts)).write.mode("overwrite").parquet(_span(path, first, number))
         for part in parts:
-            if part != _span(path, first, number):
-                remove(spark, part)
+            if part != (first, number):
+                remove(spark, _span(path, *part))
         width *= fan_in
 
 
-def start_quality_windows(
-    rows: DataFrame, path: str, checkpoint: str, time: str, by: str, bad, width: str = "1 day", slide: str | None = None, fan_in: int = FAN_IN
-) -> StreamingQuery:
-    """Count each batch by window, under the batch's number: late rows are counted, and a replay overwrites its own part.
+def _start_parts(rows: DataFrame, path: str, checkpoint: str, summary: Callable[[DataFrame], DataFrame], merge: Callable[[DataFrame], DataFrame], fan_in: int) -> StreamingQuery:
+    """Write the summary of each batch under the batch's number: a replay overwrites its own part.
 
-    Parts of ``fan_in`` batches are added up to one, and ``fan_in`` of these again, so that a reader opens fewer than
-    ``fan_in`` parts for each power of it, and a count is written again once for each power. A part is named by its batches
+    Parts of ``fan_in`` batches are merged to one, and ``fan_in`` of these again, so that a reader opens fewer than
+    ``fan_in`` parts for each power of it, and a row is written again once for each power. A part is named by its batches
     and takes the place of shorter ones when it is finished; a replayed batch that lies in a longer part is in it already.
     """
     def save(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         if not any(first <= number <= last and first < last for first, last in spans(spark, path)):
-            quality_counts(batch, time, by, bad, width, slide).write.mode("overwrite").parquet(_span(path, number, number))
-        _add_up(spark, path, number, by, fan_in)
+            summary(batch).write.mode("overwrite").parquet(_span(path, number, number))
+        _add_up(spark, path, number, merge, fan_in)
 
     return rows.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def start_quality_windows(
+    rows: DataFrame, path: str, checkpoint: str, time: str, by: str, bad, width: str = "1 day", slide: str | None = None, fan_in: int = FAN_IN
+) -> StreamingQuery:
+    """Count each batch by window, late rows too; counts of many batches are added up to few parts."""
+    merge = lambda parts: parts.groupBy("start", "end", by).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    return _start_parts(rows, path, checkpoint, lambda batch: quality_counts(batch, time, by, bad, width, slide), merge, fan_in)
+
+
 def read_counts(spark: SparkSession, path: str) -> DataFrame:
     """Counts of all batches so far, each batch once."""
-    return spark.read.option("recursiveFileLookup", "true").parquet(*[_span(path, *x) for x in spans(spark, path)])
+    return read_parts(spark, path, spans(spark, path)).drop("first", "last")
 
 
 def quality_windows(counts: DataFrame, by: str) -> DataFrame:
@@ -159,18 +146,15 @@ def quality_windows(counts: DataFrame, by: str) -> DataFrame:
     return g.select("start", "end", by, "n", (F.col("bad") / F.col("n")).alias("bad_rate"))
 
 
-def start_streaks(trades: DataFrame, state_path: str, checkpoint: str, order: list[str]) -> StreamingQuery:
+def start_streaks(trades: DataFrame, path: str, checkpoint: str, order: list[str], fan_in: int = FAN_IN) -> StreamingQuery:
     """Longest win and loss runs per ``grp`` over trades that arrive in time order from batch to batch.
 
-    A batch is summed up in pieces, so one large group spreads over tasks, and its summary is joined to the
-    stored one. Versions are named by batch number: a replay rewrites the same version.
+    A batch is summed up in pieces, so one large group spreads over tasks, and only the groups of the batch are written;
+    summaries of many batches are chained to few parts.
     """
-    def advance(batch: DataFrame, number: int) -> None:
-        fresh = streak_summary(batch, ["grp"], order)
-        if number > 0:
-            fresh = join_streaks(batch.sparkSession.read.parquet(f"{state_path}/v={number - 1}"), fresh, ["grp"])
-        fresh.write.mode("overwrite").parquet(f"{state_path}/v={number}")
-        if number > 1:  # the version before is what a replay starts from; older ones are not read again
-            remove(batch.sparkSession, f"{state_path}/v={number - 2}")
-
-    return trades.writeStream.foreachBatch(advance).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return _start_parts(trades, path, checkpoint, lambda batch: streak_summary(batch, ["grp"], order), lambda parts: chain_streaks(parts, ["grp"], "first"), fan_in)
+
+
+def read_streaks(spark: SparkSession, path: str) -> DataFrame:
+    """The summary of each group over all batches so far."""
+    return chain_streaks(read_parts(spark, path, spans(spark, path)), ["grp"], "first")
