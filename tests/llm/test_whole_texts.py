@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import time
 
@@ -138,3 +139,23 @@ def test_hosts_without_a_common_path_keep_their_pages(spark):
     found = {r["page_id"]: r["text"] for r in html_text.extract(table).collect()}
     assert all(found[i].endswith(f"Page {i}.") and "Menu" not in found[i] for i in range(200))
     assert [len(r["paths"]) for r in html_text.winning_paths(table).collect()] == [1]
+
+
+@pytest.mark.parametrize("ids", [[None] * 150, [7] * 150, [*range(149), 1 << 61], [None] * 50 + [-(1 << 61)] + [5] * 60 + list(range(90))], ids=["no id", "one id", "far id", "all"])
+def test_neighbours_are_found_whatever_the_ids(spark, monkeypatch, ids):
+    monkeypatch.setattr(fingerprint, "CELL_ROWS", 8)
+    monkeypatch.setattr(fingerprint, "CELLS", 2)
+    rng = random.Random(11)
+    rows = [(x, prose(rng, rng.randint(0, 9))) for x in ids]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    placed = fingerprint.in_cells(table, "doc_id", "text").where("not extra").groupBy("cell").count().collect()
+    assert max(r["count"] for r in placed) <= 32 and sum(r["count"] for r in placed) == len(rows)
+    hashed = [(r["doc_id"], r["text"], r["tie"]) for r in table.selectExpr("*", "xxhash64(text) as tie").collect()]
+    order = sorted(hashed, key=lambda r: (r[0] is None, -(r[0] or 0), r[2]))
+    want = []
+    for i, (x, text, _) in enumerate(order):
+        third = len(text) // 3
+        edited = text[: len(text) - third] + order[(i + 1) % len(order)][1][:third]
+        want.append((str(x), len(text), hashlib.sha256(edited.encode()).hexdigest()))
+    got = [(str(r["id"]), r["n_chars"], r["edited_sha256"]) for r in fingerprint.edited_and_next(table).collect()]
+    assert sorted(got) == sorted(want)

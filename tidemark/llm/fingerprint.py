@@ -11,7 +11,7 @@ its vector and deleted by subtracting it, and equal texts have equal fingerprint
 
 Only DataFrame functions are used. Paragraphs are exploded and summed where their documents lie, so that the
 texts are shuffled once. Odd input: null text counts as empty; a text without paragraphs has the zero fingerprint and is like itself
-only; rows that repeat an id follow one another by their text's hash; the only document is its own next one.
+only; rows that repeat an id, or have none, follow one another by their text's hash (null ids last); the only document is its own next one.
 """
 
 from __future__ import annotations
@@ -19,12 +19,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.shared import materialise
+
 STRONG = 8
 WIDE = 120  #: lanes of signs: 60 bits from each half of an MD5
 PACK = 2  #: lanes summed in one number
 ROOM = 30  #: bits of each; a text of two gigabytes, the most that a row can hold, has fewer than 2**30 sentences
 CELLS = 64  #: least number of id ranges in which neighbours are sought
-CELL_ROWS = 16_384  #: and one more for so many documents
+CELL_ROWS = 16_384  #: and one more for so many documents; a range of over twice as many is cut again
 
 
 def sentences(text: str | Column) -> Column:
@@ -70,11 +72,55 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a["text"] == b["text"], F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.lit(1.0) - gap / F.greatest(both, F.lit(1).cast("bigint"))))
 
 
+def whole_steps(at: Column, low: Column, width: Column) -> Column:
+    """How many whole widths ``at`` lies above ``low``, exactly for all longs."""
+    exact = lambda x: x.cast("decimal(38,0)")
+    return F.call_function("div", exact(at) - exact(low), exact(width))
+
+
+def cut(rows: DataFrame, heavy: DataFrame, tie: Column | None) -> DataFrame:
+    """(at, cell, done, ...) with the rows of the cells in ``heavy`` in cells of their own.
+
+    A cell is cut in ranges of the same width of its ids; one of a single id, which is then ``done``, in ranges of ``tie``, if that is given.
+    """
+    part = whole_steps(F.col("at"), F.col("low"), F.col("width"))
+    if tie is not None:
+        unit = F.shiftright(tie, 33) + F.lit(1 << 30)  # 31 bits
+        part = F.when(F.col("one_id"), F.shiftright(unit * F.col("parts"), 31)).otherwise(part)
+    found = rows.join(F.broadcast(heavy), rows["cell"] == heavy["was"], "left")
+    return found.withColumn("cell", F.coalesce(F.col("first") + part, "cell")).withColumn("done", F.col("done") | F.coalesce("one_id", F.lit(False))).drop(*heavy.columns)
+
+
+def cell_cuts(ids: DataFrame, cells: int) -> tuple[list[DataFrame], bool]:
+    """Tables for :func:`cut`, one for each time that cells are cut again, and whether an id was cut.
+
+    Each cut makes a cell's range narrower by the number of its parts, so few are needed however the ids lie; a table has
+    at most one row for 2 * CELL_ROWS documents.
+    """
+    cuts: list[DataFrame] = []
+    any_id = False
+    while True:
+        for heavy in cuts[-1:]:
+            ids = cut(ids, heavy, None)
+        sizes = ids.where("not done").groupBy("cell").agg(F.count("*").alias("n"), F.min("at").alias("low"), F.max("at").alias("high")).where(F.col("n") > 2 * CELL_ROWS)
+        sizes = sizes.withColumn("parts", 1 + F.ceil(F.col("n") / CELL_ROWS)).withColumn("one_id", F.col("low") == F.col("high"))
+        before = F.sum("parts").over(Window.partitionBy(F.lit(0)).orderBy("cell")) - F.col("parts")
+        heavy = sizes.select(F.col("cell").alias("was"), "low", (1 + whole_steps(F.col("high"), F.col("low").cast("decimal(38,0)") - 1, F.col("parts"))).alias("width"), "parts", "one_id", (F.lit(cells) + before).alias("first"))
+        heavy = materialise(heavy, "cells")
+        told = heavy.agg(F.sum("parts").alias("parts"), F.max("one_id").alias("one_id")).first()
+        if told["parts"] is None:
+            return cuts, any_id
+        cuts.append(heavy)
+        cells += told["parts"]
+        any_id = any_id or told["one_id"]
+
+
 def in_cells(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(cell, extra, key, id, text): rows by ranges of the key; each range also gets, marked ``extra``, the row that follows its last.
+    """(cell, extra, key, tie, id, text): rows by ranges of the key; each range also gets, marked ``extra``, the row that follows its last.
 
     In descending order the next row of a range's last is the head of the next lower range; after the last of all comes the
-    first. There are `cells` heads, a number that the row count bounds, and they are all that is broadcast.
+    first. Ranges with too many rows are cut again, those of one id by the hash of the text, so that neither clusters of ids nor
+    missing or repeated ones meet in one task. There is one head a cell, a number that the row count bounds, and they are all that is broadcast.
     """
     ids = docs.select(F.col(key).cast("bigint").alias("id"))
     bounds = ids.agg(F.count("*").alias("rows"), F.coalesce(F.min("id"), F.lit(0)).alias("low"), F.coalesce(F.max("id"), F.lit(0)).alias("high")).first()
@@ -82,16 +128,23 @@ def in_cells(docs: DataFrame, key: str, text: str) -> DataFrame:
     low = bounds["low"] - 1  # null ids come last
     width = -(-(bounds["high"] - low + 1) // cells)
     at = F.coalesce(F.col(key).cast("bigint"), F.lit(low))
-    cell = F.floor((at.cast("decimal(38,0)") - F.lit(low).cast("decimal(38,0)")) / F.lit(width).cast("decimal(38,0)")).cast("bigint")
-
-    heads = docs.select(at.alias("head"), cell.alias("cell")).groupBy("cell").agg(F.max("head").alias("head"))
-    all_cells, upwards = Window.partitionBy(F.lit(0)), Window.partitionBy(F.lit(0)).orderBy("cell")
-    heads = heads.select("head", F.coalesce(F.lead("cell").over(upwards), F.min("cell").over(all_cells)).alias("also"))
-    rows = docs.select(at.alias("key"), F.col(key).alias("id"), F.coalesce(text, F.lit("")).alias("text"), cell.alias("cell"))
-    rows = rows.join(F.broadcast(heads), rows["key"] == heads["head"], "left")
+    cell = whole_steps(at, F.lit(low), F.lit(width))
+
+    keyed = docs.select(at.alias("at"), cell.alias("cell"), F.lit(False).alias("done"), F.col(key).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
+    cuts, any_id = cell_cuts(keyed.select("at", "cell", "done"), cells)
+    tie = F.xxhash64("text")
+    for heavy in cuts:
+        keyed = cut(keyed, heavy, tie)
+    keyed = keyed.withColumn("mark", F.when(F.col("done"), F.bitwise_not(tie)) if any_id else F.lit(None).cast("bigint"))
+
+    heads = keyed.groupBy("cell").agg(F.max(F.struct("at", "mark")).alias("head"))
+    upwards = Window.partitionBy(F.lit(0)).orderBy("head")
+    heads = heads.select(F.col("head.at").alias("head_at"), F.col("head.mark").alias("head_mark"), F.coalesce(F.lead("cell").over(upwards), F.first("cell").over(upwards)).alias("also"))
+    rows = keyed.join(F.broadcast(heads), (F.col("at") == F.col("head_at")) & F.col("mark").eqNullSafe(F.col("head_mark")), "left")
     own, also = F.struct(F.col("cell"), F.lit(False).alias("extra")), F.struct(F.col("also").alias("cell"), F.lit(True).alias("extra"))
     places = F.when(F.col("also").isNull(), F.array(own)).otherwise(F.array(own, also))
-    return rows.select("key", "id", "text", F.explode(places).alias("to")).select("to.cell", "to.extra", "key", "id", "text")
+    rows = rows.select(F.col("at").alias("key"), "id", "text", F.explode(places).alias("to"))
+    return rows.select("to.cell", "to.extra", "key", tie.alias("tie"), "id", "text")
 
 
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -105,7 +158,7 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
 def edited_and_next(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Each row's fingerprint, that of its text with the last third replaced from the next document, and both likenesses."""
     order = Window.partitionBy("cell").orderBy("extra", F.desc("key"), "tie")
-    rows = in_cells(docs, key, text).withColumn("tie", F.xxhash64("text")).withColumn("at", F.row_number().over(order)).withColumn("next_text", F.lead("text").over(order))
+    rows = in_cells(docs, key, text).withColumn("at", F.row_number().over(order)).withColumn("next_text", F.lead("text").over(order))
     third = F.floor(F.length("text") / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - third), F.substring("next_text", F.lit(1), third))
     rows = rows.withColumn("edited", F.when(~F.col("extra"), edited))
