@@ -50,6 +50,7 @@ def excess_returns(events: DataFrame, prices: DataFrame, horizon: int = FORWARD_
 
     Market means are computed once per window start; an event joins them by position.
     """
+    prices = materialised(prices)  # a row for each security and day, read by every window below
     days = calendar(prices)
     placed = prices.join(F.broadcast(days), "ts").select("security_id", "pos", "px")
 
