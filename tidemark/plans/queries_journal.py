@@ -199,8 +199,8 @@ VIEWS["cand_eval"] = f"""SELECT candidate, split, {_MET} FROM samples JOIN cand_
  UNION ALL SELECT candidate, 'BASELINE', count(*), avg(abs(label)), avg(label * label), avg(label) FROM samples JOIN cand_pred USING (trade_id) WHERE split = 'TEST' GROUP BY 1"""
 
 
-def candidate_evaluations(d: Domain):
-    return jr.evaluate_candidates(samples(d), candidate_predictions(d))
+def candidate_evaluations(d: Domain, known=None):
+    return jr.evaluate_candidates(samples(d) if known is None else known, candidate_predictions(d))
 
 
 EV = "n:i, mae:f, mse:f, mean_label:f"
@@ -290,11 +290,17 @@ query("mon_07_response_metrics", "component:s, n:i, success_rate:f, failure_rate
 _ACC = "SELECT grp, n, last_v AS latest, peak, (peak - last_v) / peak AS drawdown, last_v - 100 AS pnl FROM perf JOIN (SELECT grp, max(value) AS peak FROM nav GROUP BY 1) USING (grp)"
 query("mon_08_account_metrics", "grp:s, n:i, latest:f, peak:f, drawdown:f, pnl:f", _ACC)(lambda d: mn.account_metrics(nav(d), 100.0))
 query("mon_09_gateway_metrics", "component:s, n:i, success_rate:f, mean_attempts:f", "SELECT * FROM resp_metrics")(lambda d: mn.gateway_metrics(responses(d), "component"))
+
+
+def _learning(d: Domain, known):
+    return mn.learning_metrics(known.groupBy("split").agg(F.count(F.lit(1)).alias("sample_count")), candidate_evaluations(d, known))
+
+
 query(
     "mon_10_learning_metrics",
     "datasets:i, mean_samples:f, candidates:i, mean_test_mae:f",
     "SELECT datasets, mean_samples, candidates, mean_test_mae FROM (SELECT count(*) AS datasets, avg(sample_count) AS mean_samples FROM (SELECT count(*) AS sample_count FROM samples GROUP BY split)), (SELECT count(DISTINCT candidate) AS candidates, avg(CASE WHEN split = 'TEST' THEN mae END) AS mean_test_mae FROM cand_eval)",
-)(lambda d: mn.learning_metrics(samples(d).groupBy("split").agg(F.count(F.lit(1)).alias("sample_count")), candidate_evaluations(d)))
+)(lambda d: _learning(d, samples(d)))
 query(
     "mon_11_evolution_metrics",
     "transitions:i, pass_rate:f, validated:i, with_parent:i",
