@@ -3,36 +3,45 @@
 Heuristic labellers vote good, bad or nothing on every document. Their votes are counted by pattern over all
 documents, and expectation-maximisation on the pattern counts estimates how often each labeller says what for good
 and for bad documents; that gives each pattern a posterior. A logistic scorer over hashed features (letter trigrams
-and binned statistics of the text) is then trained on the posteriors of a sample, and scores every document.
+and binned statistics of the text) is then trained on the posteriors of all documents, and scores each of them.
 
-The patterns are at most 3 ** 11, whatever the number of documents. Odd input: a null text counts as empty; the empty
+The features are written once; each step of the training reads them and adds up its gradient in whole numbers, so that the
+model is the same however the rows are spread. The patterns are at most 3 ** 11, whatever the number of documents. Odd input: a null text counts as empty; the empty
 table trains nothing and returns no rows; repeated rows each get the same answer; scores equal to the threshold are kept.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import docstats
 from tidemark.llm import textbytes as tb
-from tidemark.llm.shared import HASH_UNITS, hash_unit
+from tidemark.llm.shared import HASH_UNITS, forget, hash_unit, materialise
 
 GOOD, BAD, NONE = 2, 1, 0
 #: The first ones know one fault each, the last three what is good. Texts of few words get fewer votes.
 LABELLERS = ("empty", "symbols", "capitals", "repeats", "lines", "shouting", "sameness", "tables", "letters", "sentences", "variety")
-SAMPLE_DOCS = 4096  #: documents, drawn by hash, whose posteriors train the scorer
+SAMPLE_DOCS = 4096  #: documents that sample() draws; nothing is fitted on them
 DIMENSIONS = 2048  #: hashed features: one half for trigrams, one for binned statistics
 EM_ROUNDS = 100
-STEPS = 300
+PASSES = 80  #: over the features at most, one for each gradient
+FLAT = 1e-5  #: length of the gradient at which the training ends
+DECAY = 1e-4
 THRESHOLD = 0.35  #: at most; a score below the threshold is rejected
-KEEP_GOOD = 0.002  #: share of sampled documents with a good posterior that the threshold may reject
+KEEP_GOOD = 0.002  #: share of the documents with a good posterior that the threshold may reject
+CELLS = 1 << 10  #: of a histogram of scores; the threshold is read from two, one within a cell of the other
 FIXED = 1 << 20
+UNIT = 1 << 32  #: parts of a unit in which gradients are added up
+ROWS = 256  #: texts whose features are dense at once
 RESULT = "pattern int, score double"
+FEATURES = "pattern int, length long, bins binary, trigrams binary"
 
 
 def ratios(x: np.ndarray) -> dict[str, np.ndarray]:
@@ -149,6 +158,10 @@ def features(data: np.ndarray, offsets: np.ndarray, x: np.ndarray) -> np.ndarray
     return out
 
 
+def logistic(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+
+
 @dataclass
 class Scorer:
     weights: np.ndarray
@@ -156,56 +169,183 @@ class Scorer:
     threshold: float
 
     def scores(self, data: np.ndarray, offsets: np.ndarray, x: np.ndarray) -> np.ndarray:
-        half = DIMENSIONS // 2
         lengths, heads = np.diff(offsets), offsets[:-1]
         total = np.zeros(len(lengths), np.int64)
-        table = np.round(self.weights[:half] * 20 * FIXED).astype(np.int64)  # whole numbers: equal texts sum up equally
+        table = self.table()
         for lo in range(0, len(data), tb.SEGMENT):  # one segment of bytes at a time, also within one text
             hi = min(lo + tb.SEGMENT, len(data))
             back = min(lo, 2)
             a, b = int(np.searchsorted(offsets, lo, "right")) - 1, int(np.searchsorted(offsets, hi, "left"))
             total[a:b] += np.add.reduceat(table[trigram_slots(data[lo - back : hi], heads[(heads >= lo - back) & (heads < hi)] - lo + back)[back:]], np.maximum(offsets[a:b] - lo, 0))
-        z = total / (FIXED * lengths) + self.weights[np.sort(binned(x), axis=1)].sum(1) + self.bias
-        return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
-
-
-def train(x: np.ndarray, p: np.ndarray) -> Scorer:
-    """Logistic scorer on soft labels: accelerated gradient descent over the whole sample, both classes weighing the same."""
-    weights = np.zeros(DIMENSIONS)
-    bias, threshold = 0.0, THRESHOLD
-    if not len(p):
-        return Scorer(weights, bias, threshold)
-    x = np.column_stack([x, np.ones(len(x), np.float32)])
-    balance = p * len(p) / (2 * max(p.sum(), 1)) + (1 - p) * len(p) / (2 * max((1 - p).sum(), 1))
-    w = ahead = np.zeros(x.shape[1], np.float32)
-    rate = 4.0 / max(float((x * x).sum(1).mean()), 1e-9)
-    for k in range(STEPS):
-        s = 1 / (1 + np.exp(-np.clip(x @ ahead, -50, 50)))
-        new = ahead - rate * (x.T @ (balance * (s - p)).astype(np.float32) / len(p) + 1e-4 * ahead)
-        ahead = new + k / (k + 3) * (new - w)
-        w = new
-    weights, bias = w[:-1].astype(float), float(w[-1])
-    s = np.sort((1 / (1 + np.exp(-np.clip(x @ w, -50, 50))))[p >= 0.9])
-    if len(s):
-        threshold = min(THRESHOLD, float(s[int(KEEP_GOOD * len(s))]) - 1e-6)
-    return Scorer(weights, bias, threshold)
-
-
-def count_patterns(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Each pattern of votes and its number of documents, over all of them."""
-
-    @F.arrow_udf("int")
-    def pattern(texts: pa.Array) -> pa.Array:
-        parts = [pattern_of(votes(docstats.measure(d, o)[0])) for _, _, d, o in tb.blocks(texts)]
-        return pa.array(np.concatenate(parts).astype(np.int32) if parts else [], pa.int32())
-
-    rows = docs.select(pattern(F.col(text)).alias("pattern")).groupBy("pattern").count().collect()
-    rows.sort()
-    return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], float)
+        return logistic(self.margins(total, lengths, binned(x)))
+
+    def table(self) -> np.ndarray:
+        """Weights of the trigrams in whole numbers: equal texts sum up equally."""
+        return np.round(self.weights[: DIMENSIONS // 2] * 20 * FIXED).astype(np.int64)
+
+    def margins(self, total: np.ndarray, lengths: np.ndarray, bins: np.ndarray) -> np.ndarray:
+        return total / (FIXED * lengths) + self.weights[np.sort(bins, axis=1)].sum(1) + self.bias
+
+
+def trigram_counts(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
+    """How often each hashed trigram stands in each text, a row for each, ROWS texts and one segment of bytes at a time."""
+    half = DIMENSIONS // 2
+    for a in range(0, len(offsets) - 1, ROWS):
+        at = offsets[a : a + ROWS + 1]
+        out = np.zeros((len(at) - 1) * half, np.int64)
+        for lo in range(int(at[0]), int(at[-1]), tb.SEGMENT):
+            hi = min(lo + tb.SEGMENT, int(at[-1]))
+            back = min(lo, 2)
+            heads = at[:-1][(at[:-1] >= lo - back) & (at[:-1] < hi)] - lo + back
+            slots = trigram_slots(data[lo - back : hi], heads)[back:]
+            out += np.bincount(slots + np.repeat(np.arange(len(at) - 1) * half, np.diff(np.clip(at, lo, hi))), minlength=len(out))
+        yield out.reshape(-1, half)
+
+
+def feature_table(docs: DataFrame, text: str) -> DataFrame:
+    """Pattern of votes and features of every document, written to the shared folder.
+
+    Counts of trigrams take the fewest bytes that hold the largest one of their text.
+    """
+
+    @F.arrow_udf(f"struct<{FEATURES}>")
+    def measure(texts: pa.Array) -> pa.Array:
+        patterns, lengths, bins, packed = [np.empty(0, np.int32)], [np.empty(0, np.int64)], [], []
+        for _, _, data, offsets in tb.blocks(texts):
+            x, _ = docstats.measure(data, offsets)
+            patterns.append(pattern_of(votes(x)).astype(np.int32))
+            lengths.append(np.diff(offsets))
+            bins += [row.tobytes() for row in binned(x).astype("<i2")]
+            for counts in trigram_counts(data, offsets):
+                width = np.select([counts.max(1) < 1 << 8, counts.max(1) < 1 << 16], [1, 2], 8)
+                as_width = {w: counts.astype(f"<u{w}") for w in set(width.tolist())}
+                packed += [as_width[w][i].tobytes() for i, w in enumerate(width.tolist())]
+        columns = [pa.array(np.concatenate(patterns)), pa.array(np.concatenate(lengths)), pa.array(bins, pa.binary()), pa.array(packed, pa.binary())]
+        return pa.StructArray.from_arrays(columns, ["pattern", "length", "bins", "trigrams"])
+
+    return materialise(docs.select(measure(F.col(text)).alias("f")).select("f.*"), "quality-features")
+
+
+def dense(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Patterns, lengths, bins and counts of trigrams of the rows of a batch, those of one width together."""
+    widths = pc.binary_length(batch["trigrams"]).to_numpy(zero_copy_only=False) // (DIMENSIONS // 2)
+    for w in np.unique(widths):
+        at = np.flatnonzero(widths == w)
+        for lo in range(0, len(at), ROWS):
+            part = batch.take(pa.array(at[lo : lo + ROWS]))
+            bins, counts = (np.frombuffer(part[name].buffers()[2], kind).reshape(part.num_rows, -1) for name, kind in (("bins", "<i2"), ("trigrams", f"<u{w}")))
+            yield part["pattern"].to_numpy(), part["length"].to_numpy(), bins, counts.astype(float)
+
+
+@dataclass
+class Posteriors:
+    """Of each pattern that occurs: how many documents have it and how surely these are good."""
+
+    pattern: np.ndarray
+    count: np.ndarray
+    good: np.ndarray
+
+    def of(self, pattern: np.ndarray) -> np.ndarray:
+        return self.good[np.searchsorted(self.pattern, pattern)]
+
+    def weights(self) -> tuple[float, float]:
+        """Weights of a bad and of a good document, with which both classes weigh half of all."""
+        n, good = self.count.sum(), (self.count * self.good).sum()
+        return n / (2 * max(n - good, 1)), n / (2 * max(good, 1))
+
+
+def added_up(table: DataFrame, totals_of, slots: int) -> np.ndarray:
+    """Sums of the arrays of whole numbers that ``totals_of`` gives for (patterns, lengths, bins, counts)."""
+
+    def task(batches):
+        total = np.zeros(slots, np.int64)
+        for batch in batches:
+            for part in dense(batch):
+                total += totals_of(*part)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(slots, dtype=np.int32)), pa.array(total)], ["slot", "total"])
+
+    sums = table.mapInArrow(task, "slot int, total long").groupBy("slot").agg(F.sum(F.col("total").cast("decimal(20,0)")).alias("total"))
+    out = np.zeros(slots)
+    for slot, total in sums.collect():
+        out[slot] = int(total)
+    return out
+
+
+def loss_and_gradient(table: DataFrame, sent, at: np.ndarray) -> tuple[float, np.ndarray]:
+    """Mean logistic loss on soft labels over all documents, both classes weighing the same; its gradient by weights and bias."""
+    scorer = Scorer(at[:-1], float(at[-1]), THRESHOLD)
+    half, trigrams = DIMENSIONS // 2, scorer.table().astype(float)
+
+    def totals_of(pattern, length, bins, counts):
+        p, (bad, good) = sent.value.of(pattern), sent.value.weights()
+        balance = p * good + (1 - p) * bad
+        z = scorer.margins(counts @ trigrams, length, bins)
+        gap = balance * (logistic(z) - p)
+        whole = np.rint(gap * UNIT)
+        out = np.empty(DIMENSIONS + 2)
+        out[:half] = np.rint(gap / length * UNIT) @ counts  # whole numbers below 2 ** 53 add up exactly in any order
+        out[half:DIMENSIONS] = np.bincount(bins.ravel() - half, np.repeat(whole, bins.shape[1]), half)
+        out[DIMENSIONS] = whole.sum()
+        out[DIMENSIONS + 1] = np.rint(balance * (np.logaddexp(0, z) - p * z) * UNIT).sum()
+        return out.astype(np.int64)
+
+    out = added_up(table, totals_of, DIMENSIONS + 2) / UNIT / sent.value.count.sum()
+    out[:half] *= 20
+    return out[-1] + DECAY / 2 * float(at @ at), out[:-1] + DECAY * at
+
+
+def minimum(value, at: np.ndarray) -> np.ndarray:
+    """Where a convex function is least, by its values and gradients: L-BFGS, steps halved until the function falls."""
+    now, slope = value(at)
+    passes, steps = 1, []
+    while passes < PASSES and np.linalg.norm(slope) > FLAT:
+        way, shares = slope.copy(), []
+        for step, turn in reversed(steps):
+            shares.append(step @ way / (step @ turn))
+            way -= shares[-1] * turn
+        way *= (steps[-1][0] @ steps[-1][1]) / (steps[-1][1] @ steps[-1][1]) if steps else 1 / np.linalg.norm(slope)
+        for (step, turn), share in zip(steps, reversed(shares), strict=True):
+            way += step * (share - turn @ way / (step @ turn))
+        far = 1.0
+        new, new_slope = value(at - way)
+        passes += 1
+        while new > now - 1e-4 * far * (slope @ way) and passes < PASSES:
+            far /= 2
+            new, new_slope = value(at - far * way)
+            passes += 1
+        if new >= now:
+            break
+        if (far * way) @ (slope - new_slope) > 0:
+            steps.append((-far * way, new_slope - slope))
+        at, now, slope = at - far * way, new, new_slope
+    return at
+
+
+def threshold_of(table: DataFrame, sent, scorer: Scorer) -> float:
+    """THRESHOLD, or the score (its millionths cut) below which KEEP_GOOD of all documents with a good posterior lie, if that is less."""
+    surely, trigrams = sent.value.good >= 0.9, scorer.table().astype(float)
+    rank, first, size = int(KEEP_GOOD * sent.value.count[surely].sum()), 0, 1
+    if not surely.any():
+        return THRESHOLD
+    for _ in range(2):
+        first, size = first * CELLS, size * CELLS
+
+        def totals_of(pattern, length, bins, counts, first=first, size=size):
+            s = logistic(scorer.margins(counts @ trigrams, length, bins))
+            cell = np.floor(s[sent.value.of(pattern) >= 0.9] * size).astype(np.int64) - first
+            return np.bincount(cell[(cell >= 0) & (cell < CELLS)], minlength=CELLS)
+
+        below = np.cumsum(added_up(table, totals_of, CELLS))
+        cell = int(np.searchsorted(below, rank, "right"))
+        rank -= int(below[cell - 1]) if cell else 0
+        first += cell
+        if first / size >= THRESHOLD:
+            break
+    return min(THRESHOLD, first / size)
 
 
 def sample(docs: DataFrame, text: str, key: str, n_docs: float) -> tuple[np.ndarray, np.ndarray]:
-    """Features and patterns of SAMPLE_DOCS documents drawn by hash of id and text (twice as many at most)."""
+    """Features and patterns of SAMPLE_DOCS documents drawn by hash of id and text (twice as many at most), for a look at them."""
 
     @F.arrow_udf("struct<pattern: int, features: binary>")
     def gather(texts: pa.Array) -> pa.Array:
@@ -224,11 +364,20 @@ def sample(docs: DataFrame, text: str, key: str, n_docs: float) -> tuple[np.ndar
     return x, rows["pattern"].to_numpy()
 
 
-def fit(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[LabelModel, Scorer]:
-    patterns, counts = count_patterns(docs, text)
+def fit(docs: DataFrame, text: str = "text") -> tuple[LabelModel, Scorer]:
+    """Label model, scorer and threshold, each from all documents."""
+    table = feature_table(docs, text)
+    rows = sorted(table.groupBy("pattern").count().collect())
+    patterns, counts = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], float)
     labels = estimate(patterns, counts)
-    x, seen = sample(docs, text, key, counts.sum())
-    return labels, train(x, labels.posterior(seen))
+    scorer = Scorer(np.zeros(DIMENSIONS), 0.0, THRESHOLD)
+    if rows:
+        sent = docs.sparkSession.sparkContext.broadcast(Posteriors(patterns, counts, labels.posterior(patterns)))
+        at = minimum(lambda w: loss_and_gradient(table, sent, w), np.zeros(DIMENSIONS + 1))
+        scorer = Scorer(at[:-1], float(at[-1]), THRESHOLD)
+        scorer.threshold = threshold_of(table, sent, scorer)
+    forget(table)
+    return labels, scorer
 
 
 def score(spark, scorer: Scorer, text: str | Column) -> Column:
